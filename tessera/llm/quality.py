@@ -165,7 +165,7 @@ def quadrants(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
 def fit(x: np.ndarray, y: np.ndarray) -> Additive:
     """Cyclic boosting of main effects, then of the strongest pairs."""
     rate = float(y.mean()) if len(y) else 0.5
-    if not 0 < rate < 1:
+    if not len(y) or not 0 < rate < 1:
         return Additive(base=float(np.log(np.clip(rate, 1e-3, 1 - 1e-3) / (1 - np.clip(rate, 1e-3, 1 - 1e-3)))))
     model = Additive(base=float(np.log(rate / (1 - rate))))
     for j in range(x.shape[1]):
