@@ -378,7 +378,7 @@ def show(df: DataFrame, column: str, text: str, function: str, config: Config |
     m = re.search(r"(highlight|snippet_n|snippet)\s*\((.*)\)\s*$", function, re.S)
     if not m:
         raise QueryError(f"unknown function {function!r}")
-    named, args = {}, []
+    kind, named, args = m[1], {}, []
     for part in re.findall(r"""(?:"?(\w+)"?\s*=\s*)?('(?:[^']*)'|[^,]*)(?:,|$)""", m[2]):
         if part[0]:
             named[part[0]] = part[1].strip().strip("'")
@@ -389,9 +389,9 @@ def show(df: DataFrame, column: str, text: str, function: str, config: Config |
     def run(texts: pd.Series) -> pd.Series:
         def one(t: str) -> str:
             found = areas(t, patterns)
-            if m[1] == "highlight":
+            if kind == "highlight":
                 return highlight(t, found, args[0], args[1])
-            extra = {"pre_delim": args[4] if len(args) > 4 else "", "post_delim": args[5] if len(args) > 5 else " "} if m[1] == "snippet" else {k: v if k != "with_area" else v == "1" for k, v in named.items()}
+            extra = {"pre_delim": args[4] if len(args) > 4 else "", "post_delim": args[5] if len(args) > 5 else " "} if kind == "snippet" else {k: v if k != "with_area" else v == "1" for k, v in named.items()}
             return snippet(t, found, args[0], args[1], int(args[2]), int(args[3]), **extra)
 
         return texts.map(one, na_action="ignore")
