@@ -12,7 +12,7 @@
 5. Components of these links. Only buckets that still hold more than one
    component need more: there the rest is compared with everyone in blocks of
    bounded size, pairs of one component being settled already, and survivors
-   are verified exactly as before. Then the components are final: every two
+   are verified on full sets, block by block. Then the components are final: every two
    classes that share a bucket were linked, compared, or already joined.
 
 The hot case, a bucket with a large part of all rows, costs a row a member in
@@ -208,7 +208,11 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
 
 
 def crossing(members: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components in mixed buckets that outlast the test.
+    """Pairs of different components in mixed buckets that outlast the test: a row a pair of blocks.
+
+    ``g`` names the pair of blocks, ``ids`` and ``comps`` its members that have
+    survivors, ``pairs`` packs places in ``ids``. A pair counts in the first
+    band that it shares. Rows are bounded by members and blocks, not by pairs.
 
     ``members(key, id, comp)``. A bucket's leading component (its smallest
     member's) is dealt to blocks once; the others to blocks of their own, each
@@ -231,7 +235,7 @@ def crossing(members: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame
     dealt = dealt.select("key", "x", "y", "blk", "id", "comp", "sig").repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y")
     least = least_matches(threshold)
 
-    spark_schema, out = arrow_schema("a long, b long")
+    spark_schema, out = arrow_schema("g string, ids array<long>, comps array<long>, pairs binary")
 
     def run(batches):
         def group(rows: list[tuple]) -> pa.RecordBatch | None:
@@ -248,14 +252,23 @@ def crossing(members: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame
             if not len(i):
                 return None
             sig = [np.frombuffer(b"".join(r[6] for r in side), np.uint32).reshape(-1, PERMUTATIONS) for side in (left, right)]
+            bands = [np.array([band_keys(r) for r in side]) for side in sig]
             a, b = [], []
             for at in range(0, len(i), 8192):
                 p, q = i[at : at + 8192], j[at : at + 8192]
+                shared = bands[0][p] == bands[1][q]
+                here = bands[0][p, shared.argmax(1)] == rows[0][0]
+                p, q = p[here], q[here]
                 keep = survive(sig[0][p], sig[1][q], least)
-                a.append(ids[0][p[keep]])
-                b.append(ids[1][q[keep]])
-            u, v = np.concatenate(a), np.concatenate(b)
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v), pa.int64()), pa.array(np.minimum(u, v), pa.int64())], schema=out) if len(u) else None
+                a.append(p[keep])
+                b.append(q[keep] + len(left))
+            pairs = np.stack([np.concatenate(a), np.concatenate(b)], axis=1)
+            if not len(pairs):
+                return None
+            used, places = np.unique(pairs, return_inverse=True)
+            every_id, every_comp = np.concatenate(ids), np.concatenate(comps)
+            row = (f"{rows[0][0]}/{x}/{y}", every_id[used].tolist(), every_comp[used].tolist(), places.reshape(-1, 2).astype("<u2").tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, out, strict=True)], schema=out)
 
         held: list[tuple] = []
         for batch in batches:
@@ -268,7 +281,71 @@ def crossing(members: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame
         if held and (found := group(held)) is not None:
             yield found
 
-    return dealt.mapInArrow(run, spark_schema).distinct()
+    return dealt.mapInArrow(run, spark_schema)
+
+
+def verify_blocks(blocks: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``(u, v)`` links of the surviving pairs of ``crossing``, on full sets of 64-bit shingle hashes.
+
+    Each text comes once a pair of blocks, whatever the number of its pairs.
+    Pairs whose components a link has joined already add nothing and are passed
+    over. At most two blocks' sets are held at a time.
+    """
+    wanted = blocks.select("g", F.posexplode("ids").alias("at", "id"))
+    rows = wanted.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("g", "at", "text", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<long>").alias("comps"), F.lit(None).cast("binary").alias("pairs"))
+    heads = blocks.select("g", F.lit(-1).alias("at"), F.lit(None).cast("string").alias("text"), "ids", "comps", "pairs")
+    parts = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = heads.unionByName(rows).repartition(parts, "g").sortWithinPartitions("g", "at")
+    spark_schema, out = arrow_schema("u long, v long")
+
+    def run(batches):
+        known = Words()
+        group, ids, comps, pairs, sets = None, [], [], None, {}
+
+        def close() -> pa.RecordBatch | None:
+            root = {c: c for c in comps}
+
+            def top(c: int) -> int:
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            u, v = [], []
+            for i, j in pairs.tolist() if pairs is not None else ():
+                a, b = top(comps[i]), top(comps[j])
+                if a == b:
+                    continue
+                if any(percent_of(x, y, percent) for x in sets.get(i, ()) for y in sets.get(j, ())):
+                    root[max(a, b)] = min(a, b)
+                    u.append(ids[i])
+                    v.append(ids[j])
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=out) if u else None
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                g, at = batch.column("g")[k].as_py(), batch.column("at")[k].as_py()
+                if at < 0:
+                    if group is not None and (found := close()) is not None:
+                        yield found
+                    group, ids, comps = g, batch.column("ids")[k].as_py(), batch.column("comps")[k].as_py()
+                    pairs, sets = np.frombuffer(batch.column("pairs")[k].as_py(), "<u2").reshape(-1, 2), {}
+                else:
+                    sets.setdefault(at, []).append(shingle_hashes(words_of(batch.column("text")[k].as_py() or ""), shingle, known))
+        if group is not None and (found := close()) is not None:
+            yield found
+
+    return dealt.mapInArrow(run, spark_schema)
+
+
+def percent_of(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * |X and Y| >= percent * |X or Y| of sorted distinct arrays."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if 100 * len(small) < percent * len(large) or not len(small):
+        return False
+    at = np.searchsorted(large, small)
+    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
@@ -296,7 +373,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> Dat
     placed = members.join(roots.select(F.col("node").alias("id"), F.col("root")), "id", "left").select("key", "id", F.coalesce("root", "id").alias("comp"))
     more = settle(crossing(placed, sigs, threshold))
     if not more.isEmpty():
-        links = settle(links.unionByName(verify(more, texts, shingle, percent).distinct()))
+        links = settle(links.unionByName(verify_blocks(more, texts, shingle, percent).distinct()))
         roots = settle(components(links))
     names = classes.select("class", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select(
         "class", F.coalesce("root", "id").alias("component_id")
