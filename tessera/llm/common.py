@@ -11,8 +11,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +25,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: the Python objects of a few hundred texts at a time, however long they are.
 SLICE_ROWS = 256
 
+#: Bits of a Bloom filter, whatever is put in (8 MB).
+BLOOM_BITS = 1 << 26
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
@@ -80,6 +85,34 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t if t is not None else "" for t in batch.column(name).to_pylist()]
 
 
+def bloom(rows: DataFrame, hashed: Column) -> bytes:
+    """A Bloom filter of the hashes ``hashed`` of ``rows``: at most BLOOM_BITS / 64 words reach the driver."""
+    at = F.pmod(hashed, F.lit(BLOOM_BITS))
+    bits = np.zeros(BLOOM_BITS // 64, np.uint64)
+    words = rows.select(F.floor(at / 64).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("b"))
+    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    bits[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).view(np.uint64)
+    return bits.tobytes()
+
+
+def likely(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose long ``key`` is not in the one column of ``ids``.
+
+    For the large side of a join that keeps few of its rows: they are dropped
+    before the shuffle. Every row that matches stays; where ``ids`` fill the
+    filter, all rows stay.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(bloom(ids, F.xxhash64(ids.columns[0])))
+
+    @F.pandas_udf("boolean")
+    def may(hashed: pd.Series) -> pd.Series:
+        at = (hashed.to_numpy(np.int64) % BLOOM_BITS).astype(np.uint64)
+        bits = np.frombuffer(shared.value, np.uint64)
+        return pd.Series((bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool))
+
+    return rows.where(may(F.xxhash64(key)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(u, v)`` as ``(node, root)``, root = smallest id.
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, components, map_columns, settle, texts_of
+from .common import arrow_schema, components, likely, map_columns, settle, texts_of
 
 #: A pair at the threshold misses all bands with probability (1 - 0.8**5)**30 = 7e-6.
 BANDS, ROWS = 30, 5
@@ -201,9 +201,8 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
 
         return work
 
-    joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(
-        texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b"
-    )
+    first, second = (likely(texts, "doc_id", pairs.select(n)).select(F.col("doc_id").alias(n), F.col("text").alias(f"t{n}")) for n in ("a", "b"))
+    joined = pairs.join(first, "a").join(second, "b")
     return map_columns(joined.select("a", "b", "ta", "tb"), "u long, v long", make)
 
 
@@ -292,7 +291,7 @@ def verify_blocks(blocks: DataFrame, texts: DataFrame, shingle: int, percent: in
     over. At most two blocks' sets are held at a time.
     """
     wanted = blocks.select("g", F.posexplode("ids").alias("at", "id"))
-    rows = wanted.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("g", "at", "text", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<long>").alias("comps"), F.lit(None).cast("binary").alias("pairs"))
+    rows = wanted.join(likely(texts, "doc_id", wanted.select("id")).select(F.col("doc_id").alias("id"), "text"), "id").select("g", "at", "text", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<long>").alias("comps"), F.lit(None).cast("binary").alias("pairs"))
     heads = blocks.select("g", F.lit(-1).alias("at"), F.lit(None).cast("string").alias("text"), "ids", "comps", "pairs")
     parts = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = heads.unionByName(rows).repartition(parts, "g").sortWithinPartitions("g", "at")

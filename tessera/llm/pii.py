@@ -31,13 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_columns, settle, texts_of
+from .common import BLOOM_BITS, bloom, map_columns, settle, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 NEAR = 4
 MIN_DOCS = 2
 GENERALISE, REMOVE = 0.75, 0.95
-BLOOM_BITS = 1 << 26
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -134,19 +133,9 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     return settle(map_columns(with_uid.select("_pii_uid", *dict.fromkeys([*keep, "text"])), ddl, make))
 
 
-def bloom(terms: DataFrame) -> bytes:
-    """The bits of ``terms(term)``: at most BLOOM_BITS / 64 words reach the driver."""
-    at = F.pmod(F.xxhash64(F.col("term").cast("binary")), F.lit(BLOOM_BITS))
-    bits = np.zeros(BLOOM_BITS // 64, np.uint64)
-    rows = terms.select(F.floor(at / 64).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("b"))
-    got = rows.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    bits[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).view(np.uint64)
-    return bits.tobytes()
-
-
 def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Exact ``(term, df)`` over all ``docs`` of the candidate ``terms``."""
-    shared = docs.sparkSession.sparkContext.broadcast(bloom(terms))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(terms, F.xxhash64(F.col("term").cast("binary"))))
 
     def make():
         bits = np.frombuffer(shared.value, np.uint64)
