@@ -24,19 +24,23 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOOM_BITS, bloom, map_columns, settle, texts_of
+from .common import BLOOM_BITS, SLICE_ROWS, arrow_schema, bloom, map_columns, settle, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 NEAR = 4
 MIN_DOCS = 2
 GENERALISE, REMOVE = 0.75, 0.95
+#: Distinct terms that a task counts before it hands them on.
+TERMS_HELD = 1 << 17
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -134,26 +138,34 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Exact ``(term, df)`` over all ``docs`` of the candidate ``terms``."""
-    shared = docs.sparkSession.sparkContext.broadcast(bloom(terms, F.xxhash64(F.col("term").cast("binary"))))
-
-    def make():
-        bits = np.frombuffer(shared.value, np.uint64)
-        hash64 = xxhash.xxh64_intdigest
+    """Exact ``(term, df)`` over all ``docs`` of the candidate ``terms``, and of the few others that pass the filter.
 
-        def work(batch):
-            out = []
-            for text in texts_of(batch):
-                words = [*{*text.encode("utf-8", "surrogatepass").translate(TERM_BYTES).split()}]
-                at = np.fromiter((hash64(w, 42) for w in words), np.uint64, len(words)) % np.uint64(BLOOM_BITS)
-                hit = bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)
-                out += [words[i].decode("utf-8", "surrogatepass") for i in np.flatnonzero(hit).tolist()]
-            return {"term": out}
-
-        return work
-
-    words = map_columns(docs.select("text"), "term string", make)
-    return words.groupBy("term").agg(F.count("*").alias("df")).join(terms, "term", "left_semi")
+    Tasks count before the shuffle, so it holds a row a term and task at most
+    (or a flush, for more than TERMS_HELD terms), not one a document's word.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(terms, F.xxhash64(F.col("term").cast("binary"))))
+    spark_schema, out = arrow_schema("term string, n long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, hash64, held = np.frombuffer(shared.value, np.uint64), xxhash.xxh64_intdigest, Counter()
+
+        def flush() -> pa.RecordBatch:
+            cols = [w.decode("utf-8", "surrogatepass") for w in held], list(held.values())
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                for text in texts_of(batch.slice(start, SLICE_ROWS)):
+                    words = [*{*text.encode("utf-8", "surrogatepass").translate(TERM_BYTES).split()}]
+                    at = np.fromiter((hash64(w, 42) for w in words), np.uint64, len(words)) % np.uint64(BLOOM_BITS)
+                    hit = bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)
+                    held.update([words[i] for i in np.flatnonzero(hit).tolist()])
+                if len(held) > TERMS_HELD:
+                    yield flush()
+        yield flush()
+
+    return docs.select("text").mapInArrow(run, spark_schema).groupBy("term").agg(F.sum("n").alias("df"))
 
 
 def disclosing(docs: DataFrame, scanned: DataFrame) -> DataFrame:
