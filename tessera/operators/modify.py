@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from math import isqrt
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import scalar
 from ..plans.compile import Plan, Result
-from ..spec import Query, QueryError
+from ..spec import Bracket, Filter, Query, QueryError, walk
 from .joins import _same
 from .predicates import resolve
 
@@ -53,11 +54,22 @@ def precepts(db, name: str, items: DataFrame, rules: dict[str, str]) -> DataFram
             items = items.withColumn(f, scalar.now(arg or "sec"))
         else:
             last = int(ns.meta.get(f"_SERIAL_{f}", 0))
-            items = items.withColumn(f, (F.row_number().over(W.orderBy(*ns.pk)) + last).cast("long"))
-            ns.meta[f"_SERIAL_{f}"] = str(last + items.count())
+            items, total = numbered(items, ns.pk, f, last)
+            ns.meta[f"_SERIAL_{f}"] = str(last + total)
     return items
 
 
+def numbered(items: DataFrame, keys: list[str], name: str, last: int) -> tuple[DataFrame, int]:
+    """Numbers without gaps after ``last``, and how many: ranks in hash groups of the key, behind the groups before."""
+    total = items.count()
+    dealt = items.withColumn("_g", F.pmod(F.xxhash64(*keys), F.lit(max(1, isqrt(total) // 16))))
+    sizes = dealt.groupBy("_g").agg(F.count("*").alias("_n"))
+    starts = sizes.select(F.col("_g").alias("_of"), (F.sum("_n").over(W.orderBy("_g")) - F.col("_n")).alias("_start"))  # a row a group
+    ranked = dealt.withColumn("_rank", F.row_number().over(W.partitionBy("_g").orderBy(*keys)))
+    out = ranked.join(starts, F.col("_g") == F.col("_of")).withColumn(name, (F.col("_start") + F.col("_rank") + last).cast("long"))
+    return out.drop("_g", "_of", "_start", "_rank"), total
+
+
 class Transaction:
     """Steps that become one snapshot: the last one on a key wins."""
 
@@ -104,7 +116,8 @@ def run(db, q: Query) -> Result:
         if db.log is not None:
             db.log.append(q.namespace, "delete", gone, ns.version)
         return Result(gone, counted=gone, db=db, query=q)
-    simple = not (q.limit is not None or q.offset or plan.attached or plan.flags or plan.ranks)
+    plain = all(isinstance(e.item, Bracket) or (isinstance(e.item, Filter) and not isinstance(e.item.left, Query) and not isinstance(e.item.value, Query)) for e in walk(q.where))
+    simple = plain and not (q.limit is not None or q.offset or plan.attached or plan.flags or plan.ranks)
     if simple:  # one pass: the condition as a column
         from .predicates import compile_entries
 

@@ -1,4 +1,4 @@
-"""Conditions as Columns, in two-valued logic: every leaf is true or false before it is negated."""
+"""Conditions as Columns, in two-valued logic: what is null counts as false, before it is negated."""
 
 from __future__ import annotations
 
@@ -174,7 +174,7 @@ def _any(cols: list[Column]) -> Column:
 
 
 def leaf(df: DataFrame, f: Filter, ns: Any = None, strict: str = "names") -> Column:
-    """One condition without subqueries, as true or false."""
+    """One condition without subqueries; null counts as false (bare comparisons reach the scan)."""
     if isinstance(f.left, Func):
         if f.left.name == "flat_array_len":
             if f.cond not in ("eq", "set", "lt", "le", "gt", "ge", "range"):
@@ -191,7 +191,7 @@ def leaf(df: DataFrame, f: Filter, ns: Any = None, strict: str = "names") -> Col
         (x, y), d = f.value
         px, py = scalar.point(field.col, field.kind)
         box = px.between(x - d, x + d) & py.between(y - d, y + d)  # pushed down where the parts are columns
-        return truth(box & ((px - x) * (px - x) + (py - y) * (py - y) <= F.lit(float(d)) * float(d)))
+        return box & ((px - x) * (px - x) + (py - y) * (py - y) <= F.lit(float(d)) * float(d))
     if f.cond == "empty":
         if not field.is_array:
             return field.col.isNull()
@@ -210,10 +210,10 @@ def leaf(df: DataFrame, f: Filter, ns: Any = None, strict: str = "names") -> Col
             return F.lit(False)
         cast = (lambda c: c.try_cast("double")) if isinstance(field.element, T.StringType) != isinstance(other.element, T.StringType) else (lambda c: c)
         if not field.is_array and not other.is_array:
-            return truth(test(cast(field.col), cast(other.col)))
+            return test(cast(field.col), cast(other.col))
         return truth(F.exists(field.values(), lambda a: F.exists(other.values(), lambda b: truth(test(cast(a), cast(b))))))
     if isinstance(f.value, Func):
-        return truth(COMPARE[f.cond](field.col, scalar.now(*f.value.args)))
+        return COMPARE[f.cond](field.col, scalar.now(*f.value.args))
     if f.cond == "allset":
         tests = [element_test(field, "eq", v) for v in dict.fromkeys(f.value)]
         if not tests:
@@ -227,11 +227,11 @@ def leaf(df: DataFrame, f: Filter, ns: Any = None, strict: str = "names") -> Col
     if isinstance(value, list) and cond in ("eq", "match"):
         cond = "set"
     test = element_test(field, cond, value)
-    return truth(F.exists(field.values(), test)) if field.is_array else truth(test(field.col))
+    return F.exists(field.values(), test) if field.is_array else test(field.col)
 
 
 def fold(parts: list[tuple[str, Column]]) -> Column:
-    """Left to right: OR joins the result just before; NOT and AND start a new one."""
+    """Left to right: OR joins the result just before; NOT and AND start a new one. Null is false, so only NOT has to replace it."""
     groups: list[Column] = []
     for op, c in parts:
         if op == "or":
@@ -239,7 +239,7 @@ def fold(parts: list[tuple[str, Column]]) -> Column:
                 raise QueryError("OR can't stand before the first condition")
             groups[-1] = groups[-1] | c
         else:
-            groups.append(~c if op == "not" else c)
+            groups.append(~truth(c) if op == "not" else c)
     out = groups[0] if groups else F.lit(True)
     for g in groups[1:]:
         out = out & g
@@ -295,8 +295,11 @@ def _grouped(df: DataFrame, path: str, field: Field, ns: Any, strict: str) -> tu
     return F.transform(outer.col, down), True
 
 
-def compile_entries(df: DataFrame, entries: list[Entry], positions: list[list[str]], ns: Any, strict: str, special) -> Column:
-    """A condition list as one Column; ``special`` gives the flag of joins, rank conditions and subqueries."""
+def compile_entries(df: DataFrame, entries: list[Entry], positions: list[list[str]], ns: Any, strict: str, special, bare: bool = False) -> Column:
+    """A condition list as one Column; ``special`` gives the flag of joins, rank conditions and subqueries.
+
+    ``bare`` leaves null for false, for filters: comparisons under ``coalesce`` wouldn't be pushed to the scan.
+    """
     extra: list[tuple[str, Column]] = []
     covered: list[int] = []
     for fields in positions:
@@ -308,10 +311,11 @@ def compile_entries(df: DataFrame, entries: list[Entry], positions: list[list[st
         if id(e) in covered:
             continue
         if isinstance(e.item, Bracket):
-            col = compile_entries(df, e.item.entries, e.item.equal_positions, ns, strict, special)
+            col = compile_entries(df, e.item.entries, e.item.equal_positions, ns, strict, special, True)
         else:
             col = special(e)
             if col is None:
                 col = leaf(df, e.item, ns, strict)
         parts.append(("and" if not parts and e.op == "or" else e.op, col))
-    return fold(parts + extra)
+    out = fold(parts + extra)
+    return out if bare else truth(out)

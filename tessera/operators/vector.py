@@ -29,6 +29,12 @@ def score(col: Column, vector: list[float], metric: str) -> Column:
     return dot(col, q) / (F.sqrt(dot(col, col)) * F.lit(norm))
 
 
+def streamed(ns, knn: Knn) -> bool:
+    """KNN over an hnsw field without k or radius: all rows are ranked, and the query's limit cuts after its conditions."""
+    index = ns.index(knn.field)
+    return bool(index and index.kind == "hnsw" and knn.k is None and knn.radius is None and index.radius is None)
+
+
 def nearest(df: DataFrame, ns, knn: Knn, embedder=None) -> DataFrame:
     """``df`` cut to the k nearest rows (or those within the radius), with ``_knn``.
 
@@ -44,7 +50,7 @@ def nearest(df: DataFrame, ns, knn: Knn, embedder=None) -> DataFrame:
     if index and index.dimension and len(vector) != index.dimension:
         raise QueryError(f"the vector has {len(vector)} dimensions, not {index.dimension}")
     radius = knn.radius if knn.radius is not None else (index.radius if index else None)
-    if knn.k is None and radius is None:
+    if knn.k is None and radius is None and not streamed(ns, knn):
         raise QueryError("KNN needs k or a radius")
     kind = df.schema[knn.field].dataType
     many = isinstance(kind.elementType, T.ArrayType)

@@ -96,6 +96,9 @@ class Plan:
         ranked = [e for e in walk(entries) if isinstance(e.item, Knn) or self.is_text(e)]
         if sum(self.is_text(e) for e in ranked) > 1:
             raise QueryError("one full-text condition a query")
+        for e in ranked:
+            if isinstance(e.item, Knn) and vector.streamed(self.ns, e.item) and (len(ranked) > 1 or q.sort or q.limit is None):
+                raise QueryError("KNN without k or a radius needs a limit, and excludes ORDER BY and hybrid search")
         flags: dict[int, Any] = {}
         # ranks come before all other conditions: the nearest are taken first, then filtered
         only_knn = next((e for e in entries if isinstance(e.item, Knn) and e.op == "and"), None) if len(ranked) == 1 else None
@@ -170,7 +173,7 @@ class Plan:
             return f
 
         if kept or q.equal_positions:
-            self.df = self.df.where(compile_entries(self.df, kept, q.equal_positions, self.ns, q.strict, special))
+            self.df = self.df.where(compile_entries(self.df, kept, q.equal_positions, self.ns, q.strict, special, bare=True))
         if "rrf" in self.ranks:  # positions are among the rows that passed
             self.df = self.df.withColumn("_rrf", vector.fuse_rrf(self.df, "_ft", "_knn", *self.fusion))
         return self.df
