@@ -1,14 +1,15 @@
 """Toxicity by a classifier chain of linear models.
 
 Categories are predicted one after the other, each by a logistic model over
-term features and the probabilities of the categories before it. The later
+features of terms (words and beginnings of words) and the probabilities of the categories before it. The later
 models learn on out-of-fold probabilities of the earlier ones, so they see in
 training what they see when scoring.
 
 The table of labels marks toxic documents only; the categories are derived
 from it on the training rows: ``repeated`` (toxic, and at least three indicative
 words), ``indicated`` (toxic, and at least one) and ``toxic`` (the label).
-Indicative words are found by their log-likelihood ratio.
+Indicative terms are found by their log-likelihood ratio; a word counts once,
+however many of its terms are indicative.
 
 The classifier learns on a bounded sample: the ``TRAIN_ROWS`` labelled rows
 first in a seeded hash order. Every document is scored, by its whole text.
@@ -20,6 +21,7 @@ without labels); an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,6 +36,8 @@ FOLDS = 5
 THRESHOLD = 0.5
 SEED = 8
 CATEGORIES = ("repeated", "indicated", "toxic")
+#: Bytes of the beginnings of longer words that are terms beside the words.
+STEMS = (5, 6, 7)
 #: ASCII letters in lower case and bytes beyond ASCII; all else ends a word.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -42,6 +46,11 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LETTERS).split()
 
 
+def terms_of(word: bytes) -> list[bytes]:
+    """The word, and its beginnings marked by a hyphen."""
+    return [word, *(word[:n] + b"-" for n in STEMS if len(word) > n)]
+
+
 @dataclass
 class Chain:
     """Terms, and for each category the weights of terms, statistics and earlier categories."""
@@ -51,29 +60,31 @@ class Chain:
     weights: list[np.ndarray] = field(default_factory=list)
     base: float = 0.0
 
-    def features(self, counts: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-        """Presence of each term, count and density of the indicative ones, a constant."""
-        hits = counts[:, self.strong].sum(1)
+    def features(self, counts: np.ndarray, n_words: np.ndarray, hits: np.ndarray) -> np.ndarray:
+        """Presence of each term, count and density of indicative words, a constant."""
         return np.column_stack([counts > 0, np.log1p(hits), np.minimum(hits, 3), 30 * hits / (n_words + 10), np.ones(len(counts))]).astype(np.float64)
 
-    def predict(self, counts: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    def predict(self, counts: np.ndarray, n_words: np.ndarray, hits: np.ndarray) -> np.ndarray:
         """(n, categories) probabilities, each fed with those before it."""
         if not self.weights:
             return np.full((len(counts), len(CATEGORIES)), self.base)
-        x = self.features(counts, n_words)
+        x = self.features(counts, n_words, hits)
         for w in self.weights:
             x = np.column_stack([x, sigmoid(x @ w)])
         return x[:, -len(self.weights) :]
 
-    def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        out, n = np.zeros((len(texts), len(self.terms)), np.int32), np.zeros(len(texts))
-        index = self.terms
+    def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: its terms' counts, its words, its indicative words."""
+        out, n, hits = np.zeros((len(texts), len(self.terms)), np.int32), np.zeros(len(texts)), np.zeros(len(texts))
+        index, strong = self.terms, self.strong.tolist()
         for i, text in enumerate(texts):
-            words = words_of(text)
-            n[i] = len(words)
-            for k in [index[w] for w in words if w in index]:
-                out[i, k] += 1
-        return out, n
+            words = Counter(words_of(text))
+            n[i] = words.total()
+            for word, times in words.items():
+                if found := [index[t] for t in terms_of(word) if t in index]:
+                    out[i, found] += times
+                    hits[i] += times * any(strong[k] for k in found)
+        return out, n, hits
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -95,9 +106,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 2.0, steps: int = 12)
     return w
 
 
-def fit_chain(chain: Chain, counts: np.ndarray, n_words: np.ndarray, targets: np.ndarray, folds: np.ndarray) -> Chain:
+def fit_chain(chain: Chain, counts: np.ndarray, n_words: np.ndarray, hits: np.ndarray, targets: np.ndarray, folds: np.ndarray) -> Chain:
     """Weights of the chain for ``targets`` (n, categories); later models learn on out-of-fold probabilities."""
-    x = chain.features(counts, n_words)
+    x = chain.features(counts, n_words, hits)
     for c in range(targets.shape[1]):
         y = targets[:, c]
         held = np.zeros(len(y))
@@ -122,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
 
     def make_words():
         def work(batch):
-            out = [(w.decode("utf-8", "surrogatepass"), y) for text, y in zip(texts_of(batch), batch.column("y").to_pylist(), strict=True) for w in {*words_of(text)} if len(w) <= 64]
+            out = [(t.decode("latin-1"), y) for text, y in zip(texts_of(batch), batch.column("y").to_pylist(), strict=True) for t in {t for w in {*words_of(text)} if len(w) <= 64 for t in terms_of(w)}]
             return {"w": [w for w, _ in out], "y": [y for _, y in out]}
 
         return work
@@ -142,22 +153,22 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
     g2 = part(F.col("a"), seen * pos / all_) + part(F.col("b"), seen * neg / all_) + part(pos - F.col("a"), (all_ - seen) * pos / all_) + part(neg - F.col("b"), (all_ - seen) * neg / all_)
     odds = F.ln((F.col("a") + 0.5) / (pos + 1)) - F.ln((F.col("b") + 0.5) / (neg + 1))
     best = df.where("a + b >= 3").withColumn("g2", g2).withColumn("odds", odds).orderBy(F.desc("g2"), "w").limit(TERMS).collect()
-    chain = Chain({r["w"].encode("utf-8", "surrogatepass"): i for i, r in enumerate(best)}, np.array([r["odds"] > 1.5 and r["g2"] > 20 for r in best], bool))
+    chain = Chain({r["w"].encode("latin-1"): i for i, r in enumerate(best)}, np.array([r["odds"] > 1.5 and r["g2"] > 20 for r in best], bool))
 
     def make_counts():
         def work(batch):
-            counts, words = chain.count(texts_of(batch))
-            return {"doc_id": batch.column("doc_id"), "y": batch.column("y"), "n": words.tolist(), "c": [np.minimum(c, 255).astype(np.uint8).tobytes() for c in counts]}
+            counts, words, hits = chain.count(texts_of(batch))
+            return {"doc_id": batch.column("doc_id"), "y": batch.column("y"), "n": words.tolist(), "h": hits.tolist(), "c": [np.minimum(c, 255).astype(np.uint8).tobytes() for c in counts]}
 
         return work
 
-    got = map_columns(rows.select("doc_id", "text", "y"), "doc_id long, y int, n double, c binary", make_counts)
+    got = map_columns(rows.select("doc_id", "text", "y"), "doc_id long, y int, n double, h double, c binary", make_counts)
     got = got.orderBy(F.xxhash64(F.col("doc_id"), F.lit(SEED)), "doc_id").limit(TRAIN_ROWS).collect()
     counts = np.frombuffer(b"".join(bytes(r["c"]) for r in got), np.uint8).reshape(len(got), -1).astype(np.int32)
     y = np.array([r["y"] for r in got])
-    hits = counts[:, chain.strong].sum(1)
+    hits = np.array([r["h"] for r in got])
     targets = np.column_stack([(y == 1) & (hits >= 3), (y == 1) & (hits >= 1), y == 1]).astype(np.float64)
-    return fit_chain(chain, counts, np.array([r["n"] for r in got]), targets, np.arange(len(got)) % FOLDS)
+    return fit_chain(chain, counts, np.array([r["n"] for r in got]), hits, targets, np.arange(len(got)) % FOLDS)
 
 
 def score(docs: DataFrame, chain: Chain, keep: list[str]) -> DataFrame:
