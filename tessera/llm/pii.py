@@ -115,16 +115,17 @@ def near_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str,
 
 
 def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Per row: ``_pii_uid``, the columns ``keep``, counts, base spans, candidate terms; settled."""
+    """Per row: ``_pii_uid``, the columns ``keep``, counts, base spans, distinct entities, candidate terms; settled."""
 
     def make():
         def work(batch):
-            cols = {n: [] for n in ("_pii_n", "_pii_base", "_pii_near")}
+            cols = {n: [] for n in ("_pii_n", "_pii_base", "_pii_entities", "_pii_near")}
             for text in texts_of(batch):
                 spans = base_spans(text)
                 kinds = [k for k, _, _ in spans]
                 cols["_pii_n"].append([kinds.count(k) for k in KINDS])
                 cols["_pii_base"].append(",".join(f"{k}:{s}:{e}" for k, s, e in spans))
+                cols["_pii_entities"].append([*dict.fromkeys(f"{k}:{text[s:e].lower()}" for k, s, e in spans)])
                 cols["_pii_near"].append([dict(zip(("entity", "term", "s", "e"), t, strict=True)) for t in near_terms(text, spans)] if spans else [])
             return cols | {n: batch.column(n) for n in kept}
 
@@ -132,7 +133,7 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     kept = ["_pii_uid", *keep]
     types = {n: docs.schema[n].dataType.simpleString() for n in keep}
-    ddl = ", ".join(["_pii_uid long", *(f"`{n}` {t}" for n, t in types.items()), "_pii_n array<long>, _pii_base string, _pii_near array<struct<entity:string,term:string,s:long,e:long>>"])
+    ddl = ", ".join(["_pii_uid long", *(f"`{n}` {t}" for n, t in types.items()), "_pii_n array<long>, _pii_base string, _pii_entities array<string>, _pii_near array<struct<entity:string,term:string,s:long,e:long>>"])
     with_uid = docs.withColumn("_pii_uid", F.monotonically_increasing_id())
     return settle(map_columns(with_uid.select("_pii_uid", *dict.fromkeys([*keep, "text"])), ddl, make))
 
@@ -175,7 +176,7 @@ def disclosing(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     near = settle(near)
     pairs = near.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= MIN_DOCS)
     pairs = settle(pairs)
-    alone = near.select("_pii_uid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    alone = scanned.select(F.explode("_pii_entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     df = document_frequency(docs, pairs.select("term").distinct())
     n = F.lit(float(total))
     gain = F.log2(F.col("both") * n / (F.col("n_entity") * F.col("df")))
@@ -199,7 +200,7 @@ def find(docs: DataFrame, keep: list[str]) -> DataFrame:
         .groupBy("_pii_uid")
         .agg(F.sort_array(F.collect_list(F.struct("s", "e", "disclosure"))).alias("_pii_terms"))
     )
-    return scanned.drop("_pii_near").join(hits, "_pii_uid", "left")
+    return scanned.drop("_pii_entities", "_pii_near").join(hits, "_pii_uid", "left")
 
 
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}

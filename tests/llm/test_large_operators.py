@@ -76,6 +76,13 @@ def test_pii_disclosure(spark):
     assert clean[102] == "zebra" and clean[100] in ("[TERM] [EMAIL]", " [EMAIL]") and "@" not in "".join(clean.values())
 
 
+def test_pii_counts_entities_that_stand_alone(spark):
+    texts = ["marmalade lone@x.org"] * 4 + ["lone@x.org"] * 36 + ["marmalade"] * 11 + ["nothing"] * 949
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert not any(t == "marmalade" for _, t, _ in pii.disclosing(df, pii.scan(df, ["doc_id"])).collect())
+    assert np.log2(4 * 1000 / (40 * 15)) / np.log2(1000 / 40) < pii.GENERALISE < np.log2(1000 / 15) / np.log2(1000 / 4)
+
+
 def test_pii_bloom_hash_agrees(spark):
     import xxhash
 
