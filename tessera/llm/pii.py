@@ -1,19 +1,27 @@
 """PII: exact base patterns, and terms that reveal them by corpus co-occurrence.
 
 Base kinds are e-mail addresses, IP addresses, payment cards and phone numbers.
-Each distinct value is a protected entity. The words next to an entity (on its
-line, ``NEAR`` on either side) are candidate terms. Over all documents,
+Each distinct value is a protected entity. Every word of a document that holds
+an entity is a candidate term, whatever its length and wherever it stands. Over
+all documents,
 
     disclosure(term, entity) = log2(p(entity, term) / (p(entity) p(term))) / -log2 p(entity)
 
 is the share of the entity's information content that the term gives away: 1
-if the term never occurs without it, 0 if independent. Terms seen with the
-entity in at least ``MIN_DOCS`` documents are removed next to it from
-``REMOVE`` on, and generalised to a placeholder from ``GENERALISE`` on.
+if the term never occurs without it, 0 if independent. Terms that share at
+least ``MIN_DOCS`` documents with the entity are removed from ``REMOVE`` on, and
+generalised to a placeholder from ``GENERALISE`` on, at every occurrence outside
+base spans in the documents that hold the entity. Documents without the entity
+keep the term.
 
-Document frequencies are exact: a Bloom filter of fixed size (8 MB, whatever
-the corpus) of the candidate terms is all that is broadcast; it thins the
-words of each document before they are counted and joined exactly.
+Nothing is lost to pruning: an entity of fewer than MIN_DOCS documents has no
+term of that many, and as both <= n_entity, a term of more than
+n (n_entity / n) ^ GENERALISE documents stays below GENERALISE.
+
+Document frequencies and pair counts are exact: Bloom filters of fixed size
+(8 MB each, whatever the corpus) of entities, terms and pairs are all that is
+broadcast; they thin the words of each document before they are counted and
+joined exactly. A word counts once a document, inside base spans too.
 
 Defined results: null text is empty; repeated rows are documents each; an
 empty table gives an empty result; texts of any length are scanned whole by
@@ -24,22 +32,23 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BLOOM_BITS, SLICE_ROWS, arrow_schema, bloom, map_columns, settle, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
-NEAR = 4
 MIN_DOCS = 2
 GENERALISE, REMOVE = 0.75, 0.95
-#: Distinct terms that a task counts before it hands them on.
+#: Distinct terms, or pairs, that a task counts before it hands them on.
 TERMS_HELD = 1 << 17
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -96,88 +105,137 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def near_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words next to each span on its line, outside all spans."""
-    out = []
-    for kind, start, end in spans:
-        entity = f"{kind}:{text[start:end].lower()}"
-        line = text.rfind("\n", 0, start) + 1
-        stop = text.find("\n", end)
-        stop = len(text) if stop < 0 else stop
-        left = max(line, start - 120)
-        right = min(stop, end + 120)
-        before = [(left + m.start(), left + m.end()) for m in TERM.finditer(text[left:start]) if m.start() or left == line]
-        after = [(end + m.start(), end + m.end()) for m in TERM.finditer(text[end:right]) if end + m.end() < right or right == stop]
-        for s, e in before[-NEAR:] + after[:NEAR]:
-            if e - s >= 4 and not any(s < b and a < e for _, a, b in spans):
-                out.append((entity, text[s:e].encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"), s, e))
+def words_of(text: str) -> list[bytes]:
+    """The distinct terms of a text."""
+    return [*{*text.encode("utf-8", "surrogatepass").translate(TERM_BYTES).split()}]
+
+
+def passing(bits: np.ndarray, keys: list[bytes]) -> list[bytes]:
+    """The keys that may be in a Bloom filter."""
+    at = np.fromiter((xxhash.xxh64_intdigest(k, 42) for k in keys), np.uint64, len(keys)) % np.uint64(BLOOM_BITS)
+    hit = bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)
+    return [keys[i] for i in np.flatnonzero(hit).tolist()]
+
+
+def hashed(*names: str) -> Column:
+    """The hash of ``passing`` for a column, or for columns with a zero byte between."""
+    return F.xxhash64(F.concat_ws("\0", *names).cast("binary"))
+
+
+def occurrences(text: str, words: set[bytes], spans: list[tuple[int, int]]) -> dict[bytes, list[tuple[int, int]]]:
+    """(start, end) of the words outside all spans."""
+    spans = sorted(spans)
+    starts, ends = [s for s, _ in spans], [*accumulate((e for _, e in spans), max)]
+    out = {}
+    for m in TERM.finditer(text):
+        s, e = m.span()
+        if (w := text[s:e].encode("utf-8", "surrogatepass").lower()) in words:
+            i = bisect_left(starts, e)
+            if not i or ends[i - 1] <= s:
+                out.setdefault(w, []).append((s, e))
     return out
 
 
 def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Per row: ``_pii_uid``, the columns ``keep``, counts, base spans, distinct entities, candidate terms; settled."""
+    """Per row: ``_pii_uid``, the columns ``keep``, counts, base spans, distinct entities, and the text if there are any; settled."""
 
     def make():
         def work(batch):
-            cols = {n: [] for n in ("_pii_n", "_pii_base", "_pii_entities", "_pii_near")}
+            cols = {n: [] for n in ("_pii_n", "_pii_base", "_pii_entities", "_pii_text")}
             for text in texts_of(batch):
                 spans = base_spans(text)
                 kinds = [k for k, _, _ in spans]
                 cols["_pii_n"].append([kinds.count(k) for k in KINDS])
                 cols["_pii_base"].append(",".join(f"{k}:{s}:{e}" for k, s, e in spans))
                 cols["_pii_entities"].append([*dict.fromkeys(f"{k}:{text[s:e].lower()}" for k, s, e in spans)])
-                cols["_pii_near"].append([dict(zip(("entity", "term", "s", "e"), t, strict=True)) for t in near_terms(text, spans)] if spans else [])
+                cols["_pii_text"].append(text if spans else None)
             return cols | {n: batch.column(n) for n in kept}
 
         return work
 
     kept = ["_pii_uid", *keep]
     types = {n: docs.schema[n].dataType.simpleString() for n in keep}
-    ddl = ", ".join(["_pii_uid long", *(f"`{n}` {t}" for n, t in types.items()), "_pii_n array<long>, _pii_base string, _pii_entities array<string>, _pii_near array<struct<entity:string,term:string,s:long,e:long>>"])
+    ddl = ", ".join(["_pii_uid long", *(f"`{n}` {t}" for n, t in types.items()), "_pii_n array<long>, _pii_base string, _pii_entities array<string>, _pii_text string"])
     with_uid = docs.withColumn("_pii_uid", F.monotonically_increasing_id())
     return settle(map_columns(with_uid.select("_pii_uid", *dict.fromkeys([*keep, "text"])), ddl, make))
 
 
-def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Exact ``(term, df)`` over all ``docs`` of the candidate ``terms``, and of the few others that pass the filter.
+def counted(rows: DataFrame, ddl: str, keys: Callable[[pa.RecordBatch], Iterator]) -> DataFrame:
+    """Of the ``keys`` (tuples of bytes) of all rows: columns of ``ddl``, the last of them how often a key came, by task.
 
-    Tasks count before the shuffle, so it holds a row a term and task at most
-    (or a flush, for more than TERMS_HELD terms), not one a document's word.
+    Tasks count before the shuffle, so it holds a row a key and task at most
+    (or a flush, for more than TERMS_HELD keys), not one a document's word.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bloom(terms, F.xxhash64(F.col("term").cast("binary"))))
-    spark_schema, out = arrow_schema("term string, n long")
+    spark_schema, out = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, hash64, held = np.frombuffer(shared.value, np.uint64), xxhash.xxh64_intdigest, Counter()
+        held = Counter()
 
         def flush() -> pa.RecordBatch:
-            cols = [w.decode("utf-8", "surrogatepass") for w in held], list(held.values())
+            cols = [[k[i].decode("utf-8", "surrogatepass") for k in held] for i in range(len(out) - 1)] + [list(held.values())]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)
 
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
-                for text in texts_of(batch.slice(start, SLICE_ROWS)):
-                    words = [*{*text.encode("utf-8", "surrogatepass").translate(TERM_BYTES).split()}]
-                    at = np.fromiter((hash64(w, 42) for w in words), np.uint64, len(words)) % np.uint64(BLOOM_BITS)
-                    hit = bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)
-                    held.update([words[i] for i in np.flatnonzero(hit).tolist()])
-                if len(held) > TERMS_HELD:
-                    yield flush()
+                for some in keys(batch.slice(start, SLICE_ROWS)):
+                    held.update(some)
+                    if len(held) > TERMS_HELD:
+                        yield flush()
         yield flush()
 
-    return docs.select("text").mapInArrow(run, spark_schema).groupBy("term").agg(F.sum("n").alias("df"))
+    return rows.mapInArrow(run, spark_schema)
+
+
+def bits_of(shared) -> np.ndarray:
+    return np.frombuffer(shared.value, np.uint64)
+
+
+def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Exact ``(term, df)`` over all ``docs`` of the candidate ``terms``, and of the few others that pass the filter."""
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(terms, hashed("term")))
+
+    def keys(batch: pa.RecordBatch) -> Iterator:
+        bits = bits_of(shared)
+        for text in texts_of(batch):
+            yield [(w,) for w in passing(bits, words_of(text))]
+
+    return counted(docs.select("text"), "term string, n long", keys).groupBy("term").agg(F.sum("n").alias("df"))
+
+
+def entities_of(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
+    for text, entities in zip(batch.column("_pii_text").to_pylist(), batch.column("_pii_entities").to_pylist(), strict=True):
+        yield text, [e.encode() for e in entities]
 
 
 def disclosing(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """``(entity, term, disclosure)`` from GENERALISE on, settled."""
+    context = docs.sparkSession.sparkContext
     total = scanned.count()
-    near = scanned.select("_pii_uid", F.explode("_pii_near").alias("x")).select("_pii_uid", "x.entity", "x.term").distinct()
-    near = settle(near)
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= MIN_DOCS)
-    pairs = settle(pairs)
-    alone = scanned.select(F.explode("_pii_entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    df = document_frequency(docs, pairs.select("term").distinct())
+    holding = scanned.where("_pii_text is not null").select("_pii_text", "_pii_entities")
+    alone = settle(scanned.select(F.explode("_pii_entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= MIN_DOCS))
+    repeated = context.broadcast(bloom(alone, hashed("entity")))
+
+    def candidates(batch: pa.RecordBatch) -> Iterator:
+        bits = bits_of(repeated)
+        for text, entities in entities_of(batch):
+            if passing(bits, entities):
+                yield [(w,) for w in words_of(text)]
+
+    most = total * ((alone.agg(F.max("n_entity")).head()[0] or 0) / max(total, 1)) ** GENERALISE * (1 + 1e-9)
+    df = document_frequency(docs, counted(holding, "term string, n long", candidates).select("term").distinct())
+    df = settle(df.where((F.col("df") >= MIN_DOCS) & (F.col("df") <= most)))
+    rare = context.broadcast(bloom(df, hashed("term")))
+
+    def pairs_of(batch: pa.RecordBatch) -> Iterator:
+        for text, entities in entities_of(batch):
+            if found := passing(bits_of(repeated), entities):
+                words = passing(bits_of(rare), words_of(text))
+                for entity in found:
+                    yield [(entity, w) for w in words]
+
+    pairs = counted(holding, "entity string, term string, n long", pairs_of)
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("both")).where(F.col("both") >= MIN_DOCS)
     n = F.lit(float(total))
     gain = F.log2(F.col("both") * n / (F.col("n_entity") * F.col("df")))
     content = -F.log2(F.col("n_entity") / n)
@@ -191,16 +249,36 @@ def find(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``scan`` plus ``_pii_terms``: the disclosing terms' spans by start."""
     scanned = scan(docs, keep)
     revealing = disclosing(docs, scanned)
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(revealing, hashed("entity", "term")))
+    spark_schema, out = arrow_schema("_pii_uid long, entity string, term string, at array<struct<s:long,e:long>>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bits_of(shared)
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                for uid, (text, entities), base in zip(part.column("_pii_uid").to_pylist(), entities_of(part), part.column("_pii_base").to_pylist(), strict=True):
+                    words = words_of(text)
+                    met = {e: [k[len(e) + 1 :] for k in passing(bits, [e + b"\0" + w for w in words])] for e in entities}
+                    spans = [(int(s), int(e)) for _, s, e in (x.split(":") for x in base.split(","))]
+                    at = occurrences(text, {w for some in met.values() for w in some}, spans)
+                    for entity, some in met.items():
+                        if some := [w for w in some if w in at]:
+                            cols = [uid] * len(some), [entity.decode()] * len(some), [w.decode("utf-8", "surrogatepass") for w in some], [[{"s": s, "e": e} for s, e in at[w]] for w in some]
+                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)
+
     hits = (
-        scanned.select("_pii_uid", F.explode("_pii_near").alias("x"))
-        .select("_pii_uid", "x.*")
+        scanned.where("_pii_text is not null")
+        .select("_pii_uid", "_pii_text", "_pii_entities", "_pii_base")
+        .mapInArrow(run, spark_schema)
         .join(revealing, ["entity", "term"])
-        .groupBy("_pii_uid", "s", "e")
-        .agg(F.max("disclosure").alias("disclosure"))
+        .groupBy("_pii_uid", "term")
+        .agg(F.first("at").alias("at"), F.max("disclosure").alias("disclosure"))
+        .select("_pii_uid", F.transform("at", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.col("disclosure"))).alias("at"))
         .groupBy("_pii_uid")
-        .agg(F.sort_array(F.collect_list(F.struct("s", "e", "disclosure"))).alias("_pii_terms"))
+        .agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("_pii_terms"))
     )
-    return scanned.drop("_pii_entities", "_pii_near").join(hits, "_pii_uid", "left")
+    return scanned.drop("_pii_entities", "_pii_text").join(hits, "_pii_uid", "left")
 
 
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}

@@ -83,6 +83,40 @@ def test_pii_counts_entities_that_stand_alone(spark):
     assert np.log2(4 * 1000 / (40 * 15)) / np.log2(1000 / 40) < pii.GENERALISE < np.log2(1000 / 15) / np.log2(1000 / 4)
 
 
+def test_pii_terms_over_whole_texts(spark):
+    rng = random.Random(5)
+    common = [f"word{i}" for i in range(300)]
+    texts = []
+    for i in range(400):
+        words = rng.choices(common, k=40)
+        if i < 6:
+            words[0], words[-1] = "Quixote", f"\n\nx{i % 2}@x.org"
+            words[20] = "Zed"
+        elif i < 8:
+            words[0], words[10] = "solo@y.org", "solo"
+        texts.append(" ".join(words))
+    texts += ["no such thing as zed", ""]
+    df, n = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), len(texts)
+    has = [{*re.findall("[a-z]+", t.lower())} for t in texts]
+    ents = [{f"{k}:{t[s:e].lower()}" for k, s, e in naive_spans(t)} for t in texts]
+    want = {}
+    for e in set().union(*ents):
+        held = [i for i in range(n) if e in ents[i]]
+        for w in set().union(*(has[i] for i in held)):
+            both = sum(w in has[i] for i in held)
+            share = np.log2(both * n / (len(held) * sum(w in h for h in has))) / -np.log2(len(held) / n)
+            if both >= pii.MIN_DOCS and share >= pii.GENERALISE:
+                want[e, w] = share
+    assert {w for _, w in want} >= {"quixote", "zed", "solo"}
+    got = {(r.entity, r.term): r.disclosure for r in pii.disclosing(df, pii.scan(df, ["doc_id"])).collect()}
+    assert got == pytest.approx(want)
+    for r in pii.find(df, ["doc_id"]).collect():
+        terms = {w for e, w in want if e in ents[r.doc_id]}
+        spans = naive_spans(texts[r.doc_id])
+        words = [m for m in re.finditer("[A-Za-z]+", texts[r.doc_id]) if m[0].lower() in terms and not any(m.start() < e and s < m.end() for _, s, e in spans)]
+        assert [(t.s, t.e) for t in r._pii_terms or []] == [m.span() for m in words]
+
+
 def test_pii_bloom_hash_agrees(spark):
     import xxhash
 
