@@ -1,7 +1,8 @@
 """Quality classifier: a generalised additive model with pairwise interactions.
 
 Cyclic boosting: in every round each feature in turn gets a shallow tree (up
-to four leaves over its bins) fitted to the current gradients, added to the
+to four leaves over its bins: one of each frequent value, such as zero, and
+quantiles of the others) fitted to the current gradients, added to the
 feature's lookup table. Then the pairs of features whose coarse grid explains
 most of the remaining gradient get tables of their own, boosted by trees of
 one split in each feature. A score is the sigmoid of one table entry a feature
@@ -97,6 +98,7 @@ def described(docs: DataFrame, keep: list[str]) -> DataFrame:
 @dataclass
 class Additive:
     edges: list[np.ndarray] = field(default_factory=list)
+    coarse_edges: list[np.ndarray] = field(default_factory=list)
     tables: list[np.ndarray] = field(default_factory=list)
     pairs: dict[tuple[int, int], np.ndarray] = field(default_factory=dict)
     base: float = 0.0
@@ -104,8 +106,8 @@ class Additive:
     def bins(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(self.edges)], axis=1)
 
-    def coarse(self, bins: np.ndarray) -> np.ndarray:
-        return bins * COARSE // BINS
+    def coarse(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(self.coarse_edges)], axis=1)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         z = np.full(len(x), self.base)
@@ -113,12 +115,22 @@ class Additive:
             bins = self.bins(x)
             for j, table in enumerate(self.tables):
                 z += table[bins[:, j]]
-            small = self.coarse(bins)
+            small = self.coarse(x)
             for (a, b), grid in self.pairs.items():
                 z += grid[small[:, a], small[:, b]]
         return sigmoid(z)
 
 
+def edges_of(x: np.ndarray, bins: int) -> np.ndarray:
+    """Bin edges of a feature: each value of at least 1 / ``bins`` of the rows alone, the others by their quantiles."""
+    values, times = np.unique(x, return_counts=True)
+    frequent = values[times * bins >= len(x)]
+    rest = x[~np.isin(x, frequent)]
+    inner = np.quantile(rest, np.linspace(0, 1, bins + 1)[1:-1]) if len(rest) else []
+    edges = np.unique(np.concatenate([frequent, np.nextafter(frequent, np.inf), inner]))
+    return edges[edges > values[0]]
+
+
 def _gain(g: np.ndarray, h: np.ndarray) -> np.ndarray:
     return g * g / (h + 1.0)
 
@@ -169,29 +181,31 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
         return Additive(base=float(np.log(np.clip(rate, 1e-3, 1 - 1e-3) / (1 - np.clip(rate, 1e-3, 1 - 1e-3)))))
     model = Additive(base=float(np.log(rate / (1 - rate))))
     for j in range(x.shape[1]):
-        model.edges.append(np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])))
+        model.edges.append(edges_of(x[:, j], BINS))
+        model.coarse_edges.append(edges_of(x[:, j], COARSE))
     bins = model.bins(x)
-    model.tables = [np.zeros(BINS) for _ in model.edges]
+    model.tables = [np.zeros(len(e) + 1) for e in model.edges]
     z = np.full(len(y), model.base)
     for _ in range(ROUNDS):
         for j in range(x.shape[1]):
             p = sigmoid(z)
-            step = RATE * shallow_tree(np.bincount(bins[:, j], y - p, BINS), np.bincount(bins[:, j], p * (1 - p), BINS))
+            step = RATE * shallow_tree(np.bincount(bins[:, j], y - p, len(model.tables[j])), np.bincount(bins[:, j], p * (1 - p), len(model.tables[j])))
             model.tables[j] += step
             z += step[bins[:, j]]
-    small = model.coarse(bins)
-    cell = lambda a, b: small[:, a] * COARSE + small[:, b]
-    grid = lambda at, w: np.bincount(at, w, COARSE * COARSE).reshape(COARSE, COARSE)
+    small = model.coarse(x)
+    sizes = [len(e) + 1 for e in model.coarse_edges]
+    cell = lambda a, b: small[:, a] * sizes[b] + small[:, b]
+    grid = lambda a, b, w: np.bincount(cell(a, b), w, sizes[a] * sizes[b]).reshape(sizes[a], sizes[b])
     p = sigmoid(z)
-    gains = {(a, b): quadrants(grid(cell(a, b), y - p), grid(cell(a, b), p * (1 - p)))[0] for a, b in combinations(range(x.shape[1]), 2)}
+    gains = {(a, b): quadrants(grid(a, b, y - p), grid(a, b, p * (1 - p)))[0] for a, b in combinations(range(x.shape[1]), 2)}
     for pair in sorted(gains, key=lambda k: (-gains[k], k))[:PAIRS]:
-        model.pairs[pair] = np.zeros((COARSE, COARSE))
+        model.pairs[pair] = np.zeros((sizes[pair[0]], sizes[pair[1]]))
     for _ in range(PAIR_ROUNDS):
         for (a, b), table in model.pairs.items():
-            p, at = sigmoid(z), cell(a, b)
-            step = RATE * quadrants(grid(at, y - p), grid(at, p * (1 - p)))[1]
+            p = sigmoid(z)
+            step = RATE * quadrants(grid(a, b, y - p), grid(a, b, p * (1 - p)))[1]
             table += step
-            z += step.reshape(-1)[at]
+            z += step.reshape(-1)[cell(a, b)]
     return model
 
 

@@ -285,6 +285,25 @@ def test_quality_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_quality_sees_rare_values_of_a_feature():
+    rng = np.random.default_rng(6)
+    x = rng.random((2000, len(quality.FEATURES)))
+    y = (rng.random(2000) < 0.7).astype(float)
+    x[:, 7] = 0
+    x[:40, 7], y[:40] = rng.random(40), 0  # 2% of the rows
+    x[:, 8] = 0
+    x[40:120, 8], y[40:120] = np.linspace(1e-6, 1, 80), 0  # 4%; the smallest are not zero either
+    x[:, 9] = np.where(rng.random(2000) < 0.5, 3, rng.integers(0, 3, 2000))
+    x[120:150, 9], y[120:150] = 4, 0  # 1.5% above a frequent value
+    model = quality.fit(x, y)
+    assert (model.predict(x[:150]) < quality.THRESHOLD).all()
+    bins, small = model.bins(x), model.coarse(x)
+    for j, junk in ((7, slice(0, 40)), (8, slice(40, 120)), (9, slice(120, 150))):
+        other = np.delete(np.arange(2000), np.arange(2000)[junk])
+        assert not {*bins[junk, j]} & {*bins[other, j]} and not {*small[junk, j]} & {*small[other, j]}
+    assert model.predict(x[150:]).mean() > 0.6
+
+
 def test_quality_odd(spark, odd):
     rows = quality.described(odd, ["doc_id"])
     labels = spark.createDataFrame([(1, 0, 1), (6, 1, 0), (6, 1, 0), (None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int")
