@@ -76,22 +76,43 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     return flat.reshape(shape).astype(np.uint8 if most < 256 else np.uint16)
 
 
+def masked(pixels: np.ndarray, masks: tuple[int, ...]) -> np.ndarray:
+    """Channels cut out of whole pixels by their bit masks, scaled to bytes; an empty mask gives zeros."""
+    out = np.zeros((*pixels.shape, len(masks)), np.uint8)
+    for c, mask in enumerate(masks):
+        if mask:
+            shift = (mask & -mask).bit_length() - 1
+            most = mask >> shift
+            if most & (most + 1):
+                raise ValueError("BMP mask with gaps")
+            out[:, :, c] = (((pixels.astype(np.uint64) & np.uint64(mask)) >> np.uint64(shift)) * np.uint64(255) + np.uint64(most // 2)) // np.uint64(most)
+    return out
+
+
 def decode_bmp(data: bytes) -> np.ndarray:
     start, head = struct.unpack_from("<I", data, 10)[0], struct.unpack_from("<I", data, 14)[0]
-    if head < 40:
-        raise ValueError("old BMP header")
-    width, height, _, bits, packing = struct.unpack_from("<iiHHI", data, 18)
-    if packing not in (0, 3) or width <= 0 or height == 0 or bits not in (1, 4, 8, 24, 32):
+    if head == 12:
+        width, height, _, bits, packing = *struct.unpack_from("<HHHH", data, 18), 0
+    elif head >= 40:
+        width, height, _, bits, packing = struct.unpack_from("<iiHHI", data, 18)
+    else:
+        raise ValueError("unknown BMP header")
+    if packing in (1, 2):
+        raise ValueError("run-length BMP")
+    if width <= 0 or height == 0 or bits not in {0: (1, 4, 8, 24) if head == 12 else (1, 4, 8, 16, 24, 32), 3: (16, 32), 6: (16, 32)}.get(packing, ()):
         raise ValueError("unsupported BMP")
     rows, line = abs(height), (width * bits + 31) // 32 * 4
     raw = np.frombuffer(data, np.uint8, line * rows, start).reshape(rows, line)
     if height > 0:
         raw = raw[::-1]
+    if bits == 16 or packing:
+        masks = struct.unpack_from("<III", data, 54) if packing else (0x7C00, 0x3E0, 0x1F)
+        return masked(raw[:, : width * bits // 8].copy().view(f"<u{bits // 8}"), masks)
     if bits >= 24:
         step = bits // 8
         return raw[:, : width * step].reshape(rows, width, step)[:, :, 2::-1].copy()
-    used = struct.unpack_from("<I", data, 46)[0] or 1 << bits
-    palette = np.frombuffer(data, np.uint8, used * 4, 14 + head).reshape(used, 4)[:, 2::-1]
+    used, entry = (1 << bits, 3) if head == 12 else (struct.unpack_from("<I", data, 46)[0] or 1 << bits, 4)
+    palette = np.frombuffer(data, np.uint8, used * entry, 14 + head).reshape(used, entry)[:, 2::-1]
     per = 8 // bits
     shifts = np.arange(per - 1, -1, -1) * bits
     index = ((raw[:, :, None] >> shifts) & ((1 << bits) - 1)).reshape(rows, -1)[:, :width]

@@ -4,6 +4,7 @@ import hashlib
 import io
 import math
 import random
+import struct
 import zlib
 from collections import defaultdict
 
@@ -116,6 +117,31 @@ def test_media_formats(spark):
     assert all(got[i].tile is None and got[i].error for i in (2, 3, 4))
 
 
+def test_bmp_masks_and_headers():
+    image = np.random.default_rng(3).integers(0, 256, (3, 5, 3)).astype(np.uint8)
+    r, g, b = (image[::-1, :, c].astype(np.uint32) for c in range(3))
+
+    def bmp(body, bits, packing=0, masks=b""):
+        return struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 0, 0, 0, 54 + len(masks), 40, 5, 3, 1, bits, packing, 0, 0, 0, 0, 0) + masks + body
+
+    swapped = bmp((b << 16 | g << 8 | r).astype("<u4").tobytes(), 32, 3, struct.pack("<III", 0xFF, 0xFF00, 0xFF0000))
+    assert (media.decode(swapped) == image).all()
+    for masks, bits, packing in (((0x7C00, 0x3E0, 0x1F), (5, 5, 5), 0), ((0xF800, 0x7E0, 0x1F), (5, 6, 5), 3)):
+        levels = [v >> (8 - n) for v, n in zip((r, g, b), bits, strict=True)]
+        line = np.zeros((3, 6), "<u2")
+        line[:, :5] = levels[0] << (bits[1] + bits[2]) | levels[1] << bits[2] | levels[2]
+        want = np.stack([np.rint(v * 255 / (2**n - 1)) for v, n in zip(levels, bits, strict=True)], axis=2)[::-1]
+        assert (media.decode(bmp(line.tobytes(), 16, packing, struct.pack("<III", *masks) if packing else b"")) == want).all()
+    body = np.zeros((3, 16), np.uint8)
+    body[:, :15] = image[::-1, :, ::-1].reshape(3, 15)
+    core = struct.pack("<2sIHHIIHHHH", b"BM", 0, 0, 0, 26, 12, 5, 3, 1, 24)
+    assert (media.decode(core + body.tobytes()) == image).all()
+    colours = struct.pack("<2sIHHIIHHHH", b"BM", 0, 0, 0, 32, 12, 2, 1, 1, 1) + bytes((1, 2, 3, 4, 5, 6)) + bytes((0x40, 0, 0, 0))
+    assert media.decode(colours).tolist() == [[[3, 2, 1], [6, 5, 4]]]
+    with pytest.raises(ValueError, match="run-length"):
+        media.decode(bmp(b"\0" * 8, 8, 1))
+
+
 def test_area_resize_is_exact():
     rng = np.random.default_rng(2)
     for shape, target in (((6, 9), (2, 3)), ((5, 7), (3, 4)), ((1, 64), (8, 9)), ((13, 4), (13, 4))):
