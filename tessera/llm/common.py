@@ -8,8 +8,10 @@ driver and executors), never a local checkpoint.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pandas as pd
@@ -30,18 +32,30 @@ BLOOM_BITS = 1 << 26
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share, read from the session.
 
-    Read from the session; only where it is unset (tests on one machine) a
-    temporary folder is made and set.
+    Only in local mode (tests on one machine) may it be unset: a temporary
+    folder is made and set then. A cluster without it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+class _Settled(threading.local):
+    """Tables settled by the ``tidied`` calls under way, innermost last."""
+
+    def __init__(self) -> None:
+        self.calls: list[list[str]] = []
+
+
+_settled = _Settled()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the table read back.
 
@@ -49,10 +63,41 @@ def settle(df: DataFrame) -> DataFrame:
     executor's disk; unlike a row checkpoint it keeps column pruning.
     """
     path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    if _settled.calls:
+        _settled.calls[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete settled tables."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def tidied(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``work`` with the tables that it settles deleted in the end, but for those that its result reads."""
+
+    @wraps(work)
+    def run(*args, **kwargs) -> DataFrame:
+        _settled.calls.append([])
+        out = None
+        try:
+            out = work(*args, **kwargs)
+        finally:
+            mine = _settled.calls.pop()
+            spark = SparkSession.active()
+            read = {f.rsplit("/", 2)[-2] for f in out.inputFiles()} if out is not None and mine else set()
+            kept = [p for p in mine if p.rsplit("/", 1)[1] in read]
+            discard(spark, [p for p in mine if p not in kept])
+            if _settled.calls:
+                _settled.calls[-1].extend(kept)
+        return out
+
+    return run
+
+
 def arrow_schema(ddl: str) -> tuple[T.StructType, pa.Schema]:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -113,6 +158,7 @@ def likely(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return rows.where(may(F.xxhash64(key)))
 
 
+@tidied
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(u, v)`` as ``(node, root)``, root = smallest id.
 
