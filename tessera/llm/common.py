@@ -140,6 +140,19 @@ def bloom(rows: DataFrame, hashed: Column) -> bytes:
     return bits.tobytes()
 
 
+def maybe(spark: SparkSession, ids: DataFrame) -> Callable[[Column], Column]:
+    """A test of long values against the one column of ``ids``: false for most others, true for all of these."""
+    shared = spark.sparkContext.broadcast(bloom(ids, F.xxhash64(ids.columns[0])))
+
+    @F.pandas_udf("boolean")
+    def may(hashed: pd.Series) -> pd.Series:
+        at = (hashed.to_numpy(np.int64) % BLOOM_BITS).astype(np.uint64)
+        bits = np.frombuffer(shared.value, np.uint64)
+        return pd.Series((bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool))
+
+    return lambda c: may(F.xxhash64(c))
+
+
 def likely(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """``rows`` without most of those whose long ``key`` is not in the one column of ``ids``.
 
@@ -147,15 +160,20 @@ def likely(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     before the shuffle. Every row that matches stays; where ``ids`` fill the
     filter, all rows stay.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(bloom(ids, F.xxhash64(ids.columns[0])))
+    return rows.where(maybe(rows.sparkSession, ids)(F.col(key)))
 
-    @F.pandas_udf("boolean")
-    def may(hashed: pd.Series) -> pd.Series:
-        at = (hashed.to_numpy(np.int64) % BLOOM_BITS).astype(np.uint64)
-        bits = np.frombuffer(shared.value, np.uint64)
-        return pd.Series((bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool))
 
-    return rows.where(may(F.xxhash64(key)))
+def without(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose long ``key`` is not in the one column of ``ids``.
+
+    Only rows that the filter takes for possible ones are shuffled to an exact
+    join; the others pass as they are. ``rows`` has to be settled: it is read
+    twice.
+    """
+    may = maybe(rows.sparkSession, ids)
+    gone = ids.select(F.col(ids.columns[0]).alias("_gone"))
+    doubtful = rows.where(may(F.col(key)))
+    return rows.where(~may(F.col(key))).unionByName(doubtful.join(gone, F.col(key) == F.col("_gone"), "left_anti"))
 
 
 @tidied

@@ -1,10 +1,10 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
 1. One pass over the texts: the exact number of distinct shingles, a digest of
-   the set, and ``BANDS * ROWS`` minima (whole texts). Equal sets collapse into
-   a class named by its smallest doc_id.
+   the word sequence, and ``BANDS * ROWS`` minima (whole texts). Rows of one
+   word sequence collapse into a class, named by a row of it.
 2. Bands bring classes together. In every bucket each class is paired with the
-   bucket's smallest (a star, never all pairs).
+   bucket's first (a star, never all pairs).
 3. A pair's signatures are compared batch by batch; with m of n minima equal
    and a uniform prior, the pair goes as soon as the posterior probability of
    a similarity of at least the threshold is below ``MISS``.
@@ -12,16 +12,26 @@
 5. Components of these links. Only buckets that still hold more than one
    component need more: there the rest is compared with everyone in blocks of
    bounded size, pairs of one component being settled already, and survivors
-   are verified on full sets, block by block. Then the components are final: every two
+   are verified, block by block. Then the components are final: every two
    classes that share a bucket were linked, compared, or already joined.
 
+Every link is confirmed on full shingle sets (``similar``), in steps 4 and 5
+alike; step 5 looks at 64-bit hashes of the shingles first, to pass over pairs
+that are far apart.
+
 The hot case, a bucket with a large part of all rows, costs a row a member in
 step 2; in step 5 only members outside the bucket's leading component are
-copied, once a block.
-
-Defined results: null and empty texts (and texts of white space alone) have no
+copied, once a block: a bucket of m members, k of them outside, makes about
+k * m / ``BLOCK`` rows. That is the price of comparing texts that share a
+passage, and so a bucket, but aren't similar.
+
+Defined results: every row is a node of its own, whatever its doc_id; a
+component's id is the smallest doc_id of its rows, so rows that share a doc_id
+can stand in two components of one id. Null ids never name a component that has
+another id. Null and empty texts (and texts of white space alone) have no
 shingles and link with nothing; a text with fewer words than a shingle has one
-shingle, its whole word sequence; repeated rows are equal sets; an empty table
+shingle, its whole word sequence; repeated rows are equal texts; working columns
+are prefixed ``_mh_``, so columns of any other name are safe; an empty table
 gives an empty result.
 """
 
@@ -36,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, components, likely, map_columns, settle, texts_of
+from .common import arrow_schema, components, likely, map_columns, settle, texts_of, tidied, without
 
 #: A pair at the threshold misses all bands with probability (1 - 0.8**5)**30 = 7e-6.
 BANDS, ROWS = 30, 5
@@ -45,7 +55,7 @@ BATCH = 25
 #: Posterior probability below which a pair is dropped.
 MISS = 1e-6
 SEED = 6
-BLOCK = 256
+BLOCK = 512
 WORDS_KNOWN = 1 << 18
 
 
@@ -101,13 +111,14 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sig: np.ndarray) -> list[int]:
-    rows = sig.reshape(BANDS, ROWS).astype(np.uint64)
-    h = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+def band_keys(sigs: np.ndarray) -> np.ndarray:
+    """(n, BANDS) bucket keys of n signatures."""
+    rows = sigs.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    h = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03), (len(rows), 1))
     for k in range(ROWS):
-        h = (h ^ rows[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ rows[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    return h.view(np.int64).tolist()
+    return h.view(np.int64)
 
 
 def least_matches(threshold: float, miss: float = MISS) -> np.ndarray:
@@ -140,7 +151,8 @@ def survive(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, n_shingles, class, sig`` of each document; class null without shingles."""
+    """``docs`` plus ``_mh_uid, _mh_n`` (shingles), ``_mh_class`` (null without shingles) and ``_mh_sig``."""
+    names = docs.columns
 
     def make():
         known = Words()
@@ -148,15 +160,17 @@ def profiles(docs: DataFrame, shingle: int) -> DataFrame:
         def work(batch):
             n, digest, sigs = [], [], []
             for text in texts_of(batch):
-                s = shingle_hashes(words_of(text), shingle, known)
+                words = words_of(text)
+                s = shingle_hashes(words, shingle, known)
                 n.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sigs.append(signature(s).tobytes() if len(s) else None)
-            return {"doc_id": batch.column("doc_id"), "n_shingles": n, "class": digest, "sig": sigs}
+                digest.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
+                sigs.append(signature(s).tobytes() if words else None)
+            return {c: batch.column(c) for c in (*names, "_mh_uid")} | {"_mh_n": n, "_mh_class": digest, "_mh_sig": sigs}
 
         return work
 
-    return map_columns(docs.select("doc_id", "text"), "doc_id long, n_shingles long, class binary, sig binary", make)
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_mh_uid long, _mh_n long, _mh_class binary, _mh_sig binary"])
+    return map_columns(docs.withColumn("_mh_uid", F.monotonically_increasing_id()), ddl, make)
 
 
 def _sigs(batch, name: str) -> np.ndarray:
@@ -180,8 +194,14 @@ def prune(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
     return map_columns(joined.select("a", "b", "sa", "sb"), "a long, b long", make)
 
 
+def similar(x: set, y: set, percent: int) -> bool:
+    """100 * |X and Y| >= percent * |X or Y|, of exact shingle sets."""
+    both = len(x & y)
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """``(u, v)`` of the ``pairs(a, b)`` with 100 * |A and B| >= percent * |A or B|, on full sets."""
+    """``(u, v)`` of the ``pairs(a, b)`` of ``texts(id, text)`` that are similar."""
 
     def make():
         def work(batch):
@@ -192,16 +212,14 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
             for i in sorted(range(len(a)), key=lambda k: (b[k], a[k])):
                 if last[0] != b[i]:
                     last = (b[i], exact_shingles(words_of(tb[i]), shingle))
-                x, y = exact_shingles(words_of(ta[i]), shingle), last[1]
-                both = len(x & y)
-                if 100 * both >= percent * (len(x) + len(y) - both):
+                if similar(exact_shingles(words_of(ta[i]), shingle), last[1], percent):
                     u.append(a[i])
                     v.append(b[i])
             return {"u": u, "v": v}
 
         return work
 
-    first, second = (likely(texts, "doc_id", pairs.select(n)).select(F.col("doc_id").alias(n), F.col("text").alias(f"t{n}")) for n in ("a", "b"))
+    first, second = (likely(texts, "id", pairs.select(n)).select(F.col("id").alias(n), F.col("text").alias(f"t{n}")) for n in ("a", "b"))
     joined = pairs.join(first, "a").join(second, "b")
     return map_columns(joined.select("a", "b", "ta", "tb"), "u long, v long", make)
 
@@ -251,7 +269,7 @@ def crossing(members: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame
             if not len(i):
                 return None
             sig = [np.frombuffer(b"".join(r[6] for r in side), np.uint32).reshape(-1, PERMUTATIONS) for side in (left, right)]
-            bands = [np.array([band_keys(r) for r in side]) for side in sig]
+            bands = [band_keys(side) for side in sig]
             a, b = [], []
             for at in range(0, len(i), 8192):
                 p, q = i[at : at + 8192], j[at : at + 8192]
@@ -284,14 +302,15 @@ def crossing(members: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame
 
 
 def verify_blocks(blocks: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """``(u, v)`` links of the surviving pairs of ``crossing``, on full sets of 64-bit shingle hashes.
+    """``(u, v)`` links of the surviving pairs of ``crossing``.
 
     Each text comes once a pair of blocks, whatever the number of its pairs.
     Pairs whose components a link has joined already add nothing and are passed
-    over. At most two blocks' sets are held at a time.
+    over; of the others, those similar by hashes are confirmed on full sets. At
+    most two blocks' texts and hashes are held at a time.
     """
     wanted = blocks.select("g", F.posexplode("ids").alias("at", "id"))
-    rows = wanted.join(likely(texts, "doc_id", wanted.select("id")).select(F.col("doc_id").alias("id"), "text"), "id").select("g", "at", "text", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<long>").alias("comps"), F.lit(None).cast("binary").alias("pairs"))
+    rows = wanted.join(likely(texts, "id", wanted.select("id")), "id").select("g", "at", "text", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<long>").alias("comps"), F.lit(None).cast("binary").alias("pairs"))
     heads = blocks.select("g", F.lit(-1).alias("at"), F.lit(None).cast("string").alias("text"), "ids", "comps", "pairs")
     parts = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = heads.unionByName(rows).repartition(parts, "g").sortWithinPartitions("g", "at")
@@ -315,7 +334,8 @@ def verify_blocks(blocks: DataFrame, texts: DataFrame, shingle: int, percent: in
                 a, b = top(comps[i]), top(comps[j])
                 if a == b:
                     continue
-                if any(percent_of(x, y, percent) for x in sets.get(i, ()) for y in sets.get(j, ())):
+                (s, x), (t, y) = sets[i], sets[j]
+                if percent_of(s, t, percent) and similar(exact_shingles(words_of(x), shingle), exact_shingles(words_of(y), shingle), percent):
                     root[max(a, b)] = min(a, b)
                     u.append(ids[i])
                     v.append(ids[j])
@@ -330,7 +350,8 @@ def verify_blocks(blocks: DataFrame, texts: DataFrame, shingle: int, percent: in
                     group, ids, comps = g, batch.column("ids")[k].as_py(), batch.column("comps")[k].as_py()
                     pairs, sets = np.frombuffer(batch.column("pairs")[k].as_py(), "<u2").reshape(-1, 2), {}
                 else:
-                    sets.setdefault(at, []).append(shingle_hashes(words_of(batch.column("text")[k].as_py() or ""), shingle, known))
+                    text = batch.column("text")[k].as_py()
+                    sets[at] = (shingle_hashes(words_of(text), shingle, known), text)
         if group is not None and (found := close()) is not None:
             yield found
 
@@ -347,24 +368,25 @@ def percent_of(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of each row of ``docs(doc_id, text)``."""
+def grouped(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The settled ``profiles`` of ``docs``, and ``(_mh_class, component_id, first)`` with the ``_mh_uid`` of each component's first row by id."""
     threshold = percent / 100
     told = settle(profiles(docs, shingle))
-    have = told.where("class is not null")
-    classes = settle(have.groupBy("class").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")))
+    have = told.where("_mh_class is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_mh_uid").alias("u"))
+    classes = settle(have.groupBy("_mh_class").agg(F.min("_mh_uid").alias("id"), F.min(order).alias("first"), F.first("_mh_sig").alias("sig")))
     sigs = classes.select("id", "sig")
 
     def make():
         def work(batch):
-            return {"id": batch.column("id"), "keys": [band_keys(s) for s in _sigs(batch, "sig")]}
+            return {"id": batch.column("id"), "keys": [*band_keys(_sigs(batch, "sig"))]}
 
         return work
 
     bands = map_columns(sigs, "id long, keys array<long>", make).select("id", F.explode("keys").alias("key"))
     buckets = bands.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("m")).where("m > 1")
     members = settle(bands.join(settle(buckets), "key").select("key", "id", "low"))
-    texts = docs.select("doc_id", "text")
+    texts = told.select(F.col("_mh_uid").alias("id"), "text")
     stars = settle(members.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
     survivors = settle(prune(stars, sigs, threshold))
     links = settle(verify(survivors, texts, shingle, percent).distinct())
@@ -374,20 +396,53 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> Dat
     if not more.isEmpty():
         links = settle(links.unionByName(verify_blocks(more, texts, shingle, percent).distinct()))
         roots = settle(components(links))
-    names = classes.select("class", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select(
-        "class", F.coalesce("root", "id").alias("component_id")
-    )
-    return (
-        told.drop("sig")
-        .join(settle(names), "class", "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.coalesce("component_id", "doc_id").alias("component_id"),
-            F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
-        )
+    rooted = classes.select("_mh_class", "id", "first").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("_mh_class", F.coalesce("root", "id").alias("root"), "first")
+    named = rooted.groupBy("root").agg(F.min("first").alias("of"))
+    return told, settle(rooted.select("_mh_class", "root").join(named, "root").select("_mh_class", F.col("of.d").alias("component_id"), F.col("of.u").alias("first")))
+
+
+@tidied
+def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of each row of ``docs(doc_id, text)``."""
+    told, groups = grouped(docs.select("doc_id", "text"), shingle, percent)
+    named = F.col("first").isNotNull()
+    return told.select("doc_id", "_mh_n", "_mh_class").join(groups, "_mh_class", "left").select(
+        "doc_id",
+        F.col("_mh_n").alias("n_shingles"),
+        F.when(named, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(named, F.col("component_id").eqNullSafe(F.col("doc_id"))).otherwise(True).alias("kept"),
     )
 
 
+@tidied
+def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the first by doc_id (null ids last), whatever ids its rows share.
+
+    Rows without words are in no group and stay.
+    """
+    told, groups = grouped(docs, shingle, percent)
+    rest = told.select("_mh_uid", "_mh_class").where("_mh_class is not null").join(groups.select("_mh_class", "first"), "_mh_class").where("_mh_uid <> first")
+    return without(told, "_mh_uid", settle(rest.select("_mh_uid"))).select(*docs.columns)
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Every pair that shares a shingle compared: what bands and minima narrow down.
+OP6_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+                      ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words),
+sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+shingles AS (SELECT doc_id, unnest(s) AS s FROM sets),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+pairs AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both >= 80 * (x.n + y.n - both)),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach(node, low) AS (
+  SELECT doc_id, doc_id FROM sizes UNION SELECT l.b, r.low FROM reach r JOIN links l ON l.a = r.node WHERE r.low < l.b)
+SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, r.low AS component_id, r.low = s.doc_id AS kept
+FROM sizes s JOIN (SELECT node, min(low) AS low FROM reach GROUP BY node) r ON r.node = s.doc_id
+"""
