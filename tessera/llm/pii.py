@@ -11,21 +11,30 @@ is the share of the entity's information content that the term gives away: 1
 if the term never occurs without it, 0 if independent. Terms that share at
 least ``MIN_DOCS`` documents with the entity are removed from ``REMOVE`` on, and
 generalised to a placeholder from ``GENERALISE`` on, at every occurrence outside
-base spans in the documents that hold the entity. Documents without the entity
-keep the term.
+base spans. With ``everywhere`` (the query and the pipeline) that means every
+document, as a term that gives an entity away does so wherever it stands; without
+it, the documents that hold the entity.
 
 Nothing is lost to pruning: an entity of fewer than MIN_DOCS documents has no
 term of that many, and as both <= n_entity, a term of more than
-n (n_entity / n) ^ GENERALISE documents stays below GENERALISE.
+n (n_entity / n) ^ GENERALISE documents stays below GENERALISE. Entities of the
+same documents (by number and two 64-bit sums over them) share all their
+counts, so pairs are counted for one of them: copies of a text full of
+addresses cost its words once, not times its addresses.
 
 Document frequencies and pair counts are exact: Bloom filters of fixed size
 (8 MB each, whatever the corpus) of entities, terms and pairs are all that is
 broadcast; they thin the words of each document before they are counted and
 joined exactly. A word counts once a document, inside base spans too.
 
-Defined results: null text is empty; repeated rows are documents each; an
-empty table gives an empty result; texts of any length are scanned whole by
-patterns that cannot backtrack beyond a match's own length.
+Defined results: null text is empty; repeated rows are documents each (so words
+that only copies of one text hold beside an entity disclose it); of equal shares
+the same is done to each term, and a term of several entities goes by its
+greatest share; overlapping spans are masked as one, by the first's mask; working
+columns are prefixed ``_pii_``, so columns of any other name are safe; an empty
+table gives an empty result; texts of any length are scanned whole by patterns
+that cannot backtrack beyond a match's own length, and spans are met by sorted
+search.
 """
 
 from __future__ import annotations
@@ -43,7 +52,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOOM_BITS, SLICE_ROWS, arrow_schema, bloom, map_columns, settle, texts_of
+from .common import BLOOM_BITS, SLICE_ROWS, arrow_schema, bloom, map_columns, settle, texts_of, tidied
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_DOCS = 2
@@ -137,19 +146,18 @@ def occurrences(text: str, words: set[bytes], spans: list[tuple[int, int]]) -> d
 
 
 def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Per row: ``_pii_uid``, the columns ``keep``, counts, base spans, distinct entities, and the text if there are any; settled."""
+    """Per row: ``_pii_uid``, the columns ``keep``, counts, base spans, distinct entities, and the whole text; settled."""
 
     def make():
         def work(batch):
-            cols = {n: [] for n in ("_pii_n", "_pii_base", "_pii_entities", "_pii_text")}
+            cols = {n: [] for n in ("_pii_n", "_pii_base", "_pii_entities")}
             for text in texts_of(batch):
                 spans = base_spans(text)
-                kinds = [k for k, _, _ in spans]
-                cols["_pii_n"].append([kinds.count(k) for k in KINDS])
+                kinds = Counter(k for k, _, _ in spans)
+                cols["_pii_n"].append([kinds[k] for k in KINDS])
                 cols["_pii_base"].append(",".join(f"{k}:{s}:{e}" for k, s, e in spans))
                 cols["_pii_entities"].append([*dict.fromkeys(f"{k}:{text[s:e].lower()}" for k, s, e in spans)])
-                cols["_pii_text"].append(text if spans else None)
-            return cols | {n: batch.column(n) for n in kept}
+            return cols | {n: batch.column(n) for n in kept} | {"_pii_text": batch.column("text")}
 
         return work
 
@@ -191,16 +199,16 @@ def bits_of(shared) -> np.ndarray:
     return np.frombuffer(shared.value, np.uint64)
 
 
-def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Exact ``(term, df)`` over all ``docs`` of the candidate ``terms``, and of the few others that pass the filter."""
-    shared = docs.sparkSession.sparkContext.broadcast(bloom(terms, hashed("term")))
+def document_frequency(scanned: DataFrame, terms: DataFrame) -> DataFrame:
+    """Exact ``(term, df)`` over all documents of the candidate ``terms``, and of the few others that pass the filter."""
+    shared = scanned.sparkSession.sparkContext.broadcast(bloom(terms, hashed("term")))
 
     def keys(batch: pa.RecordBatch) -> Iterator:
         bits = bits_of(shared)
-        for text in texts_of(batch):
+        for text in texts_of(batch, "_pii_text"):
             yield [(w,) for w in passing(bits, words_of(text))]
 
-    return counted(docs.select("text"), "term string, n long", keys).groupBy("term").agg(F.sum("n").alias("df"))
+    return counted(scanned.select("_pii_text"), "term string, n long", keys).groupBy("term").agg(F.sum("n").alias("df"))
 
 
 def entities_of(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
@@ -208,13 +216,16 @@ def entities_of(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
         yield text, [e.encode() for e in entities]
 
 
-def disclosing(docs: DataFrame, scanned: DataFrame) -> DataFrame:
-    """``(entity, term, disclosure)`` from GENERALISE on, settled."""
-    context = docs.sparkSession.sparkContext
+def shares(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(entity, of)``, where ``of`` stands for all entities of the same documents, and ``(of, term, disclosure)`` from GENERALISE on; settled."""
+    context = scanned.sparkSession.sparkContext
     total = scanned.count()
-    holding = scanned.where("_pii_text is not null").select("_pii_text", "_pii_entities")
-    alone = settle(scanned.select(F.explode("_pii_entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= MIN_DOCS))
-    repeated = context.broadcast(bloom(alone, hashed("entity")))
+    holding = scanned.where(F.size("_pii_entities") > 0).select("_pii_text", "_pii_entities")
+    by_entity = scanned.select("_pii_uid", F.explode("_pii_entities").alias("entity")).groupBy("entity")
+    same = ("n_entity", "x", "y")
+    alone = settle(by_entity.agg(F.count("*").alias("n_entity"), F.bit_xor(F.xxhash64("_pii_uid")).alias("x"), F.bit_xor(F.xxhash64("_pii_uid", F.lit(7))).alias("y")).where(F.col("n_entity") >= MIN_DOCS))
+    heads = settle(alone.groupBy(*same).agg(F.min("entity").alias("of")))
+    repeated = context.broadcast(bloom(heads, hashed("of")))
 
     def candidates(batch: pa.RecordBatch) -> Iterator:
         bits = bits_of(repeated)
@@ -222,8 +233,8 @@ def disclosing(docs: DataFrame, scanned: DataFrame) -> DataFrame:
             if passing(bits, entities):
                 yield [(w,) for w in words_of(text)]
 
-    most = total * ((alone.agg(F.max("n_entity")).head()[0] or 0) / max(total, 1)) ** GENERALISE * (1 + 1e-9)
-    df = document_frequency(docs, counted(holding, "term string, n long", candidates).select("term").distinct())
+    most = total * ((heads.agg(F.max("n_entity")).head()[0] or 0) / max(total, 1)) ** GENERALISE * (1 + 1e-9)
+    df = document_frequency(scanned, counted(holding, "term string, n long", candidates).select("term").distinct())
     df = settle(df.where((F.col("df") >= MIN_DOCS) & (F.col("df") <= most)))
     rare = context.broadcast(bloom(df, hashed("term")))
 
@@ -234,22 +245,37 @@ def disclosing(docs: DataFrame, scanned: DataFrame) -> DataFrame:
                 for entity in found:
                     yield [(entity, w) for w in words]
 
-    pairs = counted(holding, "entity string, term string, n long", pairs_of)
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("both")).where(F.col("both") >= MIN_DOCS)
+    pairs = counted(holding, "of string, term string, n long", pairs_of)
+    pairs = pairs.groupBy("of", "term").agg(F.sum("n").alias("both")).where(F.col("both") >= MIN_DOCS)
     n = F.lit(float(total))
     gain = F.log2(F.col("both") * n / (F.col("n_entity") * F.col("df")))
     content = -F.log2(F.col("n_entity") / n)
     share = F.when(content > 0, gain / content).otherwise(0.0)
-    return settle(
-        pairs.join(alone, "entity").join(df, "term").withColumn("disclosure", share).where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
-    )
+    found = pairs.join(heads, "of").join(df, "term").withColumn("disclosure", share).where(F.col("disclosure") >= GENERALISE)
+    return settle(alone.join(heads, [*same]).select("entity", "of")), settle(found.select("of", "term", "disclosure"))
 
 
-def find(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``scan`` plus ``_pii_terms``: the disclosing terms' spans by start."""
-    scanned = scan(docs, keep)
-    revealing = disclosing(docs, scanned)
-    shared = docs.sparkSession.sparkContext.broadcast(bloom(revealing, hashed("entity", "term")))
+def disclosing(docs: DataFrame, scanned: DataFrame) -> DataFrame:
+    """``(entity, term, disclosure)`` from GENERALISE on, settled: every pair of ``docs``, ``scanned`` before."""
+    members, found = shares(scanned)
+    return settle(found.join(members, "of").select("entity", "term", "disclosure"))
+
+
+def emitted(cols: tuple, out: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)
+
+
+def spans_of(base: str) -> list[tuple[int, int]]:
+    return [(int(s), int(e)) for _, s, e in (x.split(":") for x in base.split(","))] if base else []
+
+
+def placed(at: list[tuple[int, int]]) -> list[dict]:
+    return [{"s": s, "e": e} for s, e in at]
+
+
+def hits_with_entity(scanned: DataFrame, revealing: DataFrame) -> DataFrame:
+    """``_pii_uid, term, at, disclosure``: terms in the documents that hold an entity that they disclose."""
+    shared = scanned.sparkSession.sparkContext.broadcast(bloom(revealing, hashed("entity", "term")))
     spark_schema, out = arrow_schema("_pii_uid long, entity string, term string, at array<struct<s:long,e:long>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,25 +286,49 @@ def find(docs: DataFrame, keep: list[str]) -> DataFrame:
                 for uid, (text, entities), base in zip(part.column("_pii_uid").to_pylist(), entities_of(part), part.column("_pii_base").to_pylist(), strict=True):
                     words = words_of(text)
                     met = {e: [k[len(e) + 1 :] for k in passing(bits, [e + b"\0" + w for w in words])] for e in entities}
-                    spans = [(int(s), int(e)) for _, s, e in (x.split(":") for x in base.split(","))]
-                    at = occurrences(text, {w for some in met.values() for w in some}, spans)
+                    at = occurrences(text, {w for some in met.values() for w in some}, spans_of(base))
                     for entity, some in met.items():
                         if some := [w for w in some if w in at]:
-                            cols = [uid] * len(some), [entity.decode()] * len(some), [w.decode("utf-8", "surrogatepass") for w in some], [[{"s": s, "e": e} for s, e in at[w]] for w in some]
-                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)
-
-    hits = (
-        scanned.where("_pii_text is not null")
-        .select("_pii_uid", "_pii_text", "_pii_entities", "_pii_base")
-        .mapInArrow(run, spark_schema)
-        .join(revealing, ["entity", "term"])
-        .groupBy("_pii_uid", "term")
-        .agg(F.first("at").alias("at"), F.max("disclosure").alias("disclosure"))
-        .select("_pii_uid", F.transform("at", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.col("disclosure"))).alias("at"))
+                            yield emitted(([uid] * len(some), [entity.decode()] * len(some), [w.decode("utf-8", "surrogatepass") for w in some], [placed(at[w]) for w in some]), out)
+
+    rows = scanned.where(F.size("_pii_entities") > 0).select("_pii_uid", "_pii_text", "_pii_entities", "_pii_base")
+    return rows.mapInArrow(run, spark_schema).join(revealing, ["entity", "term"]).groupBy("_pii_uid", "term").agg(F.first("at").alias("at"), F.max("disclosure").alias("disclosure"))
+
+
+def hits_everywhere(scanned: DataFrame, terms: DataFrame) -> DataFrame:
+    """``_pii_uid, term, at, disclosure``: the ``terms(term, disclosure)`` in all documents."""
+    shared = scanned.sparkSession.sparkContext.broadcast(bloom(terms, hashed("term")))
+    spark_schema, out = arrow_schema("_pii_uid long, term string, at array<struct<s:long,e:long>>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bits_of(shared)
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part, cols = batch.slice(start, SLICE_ROWS), ([], [], [])
+                for uid, text, base in zip(part.column("_pii_uid").to_pylist(), texts_of(part, "_pii_text"), part.column("_pii_base").to_pylist(), strict=True):
+                    if some := passing(bits, words_of(text)):
+                        for w, at in occurrences(text, {*some}, spans_of(base)).items():
+                            for c, v in zip(cols, (uid, w.decode("utf-8", "surrogatepass"), placed(at)), strict=True):
+                                c.append(v)
+                if cols[0]:
+                    yield emitted(cols, out)
+
+    return scanned.select("_pii_uid", "_pii_text", "_pii_base").mapInArrow(run, spark_schema).join(terms, "term")
+
+
+def find(docs: DataFrame, keep: list[str], everywhere: bool = False) -> DataFrame:
+    """``scan`` plus ``_pii_terms``: the disclosing terms' spans by start."""
+    scanned = scan(docs, keep)
+    if everywhere:
+        hits = hits_everywhere(scanned, settle(shares(scanned)[1].groupBy("term").agg(F.max("disclosure").alias("disclosure"))))
+    else:
+        hits = hits_with_entity(scanned, disclosing(docs, scanned))
+    by_row = (
+        hits.select("_pii_uid", F.transform("at", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.col("disclosure"))).alias("at"))
         .groupBy("_pii_uid")
         .agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("_pii_terms"))
     )
-    return scanned.drop("_pii_entities", "_pii_text").join(hits, "_pii_uid", "left")
+    return scanned.drop("_pii_entities").join(settle(by_row), "_pii_uid", "left")
 
 
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
@@ -300,29 +350,32 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
+@tidied
+def sanitise(docs: DataFrame, everywhere: bool = False) -> DataFrame:
     """``docs`` with personal data masked and disclosing terms generalised or removed."""
     names = docs.columns
-    found = find(docs, names)
+    others = [n for n in names if n != "text"]
+    found = find(docs, others, everywhere)
 
     def make():
         def work(batch):
             texts = []
-            for text, base, terms in zip(batch.column("text").to_pylist(), batch.column("_pii_base").to_pylist(), batch.column("_pii_terms").to_pylist(), strict=True):
+            for text, base, terms in zip(batch.column("_pii_text").to_pylist(), batch.column("_pii_base").to_pylist(), batch.column("_pii_terms").to_pylist(), strict=True):
                 spans = [(int(s), int(e), MASKS[k]) for k, s, e in (x.split(":") for x in base.split(","))] if base else []
                 spans += [(t["s"], t["e"], "" if t["disclosure"] >= REMOVE else "[TERM]") for t in terms or []]
                 texts.append(redact(text, spans) if spans and text else text)
-            return {n: batch.column(n) for n in names} | {"text": texts}
+            return {n: batch.column(n) for n in others} | {"text": texts}
 
         return work
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = map_columns(found.select(*names, "_pii_base", "_pii_terms"), ddl, make)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
+    out = map_columns(found.select(*others, "_pii_text", "_pii_base", "_pii_terms"), ddl, make)
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in names else out
 
 
+@tidied
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), ["doc_id"])
+    found = find(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), ["doc_id"], everywhere=True)
     terms = F.array_join(F.transform("_pii_terms", lambda t: F.concat(F.lit("term:"), t["s"], F.lit(":"), t["e"])), ",")
     return found.select(
         "doc_id",
