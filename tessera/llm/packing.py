@@ -4,12 +4,17 @@ Each document is tokenised whole and ended by id 0. What is longer than a
 window is first cut into full windows; the rests, longest first, go each into
 the tightest open window that still holds them, found by a segment tree over
 remaining capacities. Tasks pack what they have read on their own, in runs of
-at most ``RUN_PIECES`` rests, so there is no shuffle; a task leaves at most a
-few windows unfilled. Window numbers carry the task's number in their upper
-bits, so they are unique, and the same again if a task is repeated.
+at most ``RUN_PIECES`` rests. The pieces of windows that a task leaves less than
+``FULL`` full, few unless the table lies in many small partitions or its rests
+don't pair, are dealt by window to partitions of some ``SECOND_TOKENS`` tokens
+and packed once more, so the fill doesn't hang on how the table is split.
+Window numbers carry the task's number in their upper bits (and a bit for the
+second packing), so they are unique, and the same again if a task is repeated.
 
 Defined results: null text is an empty text (its id 0 alone is one piece);
-repeated rows are packed each; an empty table gives no pieces.
+repeated rows are packed each, equal lengths in order of id, start and checksum;
+very long texts are cut, never shortened; columns beside ``doc_id`` and ``text``
+are not looked at; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -26,11 +31,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import SLICE_ROWS, arrow_schema, texts_of
+from pyspark.sql import functions as F
+
+from .common import SLICE_ROWS, arrow_schema, settle, texts_of, tidied
 
 WINDOW = 1024
 #: Rests that a run holds in memory, 40 bytes each or so.
 RUN_PIECES = 1 << 18
+#: Windows below this share are packed again, in partitions of so many tokens.
+FULL, SECOND_TOKENS = 0.98, 1 << 22
 #: Distinct space-separated chunks whose ids a task remembers.
 CACHE_CHUNKS = 1 << 18
 TOKENIZER = "byte_bpe_50k.json"
@@ -148,32 +157,46 @@ def best_fit(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.
     return which, offset
 
 
+PIECE = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW) -> DataFrame:
-    """A row a piece; ``tokenizer`` names a file of the public tokenizers, or is a path."""
-    spark_schema, out = arrow_schema(DDL)
+def rows_to_batch(rows: list[tuple], out: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+
+
+def first_number(second: bool = False) -> int:
+    """The first window number of this task."""
+    task = TaskContext.get()
+    return (int(second) << 62) + ((task.partitionId() if task else 0) << 40)
+
+
+def packed(rests: list[tuple], used: int, window: int) -> list[tuple]:
+    """Pieces with their window, offset and the window's tokens."""
+    lengths = np.array([r[2] for r in rests])
+    which, offset = best_fit(lengths, window)
+    fill = np.bincount(which, lengths).astype(int)[which]
+    return [(*r, used + w, o, f) for r, w, o, f in zip(rests, which.tolist(), offset.tolist(), fill.tolist(), strict=True)]
+
+
+def by_task(docs: DataFrame, tokenizer: str, window: int) -> DataFrame:
+    """Every task's pieces in windows of its own; ``fill`` is a window's tokens."""
+    spark_schema, out = arrow_schema(DDL + ", fill long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
         chunks = chunks_of(tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer))
-        task = TaskContext.get()
-        used = (task.partitionId() if task else 0) << 40
+        used = first_number()
         rests: list[tuple] = []
 
-        def table(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
-
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal used
             if rests:
-                which, offset = best_fit(np.array([r[2] for r in rests]), window)
-                rows = [(*r, used + w, o) for r, w, o in zip(rests, which.tolist(), offset.tolist(), strict=True)]
-                used += int(which.max()) + 1
+                rows = packed(rests, used, window)
+                used = max(r[5] for r in rows) + 1
                 rests.clear()
-                yield table(rows)
+                yield rows_to_batch(rows, out)
 
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
@@ -186,12 +209,12 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW) -> D
                         piece = ids[4 * start : 4 * (start + window)]
                         row = (doc_id, start, len(piece) // 4, zlib.crc32(piece), total)
                         if row[2] == window:
-                            full.append((*row, used, 0))
+                            full.append((*row, used, 0, window))
                             used += 1
                         else:
                             rests.append(row)
                 if full:
-                    yield table(full)
+                    yield rows_to_batch(full, out)
                 if len(rests) >= RUN_PIECES:
                     yield from close()
         yield from close()
@@ -199,5 +222,40 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW) -> D
     return docs.select("doc_id", "text").mapInArrow(run, spark_schema)
 
 
+def again(pieces: DataFrame, window: int) -> DataFrame:
+    """The second packing of ``pieces``, by partition."""
+    spark_schema, out = arrow_schema(DDL)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used, rests = first_number(second=True), []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal used
+            if rests:
+                rests.sort(key=lambda r: (r[0] is None, *(v or 0 for v in r)))
+                rows = packed(rests, used, window)
+                used = max(r[5] for r in rows) + 1
+                rests.clear()
+                yield rows_to_batch([r[:-1] for r in rows], out)
+
+        for batch in batches:
+            rests.extend(zip(*(batch.column(n).to_pylist() for n in PIECE), strict=True))
+            if len(rests) >= RUN_PIECES:
+                yield from close()
+        yield from close()
+
+    return pieces.select(*PIECE).mapInArrow(run, spark_schema)
+
+
+@tidied
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW) -> DataFrame:
+    """A row a piece; ``tokenizer`` names a file of the public tokenizers, or is a path."""
+    first = settle(by_task(docs, tokenizer, window))
+    loose = first.where(F.col("fill") < F.lit(int(FULL * window)))
+    tokens = loose.agg(F.sum("length")).head()[0]
+    done = first.where(F.col("fill") >= F.lit(int(FULL * window))).drop("fill")
+    return done.unionByName(again(loose.repartition(-(-tokens // SECOND_TOKENS), "sequence_id"), window)) if tokens else done
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
