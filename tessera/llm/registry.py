@@ -16,4 +16,4 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_quality": quality.op10_quality,
 }
-ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL, "op3_chat": chat.OP3_SQL, "op5_lattice": lattice.OP5_SQL, "op6_minhash": minhash.OP6_SQL}
+ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL, "op3_chat": chat.OP3_SQL, "op5_lattice": lattice.OP5_SQL, "op6_minhash": minhash.OP6_SQL, "op7_sharding": sharding.OP7_SQL}
