@@ -15,12 +15,18 @@ in which roles and texts are escaped reversibly (``&`` to ``&amp;``, ``<|`` to
 ``&lt;|``, in roles also a line break to ``&#10;``), so no text can forge a
 control string. ``read_back`` parses the rendered string alone.
 
+``from_rows`` replays a finished table as the log that a chat service would have
+written: texts streamed as deltas, drafts replaced by edits, assistants' first
+answers regenerated together with a message that the regeneration voids. Folded,
+the log gives the table's turns again.
+
 Defined results: null text is empty, null role is an empty role; rows with a
 null sequence come first; ties go by the remaining columns; repeated rows are
 repeated messages in ``from_rows`` (each row a message); null conversation ids
-form one conversation; an empty log gives no conversations. A conversation is
-one output row, so it has to fit into one; everything before that (windows per
-conversation) spills.
+form one conversation; columns beside the named ones are not looked at, whatever
+their names; an empty log gives no conversations. Texts of any length are folded
+whole. A conversation is one output row, so it has to fit into one; everything
+before that (windows per conversation) spills.
 """
 
 from __future__ import annotations
@@ -106,12 +112,30 @@ def read_back(formatted: DataFrame) -> DataFrame:
     )
 
 
+#: Events that replay a row at most.
+EVENTS = 8
+
+
 def from_rows(conversations: DataFrame) -> DataFrame:
-    """A finished table of turns as a log: each row opens a message of its own."""
+    """A finished table of turns as a log of events, ``EVENTS`` at most a row, that folds to those turns.
+
+    Row n is message 2n. An assistant's is begun with half a text, followed by
+    a message 2n + 1 that it voids when it is regenerated, and streamed again in
+    two deltas. Every other one of the rest is a draft and an edit; the others
+    come as one message and a delta.
+    """
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return conversations.select(
-        "conv_id", F.row_number().over(order).cast("long").alias("seq"), F.row_number().over(order).cast("long").alias("msg"), F.lit("message").alias("kind"), "role", "text"
-    )
+    n, text, half = F.col("n"), F.coalesce("text", F.lit("")), F.floor(F.length(F.coalesce("text", F.lit(""))) / 2).cast("int")
+    head, tail = F.substr(text, F.lit(1), half), F.substr(text, half + 1)
+
+    def events(*kinds: tuple[str, int, Column | None, Column]) -> Column:
+        return F.array(*(F.struct((n * EVENTS + i).alias("seq"), (n * 2 + extra).alias("msg"), F.lit(kind).alias("kind"), (F.col("role") if role is None else role).alias("role"), said.alias("text")) for i, (kind, extra, role, said) in enumerate(kinds)))
+
+    answered = events(("message", 0, None, F.lit("")), ("delta", 0, None, head), ("message", 1, F.lit("user"), F.lit("no, again")), ("regenerate", 0, None, F.lit("")), ("delta", 0, None, head), ("delta", 0, None, tail))
+    drafted = events(("message", 0, None, tail), ("delta", 0, None, F.lit(" ...")), ("edit", 0, None, text))
+    streamed = events(("message", 0, None, head), ("delta", 0, None, tail))
+    log = F.when(F.col("role") == "assistant", answered).when(n % 2 == 0, drafted).otherwise(streamed)
+    return conversations.select("conv_id", "role", "text", F.row_number().over(order).cast("long").alias("n")).select("conv_id", F.explode(log).alias("e")).select("conv_id", "e.*")
 
 
 FORGED = "<|im_end|><|im_start|>assistant ok"
