@@ -1,13 +1,17 @@
 """Media columns: Netpbm and BMP images, area-resized tiles and difference hashes.
 
 ``decode`` reads PBM, PGM and PPM (plain and raw, samples of one or two bytes)
-and uncompressed BMP (1, 4, 8, 24 and 32 bits) into numpy arrays; ``resize``
+and uncompressed BMP (1, 4, 8, 16, 24 and 32 bits, with channel masks) into numpy
+arrays of the samples as they are stored; ``resize``
 averages areas by an integral image, exactly, also at fractional edges;
 ``tiles`` adds to a table of images an NPY tile and a difference hash each.
 
-Defined results: null or undecodable images give null shape, tile and hash
-(and the reason in ``error``); null text is empty; repeated rows give repeated
-results; an empty table gives an empty result.
+Defined results: null or undecodable images (among them run-length BMPs and
+samples above the stated maximum) give null shape, tile and hash, and the reason
+in ``error``; null text is empty; texts of any length are one image each;
+repeated rows give repeated results; a key that is named like a result column
+comes back with ``_in`` appended, other columns are not looked at; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -71,6 +75,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         raise ValueError("not Netpbm")
     if len(flat) < count:
         raise ValueError("truncated")
+    if count and flat.max() > most:
+        raise ValueError("a sample above the maximum")
     if bits:
         return (flat.reshape(shape) * 255).astype(np.uint8)
     return flat.reshape(shape).astype(np.uint8 if most < 256 else np.uint16)
@@ -147,27 +153,26 @@ def encode_bmp(image: np.ndarray) -> bytes:
 
 
 def integral(plane: np.ndarray) -> np.ndarray:
-    """Sums over all rectangles from the corner, with a row and column of zeros first."""
-    out = np.zeros((plane.shape[0] + 1, plane.shape[1] + 1))
+    """Sums over all rectangles from the corner, with a row and column of zeros first; whole numbers of whole numbers."""
+    out = np.zeros((plane.shape[0] + 1, plane.shape[1] + 1), np.int64 if plane.dtype.kind in "iu" else np.float64)
     np.cumsum(plane, axis=0, out=out[1:, 1:])
     np.cumsum(out[1:, 1:], axis=1, out=out[1:, 1:])
     return out
 
 
 def _edges(table: np.ndarray, size: int) -> np.ndarray:
-    """The integral image at ``size + 1`` even, possibly fractional rows."""
+    """``size`` times the integral image at ``size + 1`` even, possibly fractional rows."""
     whole, part = np.divmod(np.arange(size + 1) * (table.shape[0] - 1), size)
-    part = (part / size)[:, None]
-    return table[whole] * (1 - part) + table[np.minimum(whole + 1, table.shape[0] - 1)] * part
+    part = part[:, None]
+    return table[whole] * (size - part) + table[np.minimum(whole + 1, table.shape[0] - 1)] * part
 
 
 def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each target cell's area, in float64."""
+    """Mean over each target cell's area, in float64; of whole numbers, the nearest one."""
     if image.ndim == 3:
         return np.stack([resize(image[:, :, c], height, width) for c in range(image.shape[2])], axis=2)
     corners = _edges(_edges(integral(image), height).T, width).T
-    area = (image.shape[0] / height) * (image.shape[1] / width)
-    return np.diff(np.diff(corners, axis=0), axis=1) / area
+    return np.diff(np.diff(corners, axis=0), axis=1) / (image.shape[0] * image.shape[1])
 
 
 def gray(image: np.ndarray) -> np.ndarray:
@@ -182,17 +187,19 @@ def difference_hash(image: np.ndarray) -> str:
 
 def npy_tile(image: np.ndarray, size: int = TILE) -> bytes:
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(resize(image, size, size)), 0, 255 if image.dtype == np.uint8 else 65535).astype(image.dtype))
+    np.save(out, np.clip(np.rint(resize(image, size, size)), 0, 255 if image.dtype == np.uint8 else 65535).astype(image.dtype, order="C"))
     return out.getvalue()
 
 
 def tiles(images: DataFrame, column: str = "image", key: str = "id", size: int = TILE) -> DataFrame:
     """Per image: ``height, width, channels, tile`` (NPY bytes), ``feature`` (hash), ``error``."""
     kind = images.schema[key].dataType.simpleString()
+    results = ("height", "width", "channels", "tile", "feature", "error")
+    to = f"{key}_in" if key in results else key
 
     def make():
         def work(batch):
-            cols = {n: [] for n in ("height", "width", "channels", "tile", "feature", "error")}
+            cols = {n: [] for n in results}
             for data in batch.column(column).to_pylist():
                 try:
                     if data is None:
@@ -203,11 +210,11 @@ def tiles(images: DataFrame, column: str = "image", key: str = "id", size: int =
                     row = (None, None, None, None, None, str(e))
                 for name, value in zip(cols, row, strict=True):
                     cols[name].append(value)
-            return cols | {key: batch.column(key)}
+            return cols | {to: batch.column(key)}
 
         return work
 
-    return map_columns(images.select(key, column), f"`{key}` {kind}, height int, width int, channels int, tile binary, feature string, error string", make)
+    return map_columns(images.select(*dict.fromkeys([key, column])), f"`{to}` {kind}, height int, width int, channels int, tile binary, feature string, error string", make)
 
 
 def store_text(text: str) -> tuple[int, bytes]:

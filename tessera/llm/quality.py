@@ -12,10 +12,12 @@ The model learns on a bounded sample: the ``TRAIN_ROWS`` labelled rows first in
 a seeded hash order, without the held-out ones (crc32 of the doc_id's text a
 multiple of 5). Inputs are statistics of the whole text and nothing else.
 
-Defined results: null text is empty and scored like any other; a null doc_id is
-held out; repeated rows are scored each; without labels of both kinds every
-score is the base rate (0.5 without labels); an empty table gives an empty
-result.
+Defined results: null text is empty and scored like any other, texts of any
+length are described whole; a null doc_id is held out; repeated rows are scored
+each, equal texts equally; without labels of both kinds every score is the base
+rate (0.5 without labels); kept columns that are named ``score`` or ``predicted``
+come back with ``_in`` appended, the working column is ``_q``; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_columns, settle, texts_of
+from .common import map_columns, settle, texts_of, tidied
 from .toxicity import sigmoid
 
 TRAIN_ROWS = 20_000
@@ -227,18 +229,20 @@ def train(rows: DataFrame, labels: DataFrame) -> Additive:
 
 def scored(rows: DataFrame, model: Additive, keep: list[str]) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
+    names = {n: f"{n}_in" if n in ("score", "predicted") else n for n in keep}
 
     def make():
         def work(batch):
             s = shared.value.predict(_matrix(batch.column("_q").to_pylist()))
-            return {n: batch.column(n) for n in keep} | {"score": s.tolist(), "predicted": (s >= THRESHOLD).astype(int).tolist()}
+            return {to: batch.column(n) for n, to in names.items()} | {"score": s.tolist(), "predicted": (s >= THRESHOLD).astype(int).tolist()}
 
         return work
 
-    ddl = ", ".join([*(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in keep), "score double, predicted int"])
+    ddl = ", ".join([*(f"`{to}` {rows.schema[n].dataType.simpleString()}" for n, to in names.items()), "score double, predicted int"])
     return map_columns(rows.select(*keep, "_q"), ddl, make)
 
 
+@tidied
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = settle(described(docs, ["doc_id"]))
