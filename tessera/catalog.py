@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +52,17 @@ class Namespace:
     meta: dict[str, str] = field(default_factory=dict)
     schema: dict | None = None
     version: int = 0
+    texts: dict[tuple[str, ...], object] = field(default_factory=dict)  # text indexes of this snapshot by fields
+
+    def text_index(self, fields: list[str]):
+        """The inverted index over ``fields``, built when first asked for."""
+        from .operators import fulltext
+
+        if not self.pk:
+            raise QueryError(f"{self.name} needs a primary key to be searched")
+        if (at := tuple(fields)) not in self.texts:
+            self.texts[at] = fulltext.build(self.df, self.pk, fields)
+        return self.texts[at]
 
     @property
     def pk(self) -> list[str]:
@@ -98,6 +109,14 @@ class Database:
         empty = F.array().cast(kind if isinstance(kind, T.ArrayType) else T.ArrayType(kind))
         return F.coalesce(F.col(path) if isinstance(kind, T.ArrayType) else F.when(F.col(path).isNotNull(), F.array(path)), empty)
 
+    def copy(self) -> Database:
+        """Another database of the same snapshots: what is written or declared there stays there."""
+        out = Database(self.spark)
+        out.counts, out.embedders = dict(self.counts), dict(self.embedders)
+        for n in self.namespaces.values():
+            out.namespaces[n.name] = replace(n, indexes={k: replace(i) for k, i in n.indexes.items()}, meta=dict(n.meta))
+        return out
+
     def get(self, name: str) -> Namespace:
         if name.startswith("#"):
             return self.system(name)
@@ -137,7 +156,7 @@ class Database:
     def replace(self, name: str, df: DataFrame) -> Namespace:
         """A new snapshot of a namespace."""
         ns = self.get(name)
-        ns.df, ns.version = df, ns.version + 1
+        ns.df, ns.version, ns.texts = df, ns.version + 1, {}
         return ns
 
     def expire(self, name: str, now: int | None = None) -> None:

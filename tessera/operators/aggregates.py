@@ -5,24 +5,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
 from ..spec import Aggregate, QueryError
 from .predicates import Field, resolve
 
 
-def scalar(df: DataFrame, a: Aggregate, ns) -> DataFrame:
-    """sum, avg, min and max as doubles over all elements; null without any."""
+SCALARS = ("sum", "avg", "min", "max")
+
+
+def number(df: DataFrame, a: Aggregate, ns) -> tuple[Field, Column]:
+    """The field of a scalar aggregate, and how an element ``v`` is read as a double."""
     f = resolve(df, a.fields[0], ns)
     if isinstance(f.element, (T.StructType, T.MapType)) or (f.is_array and isinstance(f.element, T.FloatType)):
         raise QueryError(f"{a.kind} can't take {a.fields[0]}")
+    v = F.col("v")
+    return f, v.try_cast("double") if isinstance(f.element, T.StringType) else v.cast("double")
+
+
+def scalar(df: DataFrame, a: Aggregate, ns) -> DataFrame:
+    """sum, avg, min and max as doubles over all elements; null without any."""
+    f, v = number(df, a, ns)
     rows = df.select(F.explode(f.values()).alias("v")) if f.is_array else df.select(f.col.alias("v"))
-    v = F.col("v").try_cast("double") if isinstance(f.element, T.StringType) else F.col("v").cast("double")
     return rows.agg(getattr(F, a.kind)(v).alias("value"))
 
 
+def fused(df: DataFrame, wanted: list[Aggregate], ns) -> DataFrame:
+    """All of some scalar aggregates in one pass: a row of ``value0``, ``value1``, ...; arrays are reduced in their rows first."""
+    cols = []
+    for i, a in enumerate(wanted):
+        f, _ = number(df, a, ns)
+        read = (lambda x: x.try_cast("double")) if isinstance(f.element, T.StringType) else (lambda x: x.cast("double"))
+        if not f.is_array:
+            cols.append(getattr(F, a.kind)(read(f.col)).alias(f"value{i}"))
+            continue
+        some = F.filter(F.transform(f.values(), read), lambda x: x.isNotNull())
+        total = F.aggregate(some, F.lit(0.0), lambda s, x: s + x)
+        if a.kind in ("min", "max"):
+            cols.append(getattr(F, a.kind)(F.array_min(some) if a.kind == "min" else F.array_max(some)).alias(f"value{i}"))
+        else:
+            all_of_it = F.sum(F.when(F.size(some) > 0, total))
+            cols.append((all_of_it / F.sum(F.size(some)) if a.kind == "avg" else all_of_it).alias(f"value{i}"))
+    return df.agg(*cols)
+
+
+def all_of(df: DataFrame, wanted: list[Aggregate], ns, counted: DataFrame) -> list[DataFrame]:
+    """A table for each aggregate of a query; the scalar ones come from one pass."""
+    scalars = [a for a in wanted if a.kind in SCALARS]
+    row = fused(df, scalars, ns) if scalars else None
+    out = []
+    for a in wanted:
+        if a.kind in SCALARS:
+            place = next(i for i, s in enumerate(scalars) if s is a)
+            out.append(row.select(F.col(f"value{place}").alias("value")))
+        elif a.kind in ("count", "count_cached"):
+            out.append(counted.agg(F.count("*").alias("value")))
+        else:
+            out.append({"facet": facet, "distinct": distinct}[a.kind](df, a, ns))
+    return out
+
+
 def facet(df: DataFrame, a: Aggregate, ns) -> DataFrame:
-    """Counts by value, or by tuple; a single array counts each element."""
+    """Counts by value, or by tuple; a single array counts each element. Values keep their types; in a tuple a missing string is ''."""
     fields = [resolve(df, n, ns) for n in a.fields]
     if len(fields) > 1 and any(f.is_array for f in fields):
         raise QueryError("a facet over several fields can't hold arrays")
@@ -33,6 +76,8 @@ def facet(df: DataFrame, a: Aggregate, ns) -> DataFrame:
         rows = df.select(*(f.col.alias(n) for f, n in zip(fields, names, strict=True)))
     if len(fields) == 1:
         rows = rows.where(F.col(names[0]).isNotNull())
+    else:
+        rows = rows.select(*(F.coalesce(F.col(n), F.lit("")).alias(n) if isinstance(f.kind, T.StringType) else F.col(n) for f, n in zip(fields, names, strict=True)))
     out = rows.groupBy(*names).agg(F.count("*").alias("count"))
     if a.sort:
         keys = []
@@ -66,28 +111,27 @@ def distinct(df: DataFrame, a: Aggregate, ns) -> DataFrame:
 
 
 def distinct_filter(df: DataFrame, aggregates: list[Aggregate], ns) -> DataFrame:
-    """Keep the rows that bring a new value of any distinct field, in key order."""
+    """Keep the rows that bring a new value of any distinct field, in key order.
+
+    The first key of every value comes from a grouped minimum (combined
+    map-side), the rows by a semi join: no task gets all rows of a value.
+    """
     wanted = [a for a in aggregates if a.kind == "distinct"]
     if not wanted:
         return df
-    key = ns.key()
-    scalar_only = all(not resolve(df, n, ns).is_array for a in wanted for n in a.fields)
-    keep = None
-    if scalar_only:
-        for i, a in enumerate(wanted):
-            fields = [resolve(df, n, ns).col for n in a.fields]
-            some = F.coalesce(*(f.cast("string") for f in fields)).isNotNull() if len(fields) > 1 else fields[0].isNotNull()
-            df = df.withColumn(f"_d{i}", some & (F.row_number().over(W.partitionBy(*fields).orderBy(*key)) == 1))
-            keep = F.col(f"_d{i}") if keep is None else keep | F.col(f"_d{i}")
-        return df.where(keep).drop(*(f"_d{i}" for i in range(len(wanted))))
     if not ns.pk:
-        raise QueryError("DISTINCT over arrays needs a primary key")
+        raise QueryError("DISTINCT needs a primary key")
+    keys = [F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(ns.pk)]
+    least = F.min(F.struct(*(f"_k{i}" for i in range(len(keys))))).alias("m")
     first = None
     for a in wanted:
         fields = [resolve(df, n, ns) for n in a.fields]
-        values = F.explode(_zipped(fields)).alias("z")
-        rows = df.select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(ns.pk)), values).where(" or ".join(f"z.d{k} is not null" for k in range(len(fields))))
-        ids = rows.groupBy("z").agg(F.min(F.struct(*(f"_k{i}" for i in range(len(ns.pk))))).alias("m")).select("m.*")
+        if any(f.is_array for f in fields):
+            rows = df.select(*keys, F.explode(_zipped(fields)).alias("z"))
+        else:
+            rows = df.select(*keys, F.struct(*(f.col.alias(f"d{k}") for k, f in enumerate(fields))).alias("z"))
+        rows = rows.where(" or ".join(f"z.d{k} is not null" for k in range(len(fields))))
+        ids = rows.groupBy("z").agg(least).select("m.*")
         first = ids if first is None else first.unionByName(ids)
     from .joins import _same
 

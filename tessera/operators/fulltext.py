@@ -1,28 +1,52 @@
-"""Full-text search: a query language, tokens, variants, BM25-based ranks, snippets.
-
-One scan makes positions of the words that any query term may match; ranks are
-Column arithmetic and grouped aggregates. The only tables broadcast are rows of
-statistics, one a query.
+"""Full-text search: a query language, an inverted index, variants, BM25-based ranks, snippets.
+
+``TextIndex`` is built by one scan of the texts and kept as tables: postings
+(word, row, field, positions), and the vocabulary with document counts. A query
+is expanded on the driver and matched against the vocabulary, that is against
+distinct words; the few words that match pick their postings. Ranks of words are
+Column arithmetic; how the words of a row add up (distances, phrases, synonyms)
+depends on their order and is folded a row at a time in Arrow batches.
+
+Differences by design: all matching rows are ranked, without a limit on merged
+rows; stop words are dropped from queries (unless marked by +, -, * or ~) but are in
+the index, so phrases of them can be found; an index is rebuilt as a whole when its namespace changes.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..spec import QueryError
+from ..storage import written
+from .stemming import STEMMERS
 
-STOP_WORDS = {"a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with"}
+#: The default English stop words.
+STOP_WORDS = set(
+    """a about above after again against all am an and any are aren as at be because been before being below between both but by can cannot could couldn
+    did didn do does doesn doing dont down during each few for from further had hadn hadnt has hasn hasnt have havent having he hed hell hes her here hers
+    herself him himself his how hows i id im if in into is it its itself ll me more most must my myself no nor not of off on once only or other ought our
+    ours ourselves out over own same she should so some such than that the their theirs them themselves then there these they this those through to too
+    under until up ve very was we were what when where which while who whom why with will would you your yours yourself yourselves""".split()
+)
+#: Words that a query matches are looked up by value up to this number; more are joined.
+WORDS_BY_VALUE = 1000
 
 
 @dataclass
 class Config:
+    """Of a text index; shares (``typo``, ``concat``, ...) are in percent of a full match."""
+
     stop_words: set[str] = field(default_factory=lambda: set(STOP_WORDS))
     synonyms: dict[str, list[str]] = field(default_factory=dict)
+    terms_boost: dict[str, float] = field(default_factory=dict)
+    stemmers: tuple[str, ...] = ("en", "ru")
     bm25: str = "rx"  # rx classic word_count
     k1: float = 2.0
     b: float = 0.75
@@ -31,15 +55,30 @@ class Config:
     position_weight: float = 0.1
     distance_weight: float = 0.5
     full_match_boost: float = 1.1
+    sum_ranks_by_fields: float = 0.0
+    concat_share: float = 90.0
+    split_share: float = 90.0
+    typo: float = 85.0
+    typo_penalty: float = 15.0
     prefix_min: int = 20
     suffix_min: int = 10
     step: int = 15
     stem_penalty: int = 15
     min_rank: float = 5.0
     max_typos: int = 2
+    max_typo_len: int = 15
+    max_missing_letters: int = 2
+    max_extra_letters: int = 2
+    max_typo_distance: int = 0
+    max_permutation_distance: int = 1
+    min_part: int = 3
     translit: bool = True
     stemming: bool = True
     keyboard: bool = True
+    concat: bool = True
+    split: bool = True
+    numbers: bool = False
+    preselect: bool = False
 
 
 @dataclass
@@ -53,6 +92,21 @@ class Term:
     boost: float = 1.0
     phrase: int = -1
     gap: int = 1
+    length: float = 1.0  # of the longest term's
+
+
+@dataclass(frozen=True)
+class Variant:
+    """A pattern that stands for a term, how well, and what may still be derived from it."""
+
+    word: str
+    proc: float
+    prefix: bool = False
+    suffix: bool = False
+    typos: bool = False
+    stem: bool = True
+    synonyms: bool = True
+    split: bool = True
 
 
 @dataclass
@@ -101,10 +155,13 @@ def parse(text: str, config: Config | None = None) -> Parsed:
         words = WORD.findall(re.sub(r"\\(.)", r"\1", m[3]).lower())
         marks = m[4] + m[6]
         for w in words:
-            if w not in config.stop_words:
+            if w not in config.stop_words or op != "or" or marks or m[2]:  # as it stands, not asked for by name or as a part
                 out.terms.append(Term(w, op, bool(m[1]), "*" in marks, bool(m[2]), "~" in marks, float(m[5] or 1)))
     if out.terms and all(t.op == "not" for t in out.terms):
         raise QueryError("a query of excluded words alone finds nothing")
+    longest = max((len(t.word) for t in out.terms), default=1)
+    for t in out.terms:
+        t.length = len(t.word) / longest
     return out
 
 
@@ -134,90 +191,260 @@ def other_layout(word: str) -> str:
     return word.translate(table)
 
 
-def stem(word: str) -> str:
-    """The first steps of Porter's English stemmer; other alphabets stay."""
-    if len(word) <= 3 or not word.isascii():
-        return word
-    vowel = lambda s: re.search("[aeiouy]", s)
-    for end, to in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
-        if word.endswith(end):
-            word = word[: len(word) - len(end)] + to
-            break
-    for end in ("ing", "ed"):
-        if word.endswith(end) and vowel(word[: -len(end)]):
-            word = word[: -len(end)]
-            if word.endswith(("at", "bl", "iz")):
-                word += "e"
-            elif re.search(r"([^aeiouylsz])\1$", word):
-                word = word[:-1]
-            break
-    for end, to in (("ational", "ate"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("ement", ""), ("ment", ""), ("ness", ""), ("ly", ""), ("er", "")):
-        if word.endswith(end) and len(word) - len(end) > 2:
-            return word[: len(word) - len(end)] + to
-    return word
-
-
-def variants(t: Term, config: Config) -> list[tuple[str, float, bool, bool]]:
-    """(pattern, proc, prefix, suffix): the word, its layouts, transliterations, stems and synonyms."""
-    out: dict[str, tuple[float, bool, bool]] = {t.word: (100.0, t.prefix, t.suffix)}
-
-    def add(word: str, proc: float, prefix: bool, suffix: bool) -> None:
-        if word and word not in config.stop_words and (word not in out or out[word][0] < proc):
-            out[word] = (proc, prefix, suffix)
-
-    if not t.exact:
-        if config.keyboard and t.phrase < 0:
-            add(other_layout(t.word), 90.0, t.prefix, t.suffix)
-        parts = re.split(r"[-+/']", t.word)
-        if len(parts) > 1:
-            for p in parts:
-                if len(p) >= 3:
-                    add(p, 80.0, t.prefix, t.suffix)
-            add("".join(parts), 80.0, t.prefix, t.suffix)
-        if config.translit:
-            add(translit(t.word), 90.0, t.prefix, t.suffix)
-        for s in config.synonyms.get(t.word, []):
-            add(s, 95.0, False, False)
-        if config.stemming:
-            for word, (proc, _, suffix) in [*out.items()]:
-                if (s := stem(word)) != word:
-                    add(s, max(1.0, proc - config.stem_penalty), True, suffix)
-    return [(w, *v) for w, v in out.items()]
-
-
-def deletions(word: str, most: int) -> set[str]:
-    out, now = {word}, {word}
-    for _ in range(most):
-        now = {w[:i] + w[i + 1 :] for w in now for i in range(len(w)) if len(w) > 2}
-        out |= now
+def numbers_as_words(word: str) -> list[str]:
+    """English and Russian words of a whole number below a million, digit groups in order."""
+    if not word.isdigit() or len(word) > 6:
+        return []
+    return [w for names in NUMBERS.values() for w in _spelled(int(word), names)]
+
+
+#: Names of 0 to 19, of tens, and of hundreds by language (fixed values); thousands are left out as a word of their own.
+NUMBERS = {
+    "en": ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split(), "twenty thirty forty fifty sixty seventy eighty ninety".split(), []),
+    "ru": ("ноль один два три четыре пять шесть семь восемь девять десять одиннадцать двенадцать тринадцать четырнадцать пятнадцать шестнадцать семнадцать восемнадцать девятнадцать".split(), "двадцать тридцать сорок пятьдесят шестьдесят семьдесят восемьдесят девяносто".split(), "сто двести триста четыреста пятьсот шестьсот семьсот восемьсот девятьсот".split()),
+}
+
+
+def _spelled(n: int, names: tuple[list[str], list[str], list[str]]) -> list[str]:
+    small, tens, hundreds = names
+    if n >= 1000:
+        return _spelled(n // 1000, names) + (_spelled(n % 1000, names) if n % 1000 else [])
+    out = []
+    if n >= 100:
+        out += [hundreds[n // 100 - 1]] if hundreds else [small[n // 100], "hundred"]
+        n %= 100
+        if not n:
+            return out
+    if n < 20:
+        return [*out, small[n]]
+    return [*out, tens[n // 10 - 2], *([small[n % 10]] if n % 10 else [])]
+
+
+class Typos:
+    """Words that a pattern turns into by deleting letters in both.
+
+    Up to half of ``max_typos`` (rounded up) in each, ``max_typos`` in sum. Where
+    letters go in both, they have to stand at about the same place, or to be
+    the same letter moved.
+    """
+
+    def __init__(self, pattern: str, proc: float, c: Config):
+        self.pattern, self.proc, self.c = pattern, proc, c
+        self.most = -(-c.max_typos // 2)
+        self.cuts: dict[str, list[tuple[int, ...]]] = {}
+        for text, at in self.deletions(pattern):
+            self.cuts.setdefault(text, []).append(at)
+
+    def deletions(self, word: str) -> Iterator[tuple[str, tuple[int, ...]]]:
+        yield word, ()
+        n = len(word)
+        if self.most < 1 or n < 3 or n > self.c.max_typo_len:
+            return
+        for i in range(n):
+            yield word[:i] + word[i + 1 :], (i,)
+        if self.most > 1 and n > 3:
+            for i in range(n):
+                for j in range(i + 1, n):
+                    yield word[:i] + word[i + 1 : j] + word[j + 1 :], (i, j)
+
+    def proc_of(self, word: str) -> float | None:
+        """How well ``word`` matches, if it does."""
+        if abs(len(word) - len(self.pattern)) > self.most:
+            return None
+        best = None
+        for text, at in self.deletions(word):
+            for own in self.cuts.get(text, ()):
+                if len(at) + len(own) <= self.c.max_typos and self.allowed(own, at, word):
+                    typos = max(len(own), len(at))
+                    loss = typos * self.c.typo_penalty / max((len(word.encode()) - typos) / 3, 1.0)
+                    best = max(best or 0.0, self.proc * self.c.typo / 100 - loss, 1.0)
+        return best
+
+    def allowed(self, own: tuple[int, ...], other: tuple[int, ...], word: str) -> bool:
+        c = self.c
+        if 0 <= c.max_extra_letters < len(own) - len(other) or 0 <= c.max_missing_letters < len(other) - len(own):
+            return False
+        if not own or not other or c.max_typo_distance < 0:
+            return True
+        near = lambda a, b: abs(a - b) <= c.max_typo_distance
+        moved = lambda a, b: self.pattern[a] == word[b] and (c.max_permutation_distance < 0 or abs(a - b) <= c.max_permutation_distance)
+        wide = c.max_permutation_distance < 0 or c.max_permutation_distance > c.max_typo_distance
+        if len(own) == 1 and len(other) == 1:
+            return near(own[0], other[0]) or (wide and moved(own[0], other[0]))
+        if len(own) == 2 and len(other) == 2:
+            pairings = [((own[0], other[0]), (own[1], other[1])), ((own[0], other[1]), (own[1], other[0]))]
+            if any(near(*x) and near(*y) for x, y in pairings):
+                return True
+            return wide and any((moved(*x) or near(*x)) and (moved(*y) or near(*y)) and (moved(*x) or moved(*y)) for x, y in pairings)
+        one, two = (own[0], other) if len(own) == 1 else (other[0], own)
+        if near(one, two[1] - 1) or near(one, two[0]):
+            return True
+        return wide and any(moved(one, t) if len(own) == 1 else moved(t, one) for t in two)
+
+
+def wanted_typos(q: Parsed, c: Config) -> list[Typos]:
+    """What has to be looked for in the vocabulary before the query can be expanded."""
+    return [Typos(v.word, v.proc, c) for i, t in enumerate(q.terms) if t.typos and c.max_typos > 0 for v in _begun(q, i, c)]
+
+
+def wanted_parts(q: Parsed, c: Config) -> set[str]:
+    """Halves of terms, that count only if both are words of the vocabulary."""
+    return {p for t in q.terms if _splits(t, c) for i in range(2, len(t.word) - 2) for p in (t.word[:i], t.word[i:])}
+
+
+def _splits(t: Term, c: Config) -> bool:
+    return c.split and t.op == "or" and t.phrase < 0 and not t.exact
+
+
+def _added(variants: list[Variant], new: list[Variant], c: Config) -> list[Variant]:
+    return variants + [v for v in new if v.word and v.word not in c.stop_words]
+
+
+def _begun(q: Parsed, i: int, c: Config) -> list[Variant]:
+    """The term, what it makes with the term before it, and both in the other keyboard layout."""
+    t = q.terms[i]
+    out = [Variant(t.word, 100.0, t.prefix, t.suffix, t.typos)]
+    if t.exact and t.phrase < 0:
+        return out
+    if c.concat and i and t.phrase < 0:
+        p = q.terms[i - 1]
+        if t.op == p.op == "or" and not p.exact and p.phrase < 0:
+            out.append(Variant(p.word + t.word, c.concat_share, t.prefix, p.suffix, t.typos and p.typos, split=False))
+    if c.keyboard:
+        out = _added(out, [_like(v, o, v.proc * 0.9) for v in out if (o := other_layout(v.word)) != v.word], c)
     return out
 
 
-def match(word: Column, t: Term, config: Config) -> Column:
-    """The proc of a document's word for a term; null if it doesn't match."""
-    best: list[Column] = []
-    for pattern, proc, prefix, suffix in variants(t, config):
-        size = len(pattern.encode())
-        gap = F.octet_length(word) - size
-        loss = F.lit(float(config.step)) * gap / max(size, 3)
-        hits = word == pattern
-        floor = None
-        if prefix and suffix:
-            hits, floor = word.contains(pattern), config.suffix_min
-        elif prefix:
-            hits, floor = word.startswith(pattern), config.prefix_min
-        elif suffix:
-            hits, floor = word.endswith(pattern), config.suffix_min
-        value = F.lit(proc) if floor is None else F.least(F.lit(proc), F.greatest(F.lit(proc) - loss, F.lit(float(floor))))
-        best.append(F.when(hits, value))
-    if t.typos:
-        each = max(1, config.max_typos // 2)
-        keys = sorted(deletions(t.word, each))
-        own = F.levenshtein(word, F.lit(t.word))
-        short = [F.lit(k) for k in keys]
-        near = word.isin(*short) | ((own <= config.max_typos) & (F.abs(F.length(word) - len(t.word)) <= each) & (F.length(word) > 2))
-        best.append(F.when(near & (word != t.word), F.lit(85.0) - 15.0 * (own - 1)))
-    return F.greatest(*best) if len(best) > 1 else best[0]
+def _like(v: Variant, word: str, proc: float, **changes) -> Variant:
+    return Variant(**(v.__dict__ | {"word": word, "proc": proc} | changes))
+
+
+def _parted(v: Variant, phrase: bool, c: Config) -> list[Variant]:
+    """Parts of a word with delimiters, and the word without them."""
+    parts = [p for p in re.split(r"[-+/'_`]", v.word) if p]
+    if len(parts) < 2:
+        return []
+    out, proc = [], v.proc * 0.8
+    for k, p in enumerate(parts):
+        if not phrase and len(p) >= c.min_part:
+            last = k == len(parts) - 1
+            out.append(_like(v, p, proc, synonyms=False, stem=last and v.stem and len(p) >= 5, prefix=last and v.prefix, suffix=last and v.suffix))
+    joined = "".join(parts)
+    return [*out, _like(v, joined, proc, stem=v.stem and len(joined) >= 5)]
+
+
+def _stemmed(variants: list[Variant], t: Term, c: Config) -> list[Variant]:
+    new, out = [], []
+    for v in variants:
+        if v.stem and c.stemming and not (t.op == "not" and v.suffix):
+            for language in c.stemmers:
+                root = STEMMERS[language](v.word)
+                if root != v.word and len(root) > 1:
+                    new.append(_like(v, root, max(1.0, v.proc - c.stem_penalty), prefix=True, stem=False))
+        out.append(_like(v, v.word, v.proc, stem=False))
+    return _added(out, new, c)
+
+
+def _transliterated(variants: list[Variant], c: Config) -> list[Variant]:
+    return _added(variants, [_like(v, w, v.proc * 0.9) for v in variants if (w := translit(v.word)) != v.word], c) if c.translit else variants
+
+
+def _synonyms(variants: list[Variant], t: Term, c: Config) -> list[Variant]:
+    if t.op == "not":
+        return variants
+    new = [_like(v, s, v.proc * 0.95, synonyms=False, stem=True, prefix=False, suffix=False) for v in variants if v.synonyms for s in c.synonyms.get(v.word, []) if " " not in s]
+    return _added(variants, new, c)
+
+
+def variants(q: Parsed, i: int, c: Config, typos: dict[str, float] | None = None) -> list[Variant]:
+    """All patterns of term ``i``; ``typos`` are the vocabulary's words that it turns into."""
+    t = q.terms[i]
+    out = _begun(q, i, c)
+    first = out[0]
+    fixed = [_like(first, w, p, stem=first.stem and len(w) >= 5, typos=False) for w, p in (typos or {}).items()]
+    if t.exact and t.phrase < 0:
+        return _added(out, fixed, c)
+    out = _added(out, fixed, c)
+    out = _added(out, [n for v in out for n in _parted(v, t.phrase >= 0, c)], c)
+    if c.numbers and t.phrase < 0:
+        out = _added(out, [_like(first, w, 95.0, synonyms=False, stem=False) for w in numbers_as_words(t.word)], c)
+    if t.phrase >= 0:
+        out = _synonyms(out, t, c)
+        return out if t.exact else _stemmed(_transliterated(out, c), t, c)
+    out = _stemmed(_transliterated(out, c), t, c)
+    return _stemmed(_synonyms(out, t, c), t, c)
+
+
+@dataclass
+class Group:
+    """Words that stand for terms only if a row holds all of them: halves of a term, or a synonym of several words."""
+
+    parts: list[list[Variant]]
+    boost: float = 1.0
+    length: float = 1.0
+
+
+def groups(q: Parsed, c: Config, known: set[str]) -> list[Group]:
+    out = []
+    for t in q.terms:
+        if _splits(t, c):
+            for i in range(2, len(t.word) - 2):
+                head, tail = t.word[:i], t.word[i:]
+                if {head, tail} <= known and not {head, tail} & c.stop_words:
+                    proc = 50.0 * c.split_share / 100
+                    first, second = ([Variant(w, proc, pre, suf, stem=len(w) >= 5)] for w, pre, suf in ((head, t.prefix, False), (tail, False, t.suffix)))
+                    out.append(Group([_stemmed(_transliterated(part, c), t, c) for part in (first, second)], t.boost, t.length))
+    plain = [t for t in q.terms if t.op == "or" and t.phrase < 0 and not t.exact]
+    words = [t.word for t in plain]
+    for key, others in c.synonyms.items():
+        tokens = key.split()
+        if {*tokens} <= {*words}:
+            boost, length = (sum(getattr(plain[words.index(w)], a) for w in tokens) / len(tokens) for a in ("boost", "length"))
+            for other in others:
+                alternative = [w for w in other.split() if w not in c.stop_words]
+                if len(tokens) > 1 or len(alternative) > 1:
+                    out.append(Group([_stemmed([Variant(w, 95.0)], plain[0], c) for w in alternative], boost, length))
+    return out
+
+
+class Matcher:
+    """Which numbered pattern lists a word matches, and how well."""
+
+    def __init__(self, lists: list[list[Variant]], c: Config):
+        self.c = c
+        self.exact: dict[str, list[tuple[int, Variant]]] = {}
+        self.heads: dict[str, list[tuple[int, Variant]]] = {}
+        self.tails: dict[str, list[tuple[int, Variant]]] = {}
+        self.inner: list[tuple[int, Variant]] = []
+        for i, some in enumerate(lists):
+            for v in some:
+                if v.prefix and v.suffix:
+                    self.inner.append((i, v))
+                else:
+                    (self.heads if v.prefix else self.tails if v.suffix else self.exact).setdefault(v.word, []).append((i, v))
+        self.head_sizes, self.tail_sizes = ({len(w) for w in x} for x in (self.heads, self.tails))
+
+    def __call__(self, word: str) -> dict[int, float]:
+        out: dict[int, float] = {}
+
+        def met(found: list[tuple[int, Variant]], before: int) -> None:
+            for i, v in found:
+                size = len(v.word.encode())
+                off = abs(len(word.encode()) - size + len(word[:before].encode()))
+                proc = min(v.proc, max(v.proc - self.c.step * off / max(size, 3), self.c.suffix_min if before else self.c.prefix_min)) if off else v.proc
+                boost = max(self.c.terms_boost.get(word, 0.0), self.c.terms_boost.get(v.word, 0.0))
+                out[i] = max(out.get(i, 0.0), proc * boost if boost > 0 else proc)
+
+        met(self.exact.get(word, []), 0)
+        for n in self.head_sizes:
+            met(self.heads.get(word[:n], []) if n <= len(word) else [], 0)
+        for n in self.tail_sizes:
+            met(self.tails.get(word[len(word) - n :], []) if n <= len(word) else [], len(word) - n)
+        for i, v in self.inner:
+            at = word.find(v.word)
+            if at >= 0:
+                met([(i, v)], at)
+        return out
 
 
 def bound(k, weight: float, boost: float = 1.0):
@@ -243,89 +470,286 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+(?:[-+/'][\p{L}\p{N}]+)*)"), 1)
 
 
+@dataclass
+class TextIndex:
+    """Postings ``word, f, n, keys.., len, pos``, vocabulary ``word, docs``, and what a rank needs of the whole."""
+
+    postings: DataFrame
+    words: DataFrame
+    fields: list[str]
+    keys: list[str]
+    total: int
+    average: list[float]
+
+
+def _names(keys: list[str]) -> list[str]:
+    return [f"_k{i}" for i in range(len(keys))]
+
+
+def build(df: DataFrame, keys: list[str], fields: list[str]) -> TextIndex:
+    """One scan of ``df``; postings lie by word, a frequent word's in several places."""
+    ks = _names(keys)
+    kinds = [df.select(F.col(f"`{k}`")).schema.fields[0].dataType.simpleString() for k in keys]
+    rows = df.select(*(F.col(f"`{k}`").alias(a) for k, a in zip(keys, ks, strict=True)), F.array(*(F.coalesce(tokens(F.col(f)), F.array().cast("array<string>")) for f in fields)).alias("w"))
+    ddl = ", ".join(["word string, f int, first boolean", *(f"{a} {t}" for a, t in zip(ks, kinds, strict=True)), "len int, pos array<int>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                cols: tuple[list, ...] = ([], [], [], [], [], [])
+                for row, texts in enumerate(part.column("w").to_pylist()):
+                    seen: set[str] = set()
+                    for f, words in enumerate(texts):
+                        where: dict[str, list[int]] = {"": []}  # the empty word tells of the field itself
+                        for i, w in enumerate(words):
+                            where.setdefault(w, []).append(i)
+                        for w, positions in where.items():
+                            for c, v in zip(cols, (w, f, w not in seen, row, len(words), positions), strict=True):
+                                c.append(v)
+                        seen.update(where)
+                taken = pa.array(cols[3], pa.int64())
+                made = [pa.array(cols[0]), pa.array(cols[1], pa.int32()), pa.array(cols[2]), *(part.column(a).take(taken) for a in ks), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(made, names=["word", "f", "first", *ks, "len", "pos"])
+
+    made = rows.mapInArrow(run, ddl)
+    postings = written(made.repartition("word", F.pmod(F.xxhash64(*ks), F.lit(16))).sortWithinPartitions("word"), "postings")
+    words = written(postings.where("word <> ''").groupBy("word").agg(F.sum(F.col("first").cast("long")).alias("docs")), "words")
+    sizes = {r["f"]: r for r in postings.where("word = ''").groupBy("f").agg(F.count("*").alias("n"), F.avg("len").alias("a")).collect()}  # a row a field
+    return TextIndex(postings, words, fields, keys, sizes[0]["n"] if sizes else 0, [sizes[f]["a"] if sizes else 0.0 for f in range(len(fields))])
+
+
+@dataclass
+class Expanded:
+    """A query with everything that it matches: pattern lists of its terms, then those of its groups' parts."""
+
+    q: Parsed
+    lists: list[list[Variant]]
+    of_groups: list[Group]
+
+
+def expand(index: TextIndex, q: Parsed, c: Config) -> Expanded:
+    """Look up typos and halves of terms among the distinct words, then list all patterns."""
+    looked, parts = wanted_typos(q, c), wanted_parts(q, c)
+    owner = [i for i, t in enumerate(q.terms) if t.typos and c.max_typos > 0 for _ in _begun(q, i, c)]
+    typos: dict[int, dict[str, float]] = {}
+    known: set[str] = set()
+    if looked:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = [(w, k, p) for w in batch.column(0).to_pylist() for k, x in enumerate(looked) if (p := x.proc_of(w)) is not None]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.float64())], names=["w", "k", "p"])
+
+        longest = max(len(x.pattern) for x in looked) + 2
+        near = index.words.where(F.length("word") <= longest).select("word").mapInArrow(run, "w string, k int, p double")
+        for r in near.collect():  # distinct words within a few letters of the query's
+            if r["w"] not in c.stop_words:
+                own = typos.setdefault(owner[r["k"]], {})
+                own[r["w"]] = max(own.get(r["w"], 0.0), r["p"])
+    if parts:
+        known = {r["word"] for r in index.words.where(F.col("word").isin(*parts)).collect()}  # halves of the query's terms
+    lists = [variants(q, i, c, typos.get(i)) for i in range(len(q.terms))]
+    return Expanded(q, lists, groups(q, c, known))
+
+
 def search(df: DataFrame, keys: list[str], fields: list[str], text: str, config: Config | None = None) -> DataFrame:
-    """``keys`` and ``_ft`` (rank, 0 to 255) of the rows that match; highest first is for the caller."""
+    """``keys`` and ``_ft`` (rank, 0 to 255) of the rows of ``df`` that match, by an index made for this."""
+    return ask(build(df, keys, fields), text, config)
+
+
+def ask(index: TextIndex, text: str, config: Config | None = None, only: DataFrame | None = None, debug: bool = False) -> DataFrame:
+    """``_k0, ..`` (the keys) and ``_ft`` (rank, 0 to 255) of the rows that match, among those of ``only`` (keys) if given.
+
+    With ``debug`` also ``_why``, how the rank came about.
+    """
     c = config or Config()
     q = parse(text, c)
-    boosts = {f: 1.0 for f in fields} if not q.fields or "*" in q.fields else {f: q.fields.get(f, 0.0) for f in fields}
-    ks = [f"_k{i}" for i in range(len(keys))]
-    own = [F.col(f"`{k}`").alias(a) for k, a in zip(keys, ks, strict=True)]
+    fields, ks = index.fields, _names(index.keys)
+    boosts = [1.0] * len(fields) if not q.fields or "*" in q.fields else [q.fields.get(f, 0.0) for f in fields]
     if not q.terms:
-        return df.limit(0).select(*own, F.lit(0.0).alias("_ft"))
-    per_field = [F.struct(F.lit(f).alias("f"), F.lit(boosts[f]).alias("boost"), tokens(F.col(f)).alias("w")) for f in fields if boosts[f] > 0]
-    rows = df.select(*own, F.explode(F.array(*per_field)).alias("x")).select(*ks, "x.f", "x.boost", F.coalesce("x.w", F.array().cast("array<string>")).alias("w"))
-    stats = rows.agg(F.countDistinct(*ks).alias("total"), *(F.avg(F.when(F.col("f") == f, F.size("w"))).alias(f"avg_{i}") for i, f in enumerate(fields)))
-    words = rows.select(*ks, "f", "boost", F.size("w").alias("len"), F.posexplode("w").alias("pos", "word"))
-    cases = F.filter(F.array(*(F.struct(F.lit(i).alias("t"), match(F.col("word"), t, c).alias("proc")) for i, t in enumerate(q.terms))), lambda s: s["proc"].isNotNull())
-    hits = words.withColumn("m", F.explode(cases)).select(*ks, "f", "boost", "len", "pos", "word", "m.t", "m.proc")
-    grouped = hits.groupBy(*ks, "f", "boost", "len", "t", "word", "proc").agg(F.count("*").alias("tf"), F.min("pos").alias("first"), F.sort_array(F.collect_list("pos")).alias("at"))
-    docs_with = hits.groupBy("t", "word").agg(F.countDistinct(*ks).alias("matched"))
-    scored = grouped.join(docs_with, ["t", "word"]).crossJoin(F.broadcast(stats))  # a single row of totals
-    average = F.coalesce(*(F.when(F.col("f") == f, F.col(f"avg_{i}")) for i, f in enumerate(fields)))
-    boost = F.element_at(F.array(*(F.lit(t.boost) for t in q.terms)), F.col("t") + 1)
+        return index.postings.limit(0).select(*ks, F.lit(0.0).alias("_ft"))
+    full = expand(index, q, c)
+    parts = [(g, k) for g, group in enumerate(full.of_groups) for k in range(len(group.parts))]
+    match = Matcher([*full.lists, *(p for group in full.of_groups for p in group.parts)], c)
+    owners = [*q.terms, *(full.of_groups[g] for g, _ in parts)]
+
+    def matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(w, n, i, p) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, p in match(w).items()]
+            cols = zip(*out, strict=True) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.float64()), strict=True)], names=["word", "docs", "t", "proc"])
+
+    met = index.words.mapInArrow(matching, "word string, docs long, t int, proc double")
+    few = met.limit(WORDS_BY_VALUE + 1).collect()
+    postings = index.postings.where("word <> ''")
+    if only is not None:
+        postings = postings.join(only, ks, "left_semi")
+    if len(few) <= WORDS_BY_VALUE:  # the filter reaches the scan, and what is broadcast has this many rows at most
+        postings = postings.where(F.col("word").isin(*sorted({r["word"] for r in few})))
+        met = F.broadcast(df_of(index.words.sparkSession, few))
+    hits = postings.join(met, "word").where(F.element_at(F.array(*map(F.lit, boosts)), F.col("f") + 1) > 0)
+    pick = lambda values, at: F.element_at(F.array(*(F.lit(float(v)) for v in values)), F.col(at) + 1)
     rank = (
-        F.col("boost")
-        * bound(bm25(F.col("tf"), F.col("len"), average, F.col("total"), F.col("matched"), c), c.bm25_weight)
-        * bound(1.0, c.length_weight)
-        * bound(position_rank(F.col("first")), c.position_weight)
-        * boost
+        pick(boosts, "f")
+        * bound(bm25(F.size("pos"), F.col("len"), pick(index.average, "f"), F.lit(float(index.total)), F.col("docs"), c), c.bm25_weight)
+        * bound(pick([x.length for x in owners], "t"), c.length_weight)
+        * bound(position_rank(F.get("pos", F.lit(0))), c.position_weight)
+        * pick([x.boost for x in owners], "t")
         * F.col("proc")
     )
-    best = scored.withColumn("r", rank).groupBy(*ks, "t").agg(F.max(F.struct("r", F.col("len").alias("n"))).alias("b"), F.flatten(F.collect_list("at")).alias("at"))
-    doc = best.groupBy(*ks).agg(F.sort_array(F.collect_list(F.struct(F.col("t"), F.col("b.r").alias("r"), F.array_sort("at").alias("at"), F.col("b.n").alias("n")))).alias("ts"))
-    doc = doc.withColumn("has", F.transform("ts", lambda x: x["t"]))
-    need = F.lit(True)
+    by_row = hits.groupBy(*ks).agg(F.collect_list(F.struct("t", "word", "f", rank.alias("r"), "proc", "len", "pos")).alias("hits"))
+    folded = by_row.select(*ks, fold_rows(q, len(q.terms), parts, full.of_groups, boosts, c)("hits").alias("x")).where("x.rank is not null")
+    folded = folded.select(*ks, F.col("x.rank").alias("_ft"), F.col("x.why").alias("_why")).where(F.col("_ft") >= c.min_rank)
+    top = folded.agg(F.max("_ft").alias("_top"))
+    out = folded.crossJoin(F.broadcast(top))  # a row of the maximum
+    scaled = F.floor(F.col("_ft") * F.when(F.col("_top") > 255, 255.0 / F.col("_top")).otherwise(1.0)).cast("double")
+    return out.select(*ks, scaled.alias("_ft"), *(["_why"] if debug else []))
+
+
+def df_of(spark, rows: list) -> DataFrame:
+    return spark.createDataFrame([tuple(r) for r in rows], "word string, docs long, t int, proc double")
+
+
+def apart(last: dict[int, list[int]], now: dict[int, list[int]]) -> int:
+    """The least distance of positions in one field; 0 if they share none."""
+    best = None
+    for f, own in now.items():
+        i = j = 0
+        other = last.get(f, [])
+        while i < len(own) and j < len(other):
+            gap = abs(own[i] - other[j])
+            best = gap if best is None else min(best, gap)
+            if own[i] > other[j]:
+                j += 1
+            else:
+                i += 1
+    return best or 0
+
+
+def fold_rows(q: Parsed, n_terms: int, parts: list[tuple[int, int]], of_groups: list[Group], boosts: list[float], c: Config):
+    """A function from the word hits of a row to its rank before scaling (null if it doesn't match), and what made it."""
+    steps: list[tuple[str, list[int]]] = []  # terms and phrases in order
     for i, t in enumerate(q.terms):
-        inside = F.array_contains("has", i)
-        if t.op == "must" or (t.phrase >= 0 and t.op != "not"):
-            need = need & inside
-        elif t.op == "not" and t.phrase < 0:
-            need = need & ~inside
-    doc = doc.where(need)
-    for p in sorted({t.phrase for t in q.terms if t.phrase >= 0}):
-        part = [(i, t) for i, t in enumerate(q.terms) if t.phrase == p]
-        held = in_order([F.element_at(F.filter("ts", _of(i)), 1)["at"] for i, _ in part], part[0][1].gap)
-        doc = doc.where(~held if part[0][1].op == "not" else held)
-    kept = [i for i, t in enumerate(q.terms) if t.op != "not"]
-    useful = F.filter("ts", lambda x: x["t"].isin(*kept))
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("array<int>").alias("last"))
-
-    def step(acc: Column, x: Column) -> Column:
-        apart = F.array_min(F.transform(x["at"], lambda a: F.array_min(F.transform(acc["last"], lambda b: F.abs(a - b)))))
-        near = F.when(acc["last"].isNull(), F.lit(1.0)).otherwise(1.0 / F.greatest(F.lit(1.0), F.coalesce(apart, F.lit(1000)).cast("double")))
-        return F.struct((acc["sum"] + x["r"] * bound(near, c.distance_weight)).alias("sum"), x["at"].cast("array<int>").alias("last"))
-
-    total = F.aggregate(useful, start, step)["sum"]
-    full = F.exists(useful, lambda x: x["n"] == len(kept)) & (F.size(useful) == len(kept))
-    doc = doc.withColumn("_ft", total * F.when(full, c.full_match_boost).otherwise(1.0))
-    # scaled so that the best is 255 at most; a window over matched rows' two columns would sort them: a row of the maximum does
-    top = doc.agg(F.max("_ft").alias("top"))
-    out = doc.select(*ks, "_ft").crossJoin(F.broadcast(top))
-    out = out.withColumn("_ft", F.col("_ft") * F.when(F.col("top") > 255, 255.0 / F.col("top")).otherwise(1.0))
-    return out.where(F.col("_ft") >= c.min_rank).select(*ks, F.floor("_ft").cast("double").alias("_ft"))
-
-
-def _of(term: int):
-    return lambda x: x["t"] == term
-
-
-def _behind(reach: Column, gap: int):
-    return lambda p: F.exists(reach, lambda a: (p > a) & (p - a <= gap))
-
-
-def in_order(positions: list[Column], gap: int) -> Column:
-    """Is there a chain of positions, each at most ``gap`` behind the one before?"""
-    reach = positions[0]
-    for nxt in positions[1:]:
-        reach = F.filter(nxt, _behind(reach, gap))
-    return F.coalesce(F.size(reach) > 0, F.lit(False))
+        if t.phrase >= 0 and steps and q.terms[steps[-1][1][0]].phrase == t.phrase:
+            steps[-1][1].append(i)
+        else:
+            steps.append((t.op, [i]))
+
+    def subterms(hits: list[dict]) -> dict[int, list[tuple[float, float, dict[int, list[int]], int, str]]]:
+        """Of each term: (rank, proc, positions by field, words of the best field, word), best matches first."""
+        words: dict[tuple[int, str], list[dict]] = {}
+        for h in hits:
+            words.setdefault((h["t"], h["word"]), []).append(h)
+        out: dict[int, list] = {}
+        for (t, word), some in words.items():
+            ranks = sorted((h["r"] for h in some), reverse=True)
+            best = max(some, key=lambda h: (h["r"], -h["f"]))
+            rank, k = ranks[0], c.sum_ranks_by_fields
+            for r in ranks[1:] if k > 0 else ():
+                rank += k * r
+                k *= c.sum_ranks_by_fields
+            out.setdefault(t, []).append((rank, best["proc"], {h["f"]: [*h["pos"]] for h in some}, best["len"], word))
+        for some in out.values():
+            some.sort(key=lambda x: (-x[1], x[4]))
+        return out
+
+    def near(distance: int) -> float:
+        return bound(1.0 / max(distance, 1), c.distance_weight)
+
+    def phrase(found: dict, members: list[int]) -> tuple[float, dict, int] | None:
+        """Rank and last positions of words in order, each at most the gap behind the one before."""
+        total, last, length = 0.0, None, 0
+        for i in members:
+            rank, following = 0.0, {}
+            for r, _, pos, n, _ in found.get(i, []):
+                if last is None:
+                    if r > rank:
+                        rank, length = r, n
+                    for f, own in pos.items():
+                        following.setdefault(f, set()).update(own)
+                    continue
+                gaps = []
+                for f, own in pos.items():
+                    for p in own:
+                        behind = [p - a for a in last.get(f, ()) if 0 < p - a <= q.terms[i].gap]
+                        if behind:
+                            gaps.append(min(behind))
+                            following.setdefault(f, set()).add(p)
+                if following:
+                    rank = max(rank, near(min(gaps) if gaps else 1) * r)
+            if not following:
+                return None
+            total, last = total + rank, following
+        return total, {f: sorted(p) for f, p in last.items()}, length
+
+    def one(hits: list[dict]) -> tuple[float | None, str | None]:
+        found = subterms(hits)
+        rank, last, met, length, why = 0.0, {}, 0, None, []
+
+        def term(i: int) -> bool:
+            nonlocal rank, last, length
+            best, pos, word = 0.0, None, ""
+            for r, _, p, n, w in found.get(i, []):
+                final = r * (near(apart(last, p)) if last else 1.0)
+                if final > best:
+                    best, pos, word = final, p, w
+                    length = n if length is None or not last else length
+            if pos is None:
+                return False
+            rank, last = rank + best, pos
+            why.append(f"{word}: {best:.3f}")
+            return True
+
+        matched = False
+        for op, members in steps:
+            if q.terms[members[0]].phrase >= 0:
+                got = phrase(found, members)
+                if op == "not":
+                    if got is not None:
+                        return None, None
+                    continue
+                if got is None:
+                    if op == "must":
+                        return None, None
+                    continue
+                rank, last, matched, met = rank + got[0], got[1], True, met + 1
+                length = got[2] if length is None else length
+                why.append(f"phrase: {got[0]:.3f}")
+            elif op == "not":
+                if members[0] in found:
+                    return None, None
+            elif term(members[0]):
+                matched, met = True, met + 1
+            elif op == "must":
+                return None, None
+        whole = False
+        for g, group in enumerate(of_groups):
+            own = [n_terms + k for k, (of, _) in enumerate(parts) if of == g]
+            whole |= all(k in found for k in own)
+            for k in own if matched or all(k in found for k in own) else ():
+                term(k)
+        if not matched and (not whole or any(op == "must" for op, _ in steps)):
+            return None, None
+        if met == sum(op != "not" for op, _ in steps) and length == sum(t.op != "not" for t in q.terms):
+            rank *= c.full_match_boost
+            why.append(f"full match: {c.full_match_boost}")
+        return rank, ", ".join(why)
+
+    @F.pandas_udf("rank double, why string")
+    def run(rows: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one([*hits]) for hits in rows], columns=["rank", "why"])
+
+    return run
 
 
 # what is shown of a text
 
 
-def areas(text: str, patterns: list[str]) -> list[tuple[int, int]]:
-    found = sorted((m.start(), m.end()) for m in WORD.finditer(text) if any(re.fullmatch(p, m[0].lower()) for p in patterns))
+def areas(text: str, patterns: list[str] | Callable[[str], dict]) -> list[tuple[int, int]]:
+    """Where words stand that match: any of some patterns, or a test."""
+    test = patterns if callable(patterns) else lambda w: any(re.fullmatch(p, w) for p in patterns)
+    found = sorted((m.start(), m.end()) for m in WORD.finditer(text) if test(m[0].lower()))
     out: list[tuple[int, int]] = []
     for s, e in found:
         if out and s <= out[-1][1]:
@@ -366,15 +790,22 @@ def snippet(text: str, found: list[tuple[int, int]], pre: str, post: str, before
     return out
 
 
-def show(df: DataFrame, column: str, text: str, function: str, config: Config | None = None) -> DataFrame:
+def show(df: DataFrame, column: str, text: str, function: str, config: Config | None = None, index: TextIndex | None = None) -> DataFrame:
     """Replace ``column`` by ``highlight``, ``snippet`` or ``snippet_n`` of it, in Arrow batches."""
     c = config or Config()
     q = parse(text, c)
-    patterns = []
-    for t in q.terms:
-        if t.op != "not":
-            for w, _, prefix, suffix in variants(t, c):
-                patterns.append((".*" if suffix else "") + re.escape(w) + (".*" if prefix else ""))
+    full = expand(index, q, c) if index is not None else Expanded(q, [variants(q, i, c) for i in range(len(q.terms))], [])
+    main = [some for t, some in zip(q.terms, full.lists, strict=True) if t.op != "not"]
+    match = Matcher(main + [p for g in full.of_groups for p in g.parts], c)
+    ends = [len(main) + sum(len(x.parts) for x in full.of_groups[: k + 1]) for k in range(len(full.of_groups))]
+    whole = [{*range(end - len(g.parts), end)} for g, end in zip(full.of_groups, ends, strict=True)]
+
+    def shown(t: str) -> Callable[[str], bool]:
+        """Words of terms, and of groups that the text holds as a whole."""
+        met = {w: {*match(w)} for w in {m[0].lower() for m in WORD.finditer(t)}}
+        held = set().union(*met.values()) if met else set()
+        counts = {*range(len(main))}.union(*(g for g in whole if g <= held))
+        return lambda w: bool(met[w] & counts)
     m = re.search(r"(highlight|snippet_n|snippet)\s*\((.*)\)\s*$", function, re.S)
     if not m:
         raise QueryError(f"unknown function {function!r}")
@@ -388,7 +819,7 @@ def show(df: DataFrame, column: str, text: str, function: str, config: Config |
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         def one(t: str) -> str:
-            found = areas(t, patterns)
+            found = areas(t, shown(t))
             if kind == "highlight":
                 return highlight(t, found, args[0], args[1])
             extra = {"pre_delim": args[4] if len(args) > 4 else "", "post_delim": args[5] if len(args) > 5 else " "} if kind == "snippet" else {k: v if k != "with_area" else v == "1" for k, v in named.items()}

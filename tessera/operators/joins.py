@@ -59,6 +59,9 @@ def matching(df: DataFrame, ns, right: DataFrame, right_ns, join: Join, keep: bo
     """Rows with (or without) a match: a semi or anti join."""
     how = "left_semi" if keep else "left_anti"
     if simple(df, ns, right, right_ns, join):
+        if (bound := bounded(df, ns, right, right_ns, join)) is not None:
+            rows, test = bound
+            return rows.where(test if keep else ~truth(test)).select(*df.columns)
         lhs, rhs = df, right
         names = []
         for i, (_, a, cond, b) in enumerate(join.on):
@@ -74,6 +77,29 @@ def matching(df: DataFrame, ns, right: DataFrame, right_ns, join: Join, keep: bo
     return df.join(found, on, how)
 
 
+def bounded(df: DataFrame, ns, right: DataFrame, right_ns, join: Join) -> tuple[DataFrame, Column] | None:
+    """For one inequality beside equalities: ``df`` with the right side's extreme (by the equal keys), and the test against it.
+
+    A row matches some right row just if it matches the largest (or least) one.
+    """
+    odd = [(i, c) for i, (_, _, c, _) in enumerate(join.on) if c not in ("eq", "set")]
+    if len(odd) != 1:
+        return None
+    at, cond = odd[0]
+    lefts = [resolve(df, a, ns).col for _, a, _, _ in join.on]
+    rights = [resolve(right, b, right_ns).col.alias(f"_r{i}") for i, (*_, b) in enumerate(join.on)]
+    extreme = (F.max if cond in ("lt", "le") else F.min)(f"_r{at}").alias("_x")
+    equal = [i for i in range(len(join.on)) if i != at]
+    test = COMPARE[cond](lefts[at], F.col("_x"))
+    if not equal:
+        return df.crossJoin(F.broadcast(right.select(*rights).agg(extreme))), test  # a single row
+    best = right.select(*rights).groupBy(*(f"_r{i}" for i in equal)).agg(extreme)
+    on = lefts[equal[0]] == F.col(f"_r{equal[0]}")
+    for i in equal[1:]:
+        on = on & (lefts[i] == F.col(f"_r{i}"))
+    return df.join(best, on, "left"), test
+
+
 def _same(keys: list[str]) -> Column:
     on = F.lit(True)
     for i, k in enumerate(keys):
@@ -87,6 +113,9 @@ def flagged(df: DataFrame, ns, right: DataFrame, right_ns, join: Join, flag: str
     keys = ns.pk
     if not keys:
         raise QueryError("a join inside OR or a bracket needs a primary key")
+    if simple(df, ns, right, right_ns, join) and (bound := bounded(df, ns, right, right_ns, join)) is not None:
+        rows, test = bound
+        return rows.withColumn(flag, truth(test)).select(*df.columns, flag)
     equi = simple(df, ns, right, right_ns, join) and all(c in ("eq", "set") for _, _, c, _ in join.on)
     if equi:
         found = right.select(*(resolve(right, b, right_ns).col.alias(f"_r{i}") for i, (*_, b) in enumerate(join.on))).distinct().withColumn(flag, F.lit(True))
@@ -103,8 +132,14 @@ def flagged(df: DataFrame, ns, right: DataFrame, right_ns, join: Join, flag: str
 
 
 def attach(df: DataFrame, ns, right: DataFrame, right_ns, join: Join, name: str, order: list[Column], fields: list[str]) -> DataFrame:
-    """An array column of the matched rows, in order, at most ``limit`` a left row; empty without any."""
+    """An array column of the matched rows, in order, at most ``limit`` a left row; empty without any.
+
+    Where all conditions are equalities of scalars, right rows are gathered by
+    their own keys once, and neither side is read twice.
+    """
     keys = ns.pk
+    if simple(df, ns, right, right_ns, join) and all(c in ("eq", "set") for _, _, c, _ in join.on):
+        return _attach_by_key(df, ns, right, right_ns, join, name, order, fields)
     if not keys:
         raise QueryError("joined rows need a primary key on the left side")
     narrow, rhs, cond = prepare(df.select(*df.columns), ns, keys, right, right_ns, join)
@@ -123,5 +158,28 @@ def attach(df: DataFrame, ns, right: DataFrame, right_ns, join: Join, name: str,
     return out.withColumn(name, F.coalesce(F.col(f"`{name}`"), F.array().cast(T.ArrayType(kind.elementType))))
 
 
+def _attach_by_key(df: DataFrame, ns, right: DataFrame, right_ns, join: Join, name: str, order: list, fields: list[str]) -> DataFrame:
+    rs = [f"_r{i}" for i in range(len(join.on))]
+    parts = _parts(order or right_ns.key())
+    shown = right.select(
+        F.struct(*(F.col(f"`{f}`") for f in fields)).alias("_row"),
+        *(resolve(right, b, right_ns).col.alias(r) for r, (*_, b) in zip(rs, join.on, strict=True)),
+        *(o.alias(f"_o{i}") for i, (o, _) in enumerate(parts)),
+        *(k.alias(f"_t{i}") for i, k in enumerate(right_ns.key())),
+    ).where(" and ".join(f"{r} is not null" for r in rs))
+    place = W.partitionBy(*rs).orderBy(*(F.col(f"_o{i}").desc() if desc else F.col(f"_o{i}") for i, (_, desc) in enumerate(parts)), *(f"_t{i}" for i in range(len(right_ns.key()))))
+    ranked = shown.withColumn("_n", F.row_number().over(place))
+    if join.query.limit is not None:
+        ranked = ranked.where(F.col("_n") <= join.query.limit)
+    rows = ranked.groupBy(*rs).agg(F.array_sort(F.collect_list(F.struct("_n", "_row"))).alias("_rows")).select(*rs, F.transform("_rows", lambda r: r["_row"]).alias(name))
+    kind = rows.schema[name].dataType
+    on = None
+    for r, (_, a, _, _) in zip(rs, join.on, strict=True):
+        c = resolve(df, a, ns).col == F.col(r)
+        on = c if on is None else on & c
+    out = df.join(rows, on, "left").drop(*rs)
+    return out.withColumn(name, F.coalesce(F.col(f"`{name}`"), F.array().cast(T.ArrayType(kind.elementType))))
+
+
 def _parts(order: list) -> list[tuple[Column, bool]]:
     return [o if isinstance(o, tuple) else (o, False) for o in order]

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..spec import Knn, QueryError
+from ..storage import written
 
 ASCENDING = {"l2"}
 
@@ -93,13 +94,31 @@ def probed(index, vector: list[float], nprobe: int) -> list[int]:
     return np.argsort(((centers - np.array(vector)) ** 2).sum(1), kind="stable")[: max(1, nprobe)].tolist()
 
 
-def fuse_rrf(df: DataFrame, text: str, knn: str, knn_ascending: bool, const: float = 60.0) -> Column:
-    """1 / (const + position) summed over both ranks; equal ranks share a position; a missing one adds nothing.
+def positions(df: DataFrame, column: str, ascending: bool) -> DataFrame:
+    """``(_v, _p)``: each value of ``column`` with one more than the number of better rows.
 
-    Positions are over all ranked rows: few, as both sides are cut before.
+    Values are counted first (combined map-side), then summed up along their
+    order, range by range: no task holds more than a range of distinct values.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    better = F.col("_v").asc() if ascending else F.col("_v").desc()
+    ranged = written(counts.repartitionByRange(better).withColumn("_r", F.spark_partition_id()), "ranks")
+    sizes = ranged.groupBy("_r").agg(F.sum("_n").alias("_m"))
+    before = sizes.select(F.col("_r").alias("_s"), (F.sum("_m").over(W.orderBy("_r")) - F.col("_m")).alias("_b"))  # a row a range
+    within = F.sum("_n").over(W.partitionBy("_r").orderBy(better)) - F.col("_n")
+    return ranged.withColumn("_w", within).join(F.broadcast(before), F.col("_r") == F.col("_s")).select("_v", (F.col("_w") + F.col("_b") + 1).alias("_p"))
+
+
+def fuse_rrf(df: DataFrame, text: str, knn: str, knn_ascending: bool, const: float = 60.0) -> DataFrame:
+    """``df`` with ``_rrf``: 1 / (const + position) summed over both ranks.
+
+    Equal ranks share a position; a missing one adds nothing.
     """
     if const < 1:
         raise QueryError("rank_const is 1 at least")
-    pos = lambda c, asc: F.rank().over(W.orderBy(F.col(c).asc_nulls_last() if asc else F.col(c).desc_nulls_last()))
-    part = lambda c, asc: F.when(F.col(c).isNotNull(), 1.0 / (const + pos(c, asc))).otherwise(0.0)
-    return part(text, False) + part(knn, knn_ascending)
+    total = F.lit(0.0)
+    for i, (column, ascending) in enumerate(((text, False), (knn, knn_ascending))):
+        places = positions(df, column, ascending).select(F.col("_v").alias(f"_v{i}"), F.col("_p").alias(f"_p{i}"))
+        df = df.join(places, F.col(column) == F.col(f"_v{i}"), "left").drop(f"_v{i}")
+        total = total + F.coalesce(1.0 / (const + F.col(f"_p{i}")), F.lit(0.0))
+    return df.withColumn("_rrf", total).drop("_p0", "_p1")

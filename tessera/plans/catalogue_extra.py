@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -12,13 +9,13 @@ from ..catalog import Database, Index
 from ..operators import aggregates, modify, vector
 from ..sources import files
 from ..spec import Aggregate
+from ..storage import fresh_path
 from .catalogue import _DIST, KEYS, array_orders, arrays, database, query, sql, vectors
 
 
 def scratch(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(folder or 'file://' + tempfile.mkdtemp(prefix='tessera-out-')).rstrip('/')}/{uuid.uuid4().hex}"
+    return fresh_path(spark, "out")
 
 
 # sources and sinks
@@ -176,16 +173,6 @@ def merge_ranked(spark, sf_dir):
     return db.query("embeddings").knn("embedding", q, k=6).merge(db.query("odd").knn("embedding", q, k=6)).exec().df.select("_ns", "vec_id")
 
 
-@query("hybrid_linear")
-def hybrid_linear(spark, sf_dir):
-    db = database(spark, sf_dir)
-    n = db.get("embeddings").df.count()
-    both = db.get("documents").df.withColumn("vec_id", F.col("doc_id") % n).join(db.get("embeddings").df, "vec_id")
-    db.open("both", both, [Index("doc_id", pk=True), Index("text", "text", config={"fields": ["text"]}), Index("embedding", "vec_bf", metric="cosine")])
-    q = [float(v) for v in db.get("embeddings").df.where("vec_id = 7").head().embedding]
-    return db.query("both").match("text", "thing").or_().knn("embedding", q, k=30).sort("2 * rank(text, 1) + 50 * rank(embedding, 0) + 1", True).select("doc_id").limit(25).exec().df
-
-
 # full text: which documents match
 
 _WORDS = r"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '([\p{L}\p{N}]+(?:[-+/''][\p{L}\p{N}]+)*)', 1) AS w FROM documents) SELECT doc_id FROM w WHERE "

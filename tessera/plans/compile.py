@@ -119,8 +119,11 @@ class Plan:
                 index = self.ns.index(e.item.left)
                 fields = index.config.get("fields") or index.fields
                 text = " ".join(e.item.value) if isinstance(e.item.value, list) else e.item.value
-                found = fulltext.search(self.ns.df, self.ns.pk, fields, text, index.config.get("config"))
-                self.texts.append((index.name, fields, text, index.config.get("config")))
+                config = index.config.get("config") or fulltext.Config()
+                why = any(f.endswith("debug_rank()") or ".debug_rank" in f for f in q.functions)
+                built = self.ns.text_index(fields)
+                found = fulltext.ask(built, text, config, self.preselected(e) if config.preselect else None, why)
+                self.texts.append((index.name, fields, text, config, built))
                 self.ranks[index.name] = F.col("_ft")
                 flags[id(e)] = "_ft"
             self.df = self.df.join(found, joins._same(self.ns.pk), "left").drop(*(f"_k{i}" for i in range(len(self.ns.pk))))
@@ -137,9 +140,14 @@ class Plan:
             nxt = entries[i + 1].op if i + 1 < len(entries) else "and"
             if isinstance(e.item, Join) and e.op in ("and", "not") and nxt != "or":
                 right, rns = self.right(e.item)
-                self.df = joins.matching(self.df, self.ns, right, rns, e.item, e.op == "and")
+                shown = len(self.attached)
                 if e.op == "and":
                     self.note(e.item, right, rns, seen)
+                if len(self.attached) > shown and q.kind == "select" and q.limit is None and not q.merge and self.ns.pk:
+                    self.df = self.attach(self.df)  # one join both tests and shows
+                    self.df = self.df.where(F.size(f"`{self.attached[-1][0]}`") > 0)
+                else:
+                    self.df = joins.matching(self.df, self.ns, right, rns, e.item, e.op == "and")
             else:
                 kept.append(e)
 
@@ -175,9 +183,19 @@ class Plan:
         if kept or q.equal_positions:
             self.df = self.df.where(compile_entries(self.df, kept, q.equal_positions, self.ns, q.strict, special, bare=True))
         if "rrf" in self.ranks:  # positions are among the rows that passed
-            self.df = self.df.withColumn("_rrf", vector.fuse_rrf(self.df, "_ft", "_knn", *self.fusion))
+            self.df = vector.fuse_rrf(self.df, "_ft", "_knn", *self.fusion)
         return self.df
 
+    def preselected(self, text: Entry) -> DataFrame | None:
+        """Keys of the rows that pass the plain conditions beside a text condition, if these are all that is left."""
+        others = [e for e in self.q.where if e is not text]
+        if not any(e is text for e in self.q.where) or text.op != "and" or not others or self.q.equal_positions:
+            return None
+        if any(e.op == "or" or not isinstance(e.item, Filter) or isinstance(e.item.left, Query) or isinstance(e.item.value, Query) for e in others):
+            return None
+        rows = self.ns.df.where(compile_entries(self.ns.df, others, [], self.ns, self.q.strict, lambda e: None, bare=True))
+        return rows.select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(self.ns.pk)))
+
     def rank_knn(self, k: Knn) -> None:
         index = self.ns.index(k.field)
         self.metric = index.metric if index else "l2"
@@ -295,26 +313,21 @@ class Plan:
             self.note(j, right, rns, {k: 1 for k in self.names})
         df = self.limited()
         out = Result(df, counted=self.counted, db=self.db, query=q)
-        for a in q.aggregates:
-            if a.kind == "facet":
-                out.aggregations.append(aggregates.facet(df, a, self.ns))
-            elif a.kind == "distinct":
-                out.aggregations.append(aggregates.distinct(df, a, self.ns))
-            elif a.kind in ("count", "count_cached"):
-                out.aggregations.append(self.counted.agg(F.count("*").alias("value")))
-            else:
-                out.aggregations.append(aggregates.scalar(df, a, self.ns))
+        out.aggregations = aggregates.all_of(df, q.aggregates, self.ns, self.counted)
         df = self.attach(df)
         for text in q.functions:
-            if "debug_rank" in text:
-                continue
-            name = text.split(".")[0]
-            found = next(((n, fs, t, c) for n, fs, t, c in self.texts if n == name or name in fs), None)
+            name, function = text.split(".", 1)
+            found = next((x for x in self.texts if x[0] == name or name in x[1]), None)
             if not found:
                 raise QueryError(f"{name} isn't searched")
+            if function.startswith("debug_rank"):
+                if function.replace(" ", "") not in ("debug_rank", "debug_rank()"):
+                    raise QueryError("debug_rank takes no arguments")
+                df = df.withColumn(found[1][0], F.col("_why"))
+                continue
             for f in found[1]:
                 if f in df.columns:
-                    df = fulltext.show(df, f, found[2], text.split(".", 1)[1], found[3])
+                    df = fulltext.show(df, f, found[2], function, found[3], found[4])
         out.df = self.project(df)
         return out
 
@@ -349,37 +362,48 @@ def _nested(path: str, col) -> Any:
 
 
 def merged(db, q: Query) -> Result:
-    """A ranked union of queries over several namespaces."""
-    plans = [Plan(db, m) for m in [q.copy(merge=[], limit=None, offset=0, aggregates=[]), *q.merge]]
-    frames, kinds = [], set()
-    for p in plans:
+    """A ranked union of queries over several namespaces: by rank, then id, then place of the member."""
+    members = [q.copy(merge=[], limit=None, offset=0, aggregates=[], total=""), *q.merge]
+    plans, frames, kinds = [Plan(db, m) for m in members], [], set()
+    for i, p in enumerate(plans):
         for j in p.q.joins:
             right, rns = p.right(j)
             p.note(j, right, rns, {})
         df = p.filtered()
-        if "rrf" in p.ranks:
-            raise QueryError("hybrid queries can't be merged")
-        rank = p.ranks.get("rank")
-        kinds.add("none" if rank is None else p.metric or "text")
+        fused = "rrf" in p.ranks
+        if fused and p.q.sort:
+            sort = p.q.sort[0]
+            rank, kind = sorting.key(df, sort, p.ns, p.ranks, p.names, p.q.strict), f"hybrid {'desc' if sort.desc else 'asc'}"
+        else:
+            rank = p.ranks["rrf"](60.0) if fused else p.ranks.get("rank")
+            kind = "hybrid desc" if fused else "none" if rank is None else p.metric or "text"
+        if p.q.sort and not fused:
+            raise QueryError("MERGE can't be sorted but by the rank of hybrid queries")
+        kinds.add(kind)
         df = p.attach(df)
         cols = [F.col(f"`{c}`") for c in p.base if not p._vector(p.ns, c)] + [F.col(f"`{n}`") for n, *_ in p.attached]
-        frames.append(df.select(F.lit(p.ns.name).alias("_ns"), (rank if rank is not None else F.lit(None)).cast("double").alias("_rank"), F.struct(*p.ns.key()).cast("string").alias("_id"), *cols))
+        keys = F.struct(*(x for k in p.ns.key() for x in (k.cast("string").try_cast("double"), k.cast("string"))))
+        place = F.struct(keys[keys_name(0)].alias("n"), F.to_json(keys).alias("s"), F.lit(i).alias("m"))
+        frames.append(df.select(F.lit(p.ns.name).alias("_ns"), (rank if rank is not None else F.lit(None)).cast("double").alias("_rank"), place.alias("_id"), *cols))
     if len(kinds) > 1:
-        raise QueryError("merged queries need one kind of rank")
+        raise QueryError("merged queries need one kind of rank, in one order")
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     counted = out
     result = Result(out, counted=counted, db=db, query=q)
-    for a in q.aggregates:
-        ns = db.get(q.namespace)
-        result.aggregations.append({"facet": aggregates.facet, "distinct": aggregates.distinct}.get(a.kind, aggregates.scalar)(out, a, ns))
-    best = F.col("_rank").asc() if kinds & vector.ASCENDING else F.col("_rank").desc()
+    result.aggregations = aggregates.all_of(out, q.aggregates, db.get(q.namespace), counted)
+    up = kinds & {*vector.ASCENDING, "hybrid asc"}
     if q.limit is not None or q.offset or "none" not in kinds:
-        out = out.orderBy(best, "_ns", "_id")
+        out = out.orderBy(F.col("_rank").asc() if up else F.col("_rank").desc(), F.col("_id.n").asc_nulls_last(), "_id.s", "_id.m")
     if q.offset:
         out = out.offset(q.offset)
     if q.limit is not None:
         out = out.limit(q.limit)
     result.df = out.drop("_id") if q.with_rank else out.drop("_id", "_rank")
     return result
+
+
+def keys_name(i: int) -> str:
+    """The name of an unnamed struct field."""
+    return f"col{i + 1}"

@@ -172,13 +172,11 @@ def validate(q: Query, nested: str = "") -> Query:
     if nested == "subquery" and (len(q.aggregates) + len([s for s in q.select if s != "*"]) + bool(q.total)) > 1:
         raise QueryError("a subquery has one of: an aggregation, a field, a total")
     if q.merge:
-        if q.sort:
-            raise QueryError("MERGE can't be sorted")
         if (q.limit is not None or q.offset) and q.aggregates:
             raise QueryError("MERGE with a limit can't aggregate")
         for m in q.merge:
-            if m.sort or m.limit is not None or m.offset or m.aggregates or m.merge:
-                raise QueryError("merged queries can't hold sort, limit, aggregations or MERGE")
+            if m.limit is not None or m.offset or m.aggregates or m.total or m.merge:
+                raise QueryError("merged queries can't hold limit, aggregations or MERGE")
             validate(m)
     if q.kind in ("update", "delete") and any(j.kind == "left" for j in joins):
         raise QueryError("UPDATE and DELETE take inner joins only")
