@@ -126,6 +126,22 @@ class Builder:
         self.q.strict = mode
         return self
 
+    def local(self) -> Builder:
+        self.q.local = True
+        return self
+
+    def debug(self, level: int = 1) -> Builder:
+        self.q.debug = level
+        return self
+
+    def fetch_count(self, n: int) -> Builder:
+        self.q.fetch_count = n
+        return self
+
+    def dwithin_query(self, name: str, points: Builder, distance: float) -> Builder:
+        """Within a distance of any point that a query selects."""
+        return self._add(Filter(name, "dwithin", (points.q, distance)))
+
     def aggregate(self, kind: str, *fields: str, sort: list[tuple[str, bool]] = (), limit: int | None = None, offset: int = 0) -> Builder:
         self.q.aggregates.append(Aggregate(kind, list(fields), [Sort(*s) for s in sort], limit, offset))
         return self

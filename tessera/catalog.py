@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .spec import QueryError
+from .storage import written
 
 KINDS = {"hash", "tree", "-", "text", "rtree", "ttl", "hnsw", "vec_bf", "ivf"}
 
@@ -52,7 +53,17 @@ class Namespace:
     meta: dict[str, str] = field(default_factory=dict)
     schema: dict | None = None
     version: int = 0
+    lsn: int = 0  # of the last logged write
     texts: dict[tuple[str, ...], object] = field(default_factory=dict)  # text indexes of this snapshot by fields
+    base: DataFrame | None = None  # ``df`` without the changes since
+    delta: DataFrame | None = None  # a row a changed key, ``_gone`` if it is deleted
+
+    def state(self) -> dict:
+        return {n: dict(v) if isinstance(v := getattr(self, n), dict) else v for n in ("df", "base", "delta", "version", "lsn", "meta", "texts")}
+
+    def restore(self, state: dict) -> None:
+        for n, v in state.items():
+            setattr(self, n, v)
 
     def text_index(self, fields: list[str]):
         """The inverted index over ``fields``, built when first asked for."""
@@ -80,6 +91,18 @@ class Namespace:
         return [F.col(f"`{n}`") if n in self.df.columns else F.col(n) for n in names]
 
 
+def _same_keys(keys: list[str]) -> Column:
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}"))
+    return on
+
+
+def _in_order(base: DataFrame, delta: DataFrame) -> list[Column]:
+    """The table's columns, then those that changes have added."""
+    return [F.col(f"`{c}`") for c in [*base.columns, *(c for c in delta.columns if c not in base.columns and c != "_gone")]]
+
+
 class Database:
     """Namespaces by name; SQL, JSON and builder queries run against it."""
 
@@ -89,6 +112,8 @@ class Database:
         self.counts: dict[tuple, int] = {}
         self.embedders: dict[str, object] = {}
         self.log = None  # a change log, see tessera.streaming
+        self.held: list | None = None  # events of a transaction that isn't committed
+        self.runs: dict[str, list[float]] = {}  # seconds by statement
 
     def open(self, name: str, df: DataFrame, indexes: list[Index] | None = None) -> Namespace:
         """Declare a namespace over ``df``; regular scalar fields take their defaults for missing values."""
@@ -124,15 +149,36 @@ class Database:
             raise QueryError(f"no namespace {name!r}")
         return self.namespaces[name]
 
+    SYSTEM = ("#namespaces", "#memstats", "#config", "#perfstats", "#queriesperfstats", "#activitystats", "#clientsstats", "#replicationstats", "#clusterconfig")
+
     def system(self, name: str) -> Namespace:
-        """``#namespaces``, ``#config`` and ``#memstats`` as small tables."""
+        """Small tables about the database: what is declared, how large it is, what ran."""
+        make = lambda rows, ddl: self.spark.createDataFrame(rows, ddl)
+        context = self.spark.sparkContext
         if name == "#config":
-            rows = [(k, v) for k, v in sorted(self.spark.sparkContext.getConf().getAll()) if k.startswith("spark.sql")]
-            return Namespace(name, self.spark.createDataFrame(rows, "name string, value string"), {"name": Index("name", pk=True)})
-        if name in ("#namespaces", "#memstats"):
-            rows = [(n.name, len(n.indexes), json.dumps([i.__dict__ for i in n.indexes.values()], default=str), json.dumps(n.meta), n.version) for n in self.namespaces.values()]
-            return Namespace(name, self.spark.createDataFrame(rows, "name string, index_count int, indexes string, meta string, version long"), {"name": Index("name", pk=True)})
-        raise QueryError(f"no system namespace {name!r}")
+            df = make([(k, v) for k, v in sorted(context.getConf().getAll()) if k.startswith("spark.sql")], "name string, value string")
+        elif name == "#namespaces":
+            df = make([(n.name, len(n.indexes), json.dumps([i.__dict__ for i in n.indexes.values()], default=str), json.dumps(n.meta), n.version) for n in self.namespaces.values()], "name string, index_count int, indexes string, meta string, version long")
+        elif name == "#memstats":
+            size = lambda d: int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+            df = make([(n.name, size(n.df), 0 if n.delta is None else size(n.delta), sum(size(t.postings) + size(t.words) for t in n.texts.values())) for n in self.namespaces.values()], "name string, data_size long, changes_size long, text_indexes_size long")
+        elif name in ("#perfstats", "#queriesperfstats"):
+            runs: dict[str, list[float]] = {}
+            for text, seconds in self.runs.items():
+                runs.setdefault(text if name == "#queriesperfstats" else text.partition("\0")[0], []).extend(seconds)
+            rows = [(k.partition("\0")[2] if "\0" in k else k, len(v), sum(v) / len(v), max(v)) for k, v in runs.items()]
+            df = make(rows, "name string, total_queries_count long, avg_seconds double, max_seconds double")
+        elif name == "#activitystats":
+            df = make([(str(j), "") for j in context.statusTracker().getActiveJobsIds()], "name string, description string")
+        elif name == "#clientsstats":
+            df = make([(context.applicationId, context.sparkUser(), context.startTime)], "name string, user string, start_time long")
+        elif name == "#replicationstats":
+            df = make([(n.name, n.lsn, n.version) for n in self.namespaces.values()], "name string, last_lsn long, version long")
+        elif name == "#clusterconfig":
+            df = make([(k, v) for k, v in sorted(context.getConf().getAll()) if k.startswith(("spark.master", "spark.executor", "spark.cores"))], "name string, value string")
+        else:
+            raise QueryError(f"no system namespace {name!r}")
+        return Namespace(name, df, {"name": Index("name", pk=True)})
 
     def add_index(self, ns: str, index: Index) -> None:
         self.get(ns).indexes[index.name] = index
@@ -151,22 +197,83 @@ class Database:
         del self.namespaces[name]
 
     def truncate(self, name: str) -> None:
-        self.replace(name, self.get(name).df.limit(0))
+        ns = self.get(name)
+        gone = ns.df
+        self.replace(name, self.spark.createDataFrame([], ns.df.schema))
+        self.note(ns, "truncate", gone.limit(0))
 
     def replace(self, name: str, df: DataFrame) -> Namespace:
         """A new snapshot of a namespace."""
         ns = self.get(name)
-        ns.df, ns.version, ns.texts = df, ns.version + 1, {}
+        ns.df, ns.version, ns.texts, ns.base, ns.delta = df, ns.version + 1, {}, None, None
+        return ns
+
+    #: Changed keys that are kept beside the table, as a share of its rows; beyond it the table is written anew.
+    KEPT_APART = 0.2
+
+    def write(self, name: str, changed: DataFrame | None, gone: DataFrame | None, op: str) -> Namespace:
+        """Put ``changed`` rows, or drop those of the keys of ``gone``; both are tables of a row a key.
+
+        Changes lie in a table of their own beside the unchanged one, so a small
+        write costs its own size, and plans don't grow with the number of
+        writes. When they are many, both are written as one.
+        """
+        ns = self.get(name)
+        keys = [f"`{k}`" for k in ns.pk]
+        fresh = changed.withColumn("_gone", F.lit(False)) if changed is not None else gone.select(*keys, F.lit(True).alias("_gone"))
+        if ns.delta is not None:
+            fresh = fresh.unionByName(ns.delta.join(fresh.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))), _same_keys(ns.pk), "left_anti"), allowMissingColumns=True)
+        base = ns.base if ns.base is not None else ns.df
+        delta = written(fresh, "delta")
+        rest = base.join(delta.select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(ns.pk))), _same_keys(ns.pk), "left_anti")
+        df = rest.unionByName(delta.where("not _gone").drop("_gone"), allowMissingColumns=True).select(*_in_order(base, delta))
+        if delta.count() > self.KEPT_APART * max(base.count(), 1):
+            df, base, delta = written(df, "snapshot"), None, None
+        ns.df, ns.base, ns.delta, ns.version, ns.texts = df, base, delta, ns.version + 1, {}
+        self.note(ns, op, changed if changed is not None else gone)
         return ns
 
+    def note(self, ns: Namespace, op: str, items: DataFrame) -> None:
+        """Tell the change log; within a transaction only when it is committed."""
+        if self.log is None:
+            return
+        ns.lsn += 1
+        event = (ns.name, op, items, ns.lsn)
+        if self.held is not None:
+            self.held.append(event)
+        else:
+            self.tell([event])
+
+    def tell(self, events: list) -> None:
+        if self.log is not None and events:
+            self.log.append_all(events)
+
     def expire(self, name: str, now: int | None = None) -> None:
         """Drop the rows whose ttl fields are older than their index allows."""
         ns, now = self.get(name), int(time.time()) if now is None else now
-        df = ns.df
+        old = None
         for i in ns.indexes.values():
             if i.kind == "ttl":
-                df = df.where(~F.coalesce(F.col(i.name) < now - i.expire_after, F.lit(False)))
-        self.replace(name, df)
+                c = F.coalesce(F.col(i.name) < now - i.expire_after, F.lit(False))
+                old = c if old is None else old | c
+        if old is not None:
+            if not ns.pk:
+                raise QueryError(f"{name} needs a primary key")
+            self.write(name, None, written(ns.df.where(old), "gone"), "delete")
+
+    # meta values
+
+    def put_meta(self, ns: str, key: str, value: str) -> None:
+        self.get(ns).meta[key] = value
+
+    def get_meta(self, ns: str, key: str) -> str | None:
+        return self.get(ns).meta.get(key)
+
+    def enum_meta(self, ns: str) -> list[str]:
+        return sorted(self.get(ns).meta)
+
+    def delete_meta(self, ns: str, key: str) -> None:
+        self.get(ns).meta.pop(key, None)
 
     # queries
 
@@ -188,5 +295,14 @@ class Database:
     def run(self, q):
         from .operators import modify
         from .plans import compile as c
-
-        return c.run(self, q) if q.kind == "select" else modify.run(self, q)
+        from .sqltext import encode
+
+        start = time.perf_counter()
+        try:
+            return c.run(self, q) if q.kind == "select" else modify.run(self, q)
+        finally:  # planning, and what a statement runs on its own
+            seconds = self.runs.setdefault(f"{q.namespace}\0{encode(q)}", [])
+            seconds.append(time.perf_counter() - start)
+            del seconds[:-100]
+            while len(self.runs) > 1000:
+                del self.runs[next(iter(self.runs))]

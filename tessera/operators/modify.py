@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from math import isqrt
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +16,8 @@ from pyspark.sql.window import Window as W
 
 from ..functions import scalar
 from ..plans.compile import Plan, Result
-from ..spec import Bracket, Filter, Query, QueryError, walk
+from ..spec import Query, QueryError
+from ..storage import written
 from .joins import _same
 from .predicates import resolve
 
@@ -26,23 +29,65 @@ def _keyed(db, name: str):
     return ns
 
 
-def apply(db, name: str, items: DataFrame, mode: str) -> None:
-    """insert, update, upsert or delete items by key; inserts of present keys and updates of missing ones do nothing."""
+def reduced(items: DataFrame, keys: list[str], last: bool = True, order: str | None = None) -> DataFrame:
+    """A row a key: the last (or first) one by ``order``, or as the rows come."""
+    names = items.columns
+    at = F.col(f"`{order}`") if order else F.monotonically_increasing_id()
+    pick = (F.max_by if last else F.min_by)(F.struct(*(F.col(f"`{n}`") for n in names)), F.col("_at"))
+    return items.withColumn("_at", at).groupBy(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys))).agg(pick.alias("_row")).select("_row.*")
+
+
+def _keys(df: DataFrame, ns) -> DataFrame:
+    return df.select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(ns.pk)))
+
+
+def apply(db, name: str, items: DataFrame, mode: str, order: str | None = None) -> None:
+    """insert, update, upsert or delete items by key; inserts of present keys and updates of missing ones do nothing.
+
+    Of several items with one key the last counts (``order`` says by which
+    column), of inserts the first.
+    """
+    if mode not in ("insert", "update", "upsert", "delete"):
+        raise QueryError(f"unknown mode {mode!r}")
     ns = _keyed(db, name)
-    keys = items.select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(ns.pk))).distinct()
-    old = ns.df
-    if mode == "insert":
-        fresh = items.join(old.select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(ns.pk))), _same(ns.pk), "left_anti")
-        out = old.unionByName(fresh, allowMissingColumns=True)
-    elif mode == "delete":
-        out = old.join(keys, _same(ns.pk), "left_anti")
-    else:
-        if mode == "update":
-            items = items.join(old.select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(ns.pk))), _same(ns.pk), "left_semi")
-        out = old.join(keys, _same(ns.pk), "left_anti").unionByName(items, allowMissingColumns=True)
-    db.replace(name, out)
-    if db.log is not None:
-        db.log.append(name, mode, items, ns.version)
+    if mode == "delete":
+        here = ns.df.join(_keys(items, ns).distinct(), _same(ns.pk), "left_semi")
+        return db.write(name, None, written(here, "gone"), mode)
+    rows = reduced(items, ns.pk, mode != "insert", order)
+    if mode in ("insert", "update"):
+        rows = rows.join(_keys(ns.df, ns), _same(ns.pk), "left_anti" if mode == "insert" else "left_semi")
+    db.write(name, written(embedded(db, ns, rows), "changed"), None, mode)
+
+
+def embedded(db, ns, items: DataFrame) -> DataFrame:
+    """``items`` with the vectors that an index makes of other fields.
+
+    ``config["embed"]`` names the ``fields`` and a ``strategy``: ``always``,
+    ``empty_only`` (missing vectors), or ``strict`` (given ones are an error).
+    """
+    for index in ns.indexes.values():
+        wanted, make = index.config.get("embed"), db.embedders.get(index.name)
+        if not wanted or make is None:
+            continue
+        strategy = wanted.get("strategy", "always")
+        text = F.concat_ws(" ", *(F.col(f"`{f}`").cast("string") for f in wanted["fields"]))
+        made = _vectors(make)(text)
+        if index.name in items.columns:
+            given = F.col(f"`{index.name}`").isNotNull() & (F.size(f"`{index.name}`") > 0)
+            if strategy == "empty_only":
+                made = F.when(given, F.col(f"`{index.name}`")).otherwise(made)
+            elif strategy == "strict":
+                made = F.when(given, F.raise_error(F.lit(f"{index.name} is made by an embedder")).cast("array<float>")).otherwise(made)
+        items = items.withColumn(index.name, made)
+    return items
+
+
+def _vectors(make: Callable[[str], list[float]]):
+    @F.pandas_udf("array<float>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [float(x) for x in make(t)])
+
+    return run
 
 
 def precepts(db, name: str, items: DataFrame, rules: dict[str, str]) -> DataFrame:
@@ -90,51 +135,53 @@ class Transaction:
         self.steps.clear()
 
     def commit(self) -> None:
+        """All steps, or none: on an error the namespace, its meta values and its log are as before."""
         ns = _keyed(self.db, self.name)
-        before, version = ns.df, ns.version
+        before, held = ns.state(), self.db.held
+        self.db.held = []
         try:
             for mode, what in self.steps:
                 run(self.db, what) if mode == "query" else apply(self.db, self.name, what, mode)
+            events = self.db.held
         except Exception:
-            ns.df, ns.version = before, version
+            ns.restore(before)
             raise
-        ns.version = version + 1
+        finally:
+            self.db.held = held
+        ns.version = before["version"] + 1
+        self.db.tell(events)
         self.steps.clear()
 
 
 def run(db, q: Query) -> Result:
-    ns = _keyed(db, q.namespace) if q.kind != "truncate" else db.get(q.namespace)
     if q.kind == "truncate":
-        touched = ns.df
+        touched = db.get(q.namespace).df
         db.truncate(q.namespace)
         return Result(touched, counted=touched, db=db, query=q)
+    ns = _keyed(db, q.namespace)
     plan = Plan(db, q)
-    rows = plan.limited().select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(ns.pk)))
+    rows = plan.limited().select(*(F.col(f"`{c}`") for c in plan.base))
     if q.kind == "delete":
-        gone = ns.df.join(rows, _same(ns.pk), "left_semi")
-        db.replace(q.namespace, ns.df.join(rows, _same(ns.pk), "left_anti"))
-        if db.log is not None:
-            db.log.append(q.namespace, "delete", gone, ns.version)
+        gone = written(rows, "gone")
+        db.write(q.namespace, None, gone, "delete")
         return Result(gone, counted=gone, db=db, query=q)
-    plain = all(isinstance(e.item, Bracket) or (isinstance(e.item, Filter) and not isinstance(e.item.left, Query) and not isinstance(e.item.value, Query)) for e in walk(q.where))
-    simple = plain and not (q.limit is not None or q.offset or plan.attached or plan.flags or plan.ranks)
-    if simple:  # one pass: the condition as a column
-        from .predicates import compile_entries
-
-        hit = compile_entries(ns.df, q.where, q.equal_positions, ns, q.strict, lambda e: None)
-        df = ns.df.withColumn("_hit", hit)
-    else:
-        df = ns.df.join(rows.withColumn("_hit", F.lit(True)), _same(ns.pk), "left").drop(*(f"_k{i}" for i in range(len(ns.pk)))).withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    df, serials = rows, {}
+    for name, how, value in q.changes:
+        if how == "expr" and re.search(r"\bserial\s*\(", str(value)) and name not in serials:
+            last = int(ns.meta.get(f"_SERIAL_{name}", 0))
+            df, total = numbered(df if not serials else written(df, "numbered"), ns.pk, f"_serial_{len(serials)}", last)
+            serials[name] = (f"_serial_{len(serials)}", last + total)
+    df = df.withColumn("_hit", F.lit(True))
     for name, how, value in q.changes:
-        df = change(df, ns, name, how, value)
-    touched = df.where("_hit").drop("_hit")
-    db.replace(q.namespace, df.drop("_hit"))
-    if db.log is not None:
-        db.log.append(q.namespace, "update", touched, ns.version)
+        df = change(df, ns, name, how, value, serials.get(name, (None,))[0])
+    touched = written(embedded(db, ns, df.drop("_hit", *(c for c, _ in serials.values()))), "changed")
+    for name, (_, last) in serials.items():
+        ns.meta[f"_SERIAL_{name}"] = str(last)
+    db.write(q.namespace, touched, None, "update")
     return Result(touched, counted=touched, db=db, query=q)
 
 
-def expression(df: DataFrame, ns, text: str) -> Column:
+def expression(df: DataFrame, ns, text: str, serial: str | None = None) -> Column:
     """The right side of SET: arithmetic in doubles, ``||`` and array functions on arrays."""
     arrays = bool(re.search(r"\|\||array_remove", text))
 
@@ -150,8 +197,7 @@ def expression(df: DataFrame, ns, text: str) -> Column:
         if fn == "now":
             return scalar.now(*[a for a in args if a])
         if fn == "serial":
-            last = int(ns.meta.get("_SERIAL_", 0))
-            return (F.row_number().over(W.partitionBy("_hit").orderBy(*ns.pk)) + last).cast("long")
+            return F.col(serial)
         if fn == "flat_array_len":
             f = resolve(df, args[0], ns, "none")
             return scalar.flat_array_len(f.col, f.kind)
@@ -176,7 +222,7 @@ def literal(value: Any, kind: T.DataType | None) -> Column:
     return F.lit(value).cast(kind) if kind is not None else F.lit(value)
 
 
-def change(df: DataFrame, ns, name: str, how: str, value: Any) -> DataFrame:
+def change(df: DataFrame, ns, name: str, how: str, value: Any, serial: str | None = None) -> DataFrame:
     """One SET or DROP on the rows marked ``_hit``; nested paths and array elements included."""
     steps = re.findall(r"[^.\[\]]+|\[(?:\d+|\*)\]", name)
     top, rest = steps[0], steps[1:]
@@ -189,7 +235,7 @@ def change(df: DataFrame, ns, name: str, how: str, value: Any) -> DataFrame:
     kind = df.schema[top].dataType if top in df.columns else None
 
     def new(k: T.DataType | None) -> Column:
-        return expression(df, ns, value) if how == "expr" else literal(value, k)
+        return expression(df, ns, value, serial) if how == "expr" else literal(value, k)
 
     def put(col: Column | None, k: T.DataType | None, path: list[str]) -> Column:
         if not path:

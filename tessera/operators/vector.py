@@ -58,6 +58,8 @@ def nearest(df: DataFrame, ns, knn: Knn, embedder=None) -> DataFrame:
     rows = df.where(F.col(knn.field).isNotNull())
     if index and index.kind == "ivf" and "cells" in index.config:
         rows = rows.where(F.col(index.config["column"]).isin(*probed(index, vector, int(knn.params.get("nprobe", 1)))))
+    if index and "sq8" in index.config and knn.k is not None and radius is None and not many:
+        rows = nearest_by_bytes(rows, index.config["sq8"], vector, metric, int(knn.k), ns.key())
     if many:
         scores = F.transform(knn.field, lambda v: score(v, vector, metric))
         rows = rows.withColumn("_knn", F.array_min(scores) if metric in ASCENDING else F.array_max(scores))
@@ -71,6 +73,45 @@ def nearest(df: DataFrame, ns, knn: Knn, embedder=None) -> DataFrame:
     return rows
 
 
+#: Candidates by quantised distance for each of the k rows that are ranked exactly.
+QUANTISED_PER_K = 8
+
+
+def quantise(df: DataFrame, field: str) -> tuple[DataFrame, dict]:
+    """``df`` with ``_sq8``, a byte a component on one scale for the table, and the scale.
+
+    A KNN condition on an index with the scale in ``config["sq8"]`` reads the
+    bytes for all rows, and whole vectors only of the nearest ones by bytes.
+    """
+    low, high = df.agg(F.min(F.array_min(field)), F.max(F.array_max(field))).head()
+    low, high = (float(low), float(high)) if low is not None else (0.0, 1.0)
+    step = max(high - low, 1e-12) / 255
+
+    @F.pandas_udf("binary")
+    def bytes_of(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda v: np.clip(np.rint((np.asarray(v, float) - low) / step), 0, 255).astype(np.uint8).tobytes(), na_action="ignore")
+
+    return df.withColumn("_sq8", bytes_of(field)), {"low": low, "step": step}
+
+
+def nearest_by_bytes(rows: DataFrame, scale: dict, vector: list[float], metric: str, k: int, key: list[Column]) -> DataFrame:
+    """The best ``QUANTISED_PER_K`` * k rows by their bytes."""
+    q = np.array(vector, float)
+
+    @F.pandas_udf("double")
+    def rough(data: pd.Series) -> pd.Series:
+        if not len(data):
+            return pd.Series([], dtype=float)
+        x = np.stack([np.frombuffer(d, np.uint8) for d in data]) * scale["step"] + scale["low"]
+        if metric == "l2":
+            return pd.Series(((x - q) ** 2).sum(1))
+        dots = x @ q
+        return pd.Series(dots if metric == "inner_product" else dots / np.sqrt((x * x).sum(1)))
+
+    best = F.col("_rough").asc() if metric in ASCENDING else F.col("_rough").desc()
+    return rows.where("_sq8 is not null").withColumn("_rough", rough("_sq8")).orderBy(best, *key).limit(QUANTISED_PER_K * k).drop("_rough")
+
+
 def train_cells(df: DataFrame, field: str, cells: int, sample_rows: int = 100_000, seed: int = 1) -> tuple[DataFrame, list[list[float]]]:
     """k-means centroids on a bounded sample, and ``df`` with the cell of every row (``_cell``)."""
     from pyspark.ml.clustering import KMeans

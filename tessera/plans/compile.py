@@ -6,15 +6,21 @@ total, sort, limit, joined rows, aggregations, projection.
 
 from __future__ import annotations
 
+import contextlib
+import io
+import logging
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import aggregates, fulltext, joins, sorting, vector
-from ..operators.predicates import Field, compile_entries, element_test, resolve, truth
+from ..functions import scalar
+from ..operators.predicates import Field, compile_entries, element_test, leaf, resolve, truth
 from ..spec import Bracket, Entry, Filter, Func, Join, Knn, Query, QueryError, validate, walk
 
 
@@ -39,20 +45,51 @@ class Result:
             return self.db.counts[key]
         return self.counted.count()
 
-    def explain(self) -> dict[str, str]:
-        import contextlib
-        import io
-
+    def batches(self) -> Iterator[list]:
+        """Rows by ``fetch_count``, a partition at a time."""
+        held: list = []
+        for row in self.df.toLocalIterator():
+            held.append(row)
+            if len(held) >= self.query.fetch_count:
+                yield held
+                held = []
+        if held:
+            yield held
+
+    def explain(self, matched: bool = False) -> dict[str, Any]:
+        """Spark's plan, the conditions in order, and with ``matched`` how many rows each passes (one more scan)."""
         with contextlib.redirect_stdout(said := io.StringIO()):
             self.df.explain("formatted")
-        return {"plan": said.getvalue()}
+        plain = [(e, e.item) for e in walk(self.query.where) if isinstance(e.item, Filter) and not isinstance(e.item.left, Query) and not isinstance(e.item.value, (Query, tuple))]
+        selectors = [{"op": e.op, "field": f.left if isinstance(f.left, str) else f.left.name, "cond": f.cond, "value": str(f.value)} for e, f in plain]
+        ns = self.db.get(self.query.namespace)
+        if matched and plain:
+            tests = [F.sum(F.when(truth(leaf(ns.df, f, ns, self.query.strict)), 1).otherwise(0)).alias(f"m{i}") for i, (_, f) in enumerate(plain)]
+            for told, n in zip(selectors, ns.df.agg(*tests).head(), strict=True):
+                told["matched"] = n or 0
+        return {"plan": said.getvalue(), "selectors": selectors, "sort": [s.expr for s in self.query.sort], "joins": [e.item.query.namespace for e in walk(self.query.where) if isinstance(e.item, Join)] + [j.query.namespace for j in self.query.joins]}
 
 
 def run(db, q: Query) -> Result:
     validate(q)
-    if q.merge:
-        return merged(db, q)
-    return Plan(db, q).result()
+    if any(isinstance(e.item, Filter) and e.item.left == "#lsn" for e in q.where):
+        return logged(db, q)
+    out = merged(db, q) if q.merge else Plan(db, q).result()
+    if q.debug > 0:
+        logging.getLogger("tessera").info("%s: %s", q.namespace, out.explain()["plan"])
+    return out
+
+
+def logged(db, q: Query) -> Result:
+    """``#lsn > n``: the namespace's changes behind a place in its log."""
+    if len(q.where) != 1 or q.where[0].item.cond not in ("gt", "any") or q.aggregates or q.joins or q.merge:
+        raise QueryError("#lsn takes one condition, > or NOT NULL, and nothing else")
+    if db.log is None:
+        raise QueryError("the database keeps no log")
+    item = q.where[0].item
+    rows = db.log.since(q.namespace, 0 if item.cond == "any" else int(item.value))
+    out = rows.orderBy("lsn").limit(q.limit) if q.limit is not None else rows
+    return Result(out, counted=rows, db=db, query=q)
 
 
 def _joined_name(q: Query, ns: str, seen: dict[str, int]) -> str:
@@ -163,6 +200,8 @@ class Plan:
                     flags[id(e)] = name
                     if e.op != "not":
                         self.note(e.item, right, rns, seen)
+                elif isinstance(e.item, Filter) and e.item.cond == "dwithin" and isinstance(e.item.value[0], Query):
+                    flags[id(e)] = self.near_points(e.item)
                 elif isinstance(e.item, Filter) and isinstance(e.item.value, Query) and not isinstance(e.item.left, Query):
                     flags[id(e)] = self.subquery_value(e.item)
                 elif isinstance(e.item, Filter) and isinstance(e.item.left, Query):
@@ -238,12 +277,14 @@ class Plan:
             value = rows.agg(pick("v")).head()[0] if pick else rows.head()[0]
             if value is None:
                 return F.lit(False)
-            from ..operators.predicates import leaf
-
             return leaf(self.df, Filter(f.left, "eq" if f.cond == "set" else f.cond, value), self.ns, self.q.strict)
         if isinstance(f.left, Func):
-            raise QueryError("a function compares with a single value")
-        field = resolve(self.df, f.left, self.ns, self.q.strict)
+            if f.left.name != "flat_array_len":
+                raise QueryError(f"{f.left.name} compares with a single value")
+            inner = resolve(self.df, f.left.args[0], self.ns, "none")
+            field = Field(scalar.flat_array_len(inner.col, inner.kind).cast("long"), T.LongType())
+        else:
+            field = resolve(self.df, f.left, self.ns, self.q.strict)
         name = f"_j{len(self.flags)}"
         self.flags.append(name)
         found = rows.distinct().select(F.col("v").alias("_v"), F.lit(True).alias(name))
@@ -257,6 +298,36 @@ class Plan:
             self.df = self.df.join(found, field.col == F.col("_v"), "left").drop("_v").withColumn(name, truth(F.col(name)))
         return F.col(name)
 
+    def near_points(self, f: Filter) -> Any:
+        """Within a distance of any point of a subquery: points meet in cells as wide as the distance, then by distance."""
+        sub, distance = f.value[0], float(f.value[1])
+        plan = Plan(self.db, validate(sub, "subquery"))
+        rows = plan.limited()
+        names = [s for s in sub.select if s != "*"]
+        if len(names) != 1:
+            raise QueryError("a subquery of points selects one field")
+        if distance < 0:
+            return F.lit(False)
+        if not self.ns.pk:
+            raise QueryError("a condition on a query's points needs a primary key")
+        g = resolve(rows, names[0], plan.ns)
+        px, py = scalar.point(g.col, g.kind)
+        wide = distance or 1.0
+        spots = rows.select(px.alias("_px"), py.alias("_py")).where("_px is not null and _py is not null").distinct()
+        around = F.explode(F.array(*(F.struct((F.floor(F.col("_px") / wide) + i).alias("i"), (F.floor(F.col("_py") / wide) + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+        spots = spots.withColumn("_c", around).select("_px", "_py", F.col("_c.i").alias("_i"), F.col("_c.j").alias("_j"))
+        field = resolve(self.df, f.left, self.ns, self.q.strict)
+        x, y = scalar.point(field.col, field.kind)
+        keys = [f"_k{i}" for i in range(len(self.ns.pk))]
+        own = self.df.select(*(F.col(f"`{k}`").alias(a) for k, a in zip(self.ns.pk, keys, strict=True)), x.alias("_x"), y.alias("_y")).where("_x is not null and _y is not null")
+        own = own.withColumn("_i", F.floor(F.col("_x") / wide)).withColumn("_j", F.floor(F.col("_y") / wide))
+        close = own.join(spots, ["_i", "_j"]).where((F.col("_x") - F.col("_px")) ** 2 + (F.col("_y") - F.col("_py")) ** 2 <= distance * distance)
+        name = f"_j{len(self.flags)}"
+        self.flags.append(name)
+        found = close.select(*keys).distinct().withColumn(name, F.lit(True))
+        self.df = self.df.join(found, joins._same(self.ns.pk), "left").drop(*keys).withColumn(name, truth(F.col(name)))
+        return F.col(name)
+
     # after where
 
     def ordered(self, df: DataFrame) -> list:
@@ -342,6 +413,7 @@ class Plan:
                 else:
                     f = resolve(df, n, self.ns, "none")
                     cols.append(_nested(n, f.col if f.kind else F.lit(None).cast("string")))
+            cols += [F.col(f"`{c}`") for c in self.base if q.vectors and c not in names and self._vector(self.ns, c)]
         else:
             cols += [F.col(f"`{c}`") for c in self.base if q.vectors or c in names or not self._vector(self.ns, c)]
         cols += [F.col(f"`{n}`") for n, *_ in self.attached if n in df.columns]

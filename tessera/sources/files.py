@@ -53,3 +53,13 @@ def write_sharded(df: DataFrame, key: str, path: str) -> None:
 def write_clustered(df: DataFrame, keys: list[str], path: str) -> None:
     """Ranges of ``keys`` a file, sorted: min/max statistics then serve range conditions."""
     df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+
+
+def table_view(df: DataFrame, rows: int = 20, width: int = 40) -> str:
+    """The first ``rows`` as a text table; nested values as JSON, long ones cut."""
+    nested = (T.StructType, T.ArrayType, T.MapType)
+    shown = df.limit(rows).select(*((F.to_json(f"`{f.name}`") if isinstance(f.dataType, nested) else F.col(f"`{f.name}`").cast("string")).alias(f.name) for f in df.schema)).collect()
+    cells = [df.columns, *([("" if v is None else v if len(v) <= width else v[: width - 3] + "...") for v in r] for r in shown)]
+    sizes = [max(len(r[i]) for r in cells) for i in range(len(df.columns))]
+    lines = [" | ".join(v.ljust(n) for v, n in zip(r, sizes, strict=True)).rstrip() for r in cells]
+    return "\n".join([lines[0], "-+-".join("-" * n for n in sizes), *lines[1:]])

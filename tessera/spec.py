@@ -102,6 +102,9 @@ class Query:
     vectors: bool = False
     explain: bool = False
     strict: str = "names"
+    local: bool = False  # this node alone; of no effect on one cluster
+    debug: int = 0  # log the plan from level 1 on
+    fetch_count: int = 1000  # rows a batch of ``Result.batches``
     kind: str = "select"  # select update delete truncate
     changes: list[tuple[str, str, Any]] = field(default_factory=list)  # (field, set | drop | expr, value)
 

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from tessera.catalog import Database, Index
-from tessera.plans import catalogue, catalogue_extra  # noqa: F401
+from tessera.plans import catalogue, catalogue_extra, catalogue_more  # noqa: F401
 from tessera.plans.catalogue import database
 from tessera.spec import QueryError
 
