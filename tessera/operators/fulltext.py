@@ -731,7 +731,7 @@ def fold_rows(q: Parsed, n_terms: int, parts: list[tuple[int, int]], of_groups:
                 term(k)
         if not matched and (not whole or any(op == "must" for op, _ in steps)):
             return None, None
-        if met == sum(op != "not" for op, _ in steps) and length == sum(t.op != "not" for t in q.terms):
+        if met == len(steps) and length == len(q.terms):  # a query with excluded words has no full match
             rank *= c.full_match_boost
             why.append(f"full match: {c.full_match_boost}")
         return rank, ", ".join(why)
