@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .spec import QueryError
-from .storage import written
+from .storage import opened, path_of, written
 
 KINDS = {"hash", "tree", "-", "text", "rtree", "ttl", "hnsw", "vec_bf", "ivf"}
 
@@ -65,14 +65,15 @@ class Namespace:
         for n, v in state.items():
             setattr(self, n, v)
 
-    def text_index(self, fields: list[str]):
+    def text_index(self, fields: list[str], config=None):
         """The inverted index over ``fields``, built when first asked for."""
         from .operators import fulltext
 
         if not self.pk:
             raise QueryError(f"{self.name} needs a primary key to be searched")
-        if (at := tuple(fields)) not in self.texts:
-            self.texts[at] = fulltext.build(self.df, self.pk, fields)
+        config = config or fulltext.Config()
+        if (at := (*fields, *config.splitting())) not in self.texts:
+            self.texts[at] = fulltext.build(self.df, self.pk, fields, config)
         return self.texts[at]
 
     @property
@@ -98,6 +99,13 @@ def _same_keys(keys: list[str]) -> Column:
     return on
 
 
+def _merged(ns: Namespace) -> DataFrame:
+    """The unchanged rows of the base, and the changed ones."""
+    gone = ns.delta.select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(ns.pk)))
+    rest = ns.base.join(gone, _same_keys(ns.pk), "left_anti")
+    return rest.unionByName(ns.delta.where("not _gone").drop("_gone"), allowMissingColumns=True).select(*_in_order(ns.base, ns.delta))
+
+
 def _in_order(base: DataFrame, delta: DataFrame) -> list[Column]:
     """The table's columns, then those that changes have added."""
     return [F.col(f"`{c}`") for c in [*base.columns, *(c for c in delta.columns if c not in base.columns and c != "_gone")]]
@@ -114,6 +122,7 @@ class Database:
         self.log = None  # a change log, see tessera.streaming
         self.held: list | None = None  # events of a transaction that isn't committed
         self.runs: dict[str, list[float]] = {}  # seconds by statement
+        self.folder: str | None = None  # where namespaces are kept, see ``attach``
 
     def open(self, name: str, df: DataFrame, indexes: list[Index] | None = None) -> Namespace:
         """Declare a namespace over ``df``; regular scalar fields take their defaults for missing values."""
@@ -206,8 +215,47 @@ class Database:
         """A new snapshot of a namespace."""
         ns = self.get(name)
         ns.df, ns.version, ns.texts, ns.base, ns.delta = df, ns.version + 1, {}, None, None
+        self.save(ns)
         return ns
 
+    def attach(self, folder: str) -> None:
+        """Keep all namespaces in ``folder`` from now on: what is written is there when the session is gone."""
+        self.folder = folder.rstrip("/")
+        for ns in self.namespaces.values():
+            self.save(ns)
+
+    def save(self, ns: Namespace) -> None:
+        """Tables that aren't in the folder yet, and a new manifest that names them."""
+        if self.folder is None or self.held is not None:
+            return
+        root = f"{self.folder}/{ns.name}"
+        kept = lambda d: d if (path_of(d) or "").startswith(root) else written(d, "data", root)
+        if ns.delta is None:
+            ns.df = kept(ns.df)
+            tables = {"base": path_of(ns.df), "delta": None}
+        else:
+            ns.base, ns.delta = kept(ns.base), kept(ns.delta)
+            ns.df = _merged(ns)
+            tables = {"base": path_of(ns.base), "delta": path_of(ns.delta)}
+        told = tables | {"name": ns.name, "indexes": [i.__dict__ for i in ns.indexes.values()], "meta": ns.meta, "schema": ns.schema, "version": ns.version, "lsn": ns.lsn}
+        text = json.dumps(told, default=lambda v: None)
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/manifest/v={ns.version}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str, names: list[str]) -> Database:
+        """The namespaces that a database attached to ``folder`` has left there, as of their last whole manifest."""
+        db = cls(spark)
+        db.folder = folder.rstrip("/")
+        for name in names:
+            last = spark.read.text(f"{db.folder}/{name}/manifest").orderBy(F.col("v").desc()).head()
+            told = json.loads(last["value"])
+            ns = Namespace(name, opened(spark, told["base"]), {i["name"]: Index(**i) for i in told["indexes"]}, told["meta"], told["schema"], told["version"], told["lsn"])
+            if told["delta"]:
+                ns.base, ns.delta = ns.df, opened(spark, told["delta"])
+                ns.df = _merged(ns)
+            db.namespaces[name] = ns
+        return db
+
     #: Changed keys that are kept beside the table, as a share of its rows; beyond it the table is written anew.
     KEPT_APART = 0.2
 
@@ -224,12 +272,12 @@ class Database:
         if ns.delta is not None:
             fresh = fresh.unionByName(ns.delta.join(fresh.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))), _same_keys(ns.pk), "left_anti"), allowMissingColumns=True)
         base = ns.base if ns.base is not None else ns.df
-        delta = written(fresh, "delta")
-        rest = base.join(delta.select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(ns.pk))), _same_keys(ns.pk), "left_anti")
-        df = rest.unionByName(delta.where("not _gone").drop("_gone"), allowMissingColumns=True).select(*_in_order(base, delta))
-        if delta.count() > self.KEPT_APART * max(base.count(), 1):
-            df, base, delta = written(df, "snapshot"), None, None
-        ns.df, ns.base, ns.delta, ns.version, ns.texts = df, base, delta, ns.version + 1, {}
+        ns.base, ns.delta = base, written(fresh, "delta")
+        ns.df = _merged(ns)
+        if ns.delta.count() > self.KEPT_APART * max(base.count(), 1):
+            ns.df, ns.base, ns.delta = written(ns.df, "snapshot"), None, None
+        ns.version, ns.texts = ns.version + 1, {}
+        self.save(ns)
         self.note(ns, op, changed if changed is not None else gone)
         return ns
 

@@ -14,7 +14,9 @@ the index, so phrases of them can be found; an index is rebuilt as a whole when
 
 from __future__ import annotations
 
+import math
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -79,6 +81,14 @@ class Config:
     split: bool = True
     numbers: bool = False
     preselect: bool = False
+    splitter: str = "fast"  # or mmseg_cn, with a dictionary of words and how often they are used
+    dictionary: dict[str, int] = field(default_factory=dict)
+    diacritics: bool = True  # kept; else a letter and its marks are the letter
+    extra_symbols: str = "-+/'"  # of words, between letters
+
+    def splitting(self) -> tuple:
+        """What an index's words hang on."""
+        return (self.splitter, self.diacritics, self.extra_symbols, len(self.dictionary))
 
 
 @dataclass
@@ -140,7 +150,7 @@ def parse(text: str, config: Config | None = None) -> Parsed:
             end = text.find(c, at + 1)
             if end < 0:
                 raise QueryError("a quote isn't closed")
-            words, at = [w.lower() for w in WORD.findall(text[at + 1 : end])], end + 1
+            words, at = words_in(text[at + 1 : end], config), end + 1
             m = re.match(r"~(\d+)", text[at:])
             gap = int(m[1]) if m else 1
             at += m.end() if m else 0
@@ -152,7 +162,7 @@ def parse(text: str, config: Config | None = None) -> Parsed:
             at += 1
             continue
         at += m.end()
-        words = WORD.findall(re.sub(r"\\(.)", r"\1", m[3]).lower())
+        words = words_in(re.sub(r"\\(.)", r"\1", m[3]), config)
         marks = m[4] + m[6]
         for w in words:
             if w not in config.stop_words or op != "or" or marks or m[2]:  # as it stands, not asked for by name or as a part
@@ -466,8 +476,57 @@ def bm25(tf: Column, length: Column, average: Column, total: Column, matched: Co
     return idf * f * (c.k1 + 1) / (f + c.k1 * (1 - c.b + c.b * length / average))
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+(?:[-+/'][\p{L}\p{N}]+)*)"), 1)
+def tokens(text: Column, config: Config | None = None) -> Column:
+    """The words of a text in lower case."""
+    c = config or Config()
+    if c.splitter == "fast" and c.diacritics and c.extra_symbols == "-+/'":
+        return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+(?:[-+/'][\p{L}\p{N}]+)*)"), 1)
+
+    @F.pandas_udf("array<string>")
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: words_in(t, c), na_action="ignore")
+
+    return split(text)
+
+
+def words_in(text: str, c: Config) -> list[str]:
+    text = text.lower()
+    if not c.diacritics:
+        text = "".join(ch for ch in unicodedata.normalize("NFD", text) if not unicodedata.combining(ch))
+    inside = f"[{re.escape(c.extra_symbols)}]" if c.extra_symbols else "(?!)"
+    words = re.findall(rf"[^\W_]+(?:{inside}[^\W_]+)*", text)
+    if c.splitter == "mmseg_cn":
+        longest = max(map(len, c.dictionary), default=1)
+        words = [w for run in words for part in re.findall(r"[\u3400-\u9fff]+|[^\u3400-\u9fff]+", run) for w in (segment(part, c.dictionary, longest) if part[0] >= "\u3400" else [part])]
+    return words
+
+
+def segment(text: str, dictionary: dict[str, int], longest: int) -> list[str]:
+    """Words of a run of Chinese by the published MMSEG rules.
+
+    Of all chunks of three words at a place: the longest in sum, then the largest
+    average length, the least variance, the most usual one-character words. The
+    chunk's first word is taken.
+    """
+
+    def words_at(i: int) -> list[str]:
+        return [text[i:j] for j in range(min(len(text), i + longest), i + 1, -1) if text[i:j] in dictionary] + [text[i : i + 1]]
+
+    out, at = [], 0
+    while at < len(text):
+        best = None
+        for a in words_at(at):
+            for b in words_at(at + len(a)) if at + len(a) < len(text) else [""]:
+                end = at + len(a) + len(b)
+                for c in words_at(end) if b and end < len(text) else [""]:
+                    chunk = [w for w in (a, b, c) if w]
+                    total, mean = sum(map(len, chunk)), sum(map(len, chunk)) / len(chunk)
+                    rank = (total, mean, -sum((len(w) - mean) ** 2 for w in chunk), sum(math.log(dictionary.get(w, 0) + 1) for w in chunk if len(w) == 1))
+                    if best is None or rank > best[0]:
+                        best = (rank, a)
+        out.append(best[1])
+        at += len(best[1])
+    return out
 
 
 @dataclass
@@ -486,11 +545,11 @@ def _names(keys: list[str]) -> list[str]:
     return [f"_k{i}" for i in range(len(keys))]
 
 
-def build(df: DataFrame, keys: list[str], fields: list[str]) -> TextIndex:
+def build(df: DataFrame, keys: list[str], fields: list[str], config: Config | None = None) -> TextIndex:
     """One scan of ``df``; postings lie by word, a frequent word's in several places."""
     ks = _names(keys)
     kinds = [df.select(F.col(f"`{k}`")).schema.fields[0].dataType.simpleString() for k in keys]
-    rows = df.select(*(F.col(f"`{k}`").alias(a) for k, a in zip(keys, ks, strict=True)), F.array(*(F.coalesce(tokens(F.col(f)), F.array().cast("array<string>")) for f in fields)).alias("w"))
+    rows = df.select(*(F.col(f"`{k}`").alias(a) for k, a in zip(keys, ks, strict=True)), F.array(*(F.coalesce(tokens(F.col(f), config), F.array().cast("array<string>")) for f in fields)).alias("w"))
     ddl = ", ".join(["word string, f int, first boolean", *(f"{a} {t}" for a, t in zip(ks, kinds, strict=True)), "len int, pos array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -555,7 +614,7 @@ def expand(index: TextIndex, q: Parsed, c: Config) -> Expanded:
 
 def search(df: DataFrame, keys: list[str], fields: list[str], text: str, config: Config | None = None) -> DataFrame:
     """``keys`` and ``_ft`` (rank, 0 to 255) of the rows of ``df`` that match, by an index made for this."""
-    return ask(build(df, keys, fields), text, config)
+    return ask(build(df, keys, fields, config), text, config)
 
 
 def ask(index: TextIndex, text: str, config: Config | None = None, only: DataFrame | None = None, debug: bool = False) -> DataFrame:

@@ -149,6 +149,7 @@ class Transaction:
         finally:
             self.db.held = held
         ns.version = before["version"] + 1
+        self.db.save(ns)
         self.db.tell(events)
         self.steps.clear()
 

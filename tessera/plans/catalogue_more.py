@@ -403,6 +403,50 @@ def msgpack_round_trip(spark, sf_dir):
     return back.select("l_orderkey", F.size("parts").alias("n"), F.aggregate("items", F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + x["q"]).cast("decimal(38,0)")).alias("total"))
 
 
+@query("variant_round_trip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def variant_round_trip(spark, sf_dir):
+    rows = database(spark, sf_dir).get("nation").df
+    return wire.from_variant(wire.to_variant(rows), rows.schema)
+
+
+@query("durable_namespaces", "SELECT n_nationkey, CASE WHEN n_nationkey = 2 THEN 'kept' ELSE n_name END AS n_name, 'v' AS meta FROM nation WHERE n_nationkey <> 1")
+def durable_namespaces(spark, sf_dir):
+    db, folder = database(spark, sf_dir), fresh_path(spark, "database")
+    db.attach(folder)
+    db.put_meta("nation", "k", "v")
+    db.sql("UPDATE nation SET n_name = 'kept' WHERE n_nationkey = 2")
+    db.sql("DELETE FROM nation WHERE n_nationkey = 1")
+    again = Database.load(spark, folder, ["nation"])
+    return again.sql("SELECT n_nationkey, n_name FROM nation").df.withColumn("meta", F.lit(again.get_meta("nation", "k")))
+
+
+@query("join_handlers", "SELECT n_nationkey, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
+def join_handlers(spark, sf_dir):
+    def named(item, joined):
+        item["region"] = joined[0]["r_name"]
+        return False
+
+    rows = database(spark, sf_dir).sql("SELECT n_nationkey FROM nation INNER JOIN region ON (n_regionkey = region.r_regionkey)").objects({"region": named})
+    return spark.createDataFrame([(r["n_nationkey"], r["region"]) for r in rows], "n_nationkey int, region string")
+
+
+@query("text_segmented", "SELECT doc_id FROM documents WHERE doc_id % 2 = 0")
+def text_segmented(spark, sf_dir):
+    db = database(spark, sf_dir)
+    config = fulltext.Config(splitter="mmseg_cn", dictionary={"研究": 10, "研究生": 5, "生命": 8, "起源": 6, "命": 3})
+    rows = db.get("documents").df.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "研究生命起源").otherwise("研究生").alias("text"))
+    db.open("cn", rows, [Index("doc_id", pk=True), Index("text", "text", config={"fields": ["text"], "config": config})])
+    return db.query("cn").match("text", "=生命").select("doc_id").exec().df
+
+
+@query("text_diacritics", "SELECT doc_id FROM documents WHERE text ILIKE '%ß%' AND NOT text ILIKE 'zz%'")
+def text_diacritics(spark, sf_dir):
+    db = database(spark, sf_dir)
+    rows = db.get("documents").df.select("doc_id", F.when(F.lower("text").contains("ß"), F.lit("ein Café")).otherwise("ein cafe-x").alias("text"))
+    db.open("marked", rows, [Index("doc_id", pk=True), Index("text", "text", config={"fields": ["text"], "config": fulltext.Config(diacritics=False)})])
+    return db.query("marked").match("text", "=cafe").select("doc_id").exec().df
+
+
 @query("proto_schema", "SELECT unnest(['syntax = \"proto3\";', 'message Item {', '  optional int64 n_nationkey = 1;', '  optional string n_name = 2;', '  optional int64 n_regionkey = 3;', '}']) AS line")
 def proto_schema(spark, sf_dir):
     return spark.createDataFrame([(x,) for x in wire.proto_schema(database(spark, sf_dir).get("nation").df.schema).splitlines()], "line string")

@@ -10,7 +10,7 @@ import contextlib
 import io
 import logging
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -56,6 +56,16 @@ class Result:
         if held:
             yield held
 
+    def objects(self, handlers: dict[str, Callable[[dict, list[dict]], bool]] | None = None) -> Iterator[dict]:
+        """Rows as dicts; a handler by namespace gets each row with its joined rows, which stay only if it says so."""
+        for batch in self.batches():
+            for row in batch:
+                item = row.asDict(recursive=True)
+                for ns, handle in (handlers or {}).items():
+                    if f"joined_{ns}" in item and not handle(item, item[f"joined_{ns}"]):
+                        del item[f"joined_{ns}"]
+                yield item
+
     def explain(self, matched: bool = False) -> dict[str, Any]:
         """Spark's plan, the conditions in order, and with ``matched`` how many rows each passes (one more scan)."""
         with contextlib.redirect_stdout(said := io.StringIO()):
@@ -158,7 +168,7 @@ class Plan:
                 text = " ".join(e.item.value) if isinstance(e.item.value, list) else e.item.value
                 config = index.config.get("config") or fulltext.Config()
                 why = any(f.endswith("debug_rank()") or ".debug_rank" in f for f in q.functions)
-                built = self.ns.text_index(fields)
+                built = self.ns.text_index(fields, config)
                 found = fulltext.ask(built, text, config, self.preselected(e) if config.preselect else None, why)
                 self.texts.append((index.name, fields, text, config, built))
                 self.ranks[index.name] = F.col("_ft")

@@ -1,6 +1,6 @@
-"""Documents in wire formats: MessagePack both ways, and Protobuf with its schema, in Arrow batches.
+"""Documents in wire formats: MessagePack both ways in Arrow batches, a compact tagged binary (Spark's variant), Protobuf schemas.
 
-Both work from a schema; fields that are missing come back as nulls.
+Reading works from a schema; fields that are missing come back as nulls.
 """
 
 from __future__ import annotations
@@ -143,3 +143,12 @@ def proto_schema(schema: T.StructType, name: str = "Item") -> str:
         return [f"{pad}message {title} {{", *inner, *fields, f"{pad}}}"]
 
     return "\n".join(['syntax = "proto3";', *message(schema, name, 0), ""])
+
+
+def to_variant(df: DataFrame) -> DataFrame:
+    """A column ``data`` of each row as a tagged binary document."""
+    return df.select(F.to_variant_object(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("data"))
+
+
+def from_variant(df: DataFrame, schema: T.StructType, column: str = "data") -> DataFrame:
+    return df.select(F.try_variant_get(column, "$", schema.simpleString()).alias("r")).select("r.*")

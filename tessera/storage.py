@@ -23,18 +23,27 @@ def fresh_path(spark: SparkSession, kind: str = "table") -> str:
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, kind: str = "table") -> DataFrame:
+def written(df: DataFrame, kind: str = "table", root: str | None = None) -> DataFrame:
     """``df`` as a Parquet table read back: its lineage is cut, and it survives lost executors."""
-    path = fresh_path(df.sparkSession, kind)
+    path = f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}" if root else fresh_path(df.sparkSession, kind)
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    return opened(df.sparkSession, path, df.schema)
+
+
+def opened(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    out = (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
     out._tessera_path = path
     return out
 
 
+def path_of(df: DataFrame | None) -> str | None:
+    """Where a table of ``written`` lies."""
+    return None if df is None else df.__dict__.get("_tessera_path")
+
+
 def delete(df: DataFrame) -> None:
     """Delete a table of ``written``; anything else is left alone."""
-    path = df.__dict__.get("_tessera_path")
+    path = path_of(df)
     if path:
         spark = df.sparkSession
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
