@@ -55,24 +55,30 @@ class Namespace:
     version: int = 0
     lsn: int = 0  # of the last logged write
     texts: dict[tuple[str, ...], object] = field(default_factory=dict)  # text indexes of this snapshot by fields
+    base_texts: dict[tuple, object] = field(default_factory=dict)  # those of ``base``
     base: DataFrame | None = None  # ``df`` without the changes since
     delta: DataFrame | None = None  # a row a changed key, ``_gone`` if it is deleted
 
     def state(self) -> dict:
-        return {n: dict(v) if isinstance(v := getattr(self, n), dict) else v for n in ("df", "base", "delta", "version", "lsn", "meta", "texts")}
+        return {n: dict(v) if isinstance(v := getattr(self, n), dict) else v for n in ("df", "base", "delta", "version", "lsn", "meta", "texts", "base_texts")}
 
     def restore(self, state: dict) -> None:
         for n, v in state.items():
             setattr(self, n, v)
 
     def text_index(self, fields: list[str], config=None):
-        """The inverted index over ``fields``, built when first asked for."""
+        """The inverted index over ``fields``, built when first asked for; after small writes, from the one before and the changes."""
         from .operators import fulltext
 
         if not self.pk:
             raise QueryError(f"{self.name} needs a primary key to be searched")
         config = config or fulltext.Config()
-        if (at := (*fields, *config.splitting())) not in self.texts:
+        at = (*fields, *config.splitting())
+        if at not in self.texts and self.delta is not None and all(f in self.base.columns for f in fields):
+            if at not in self.base_texts:
+                self.base_texts[at] = fulltext.build(self.base, self.pk, fields, config)
+            self.texts[at] = fulltext.changed(self.base_texts[at], self.delta, config)
+        elif at not in self.texts:
             self.texts[at] = fulltext.build(self.df, self.pk, fields, config)
         return self.texts[at]
 
@@ -215,6 +221,7 @@ class Database:
         """A new snapshot of a namespace."""
         ns = self.get(name)
         ns.df, ns.version, ns.texts, ns.base, ns.delta = df, ns.version + 1, {}, None, None
+        ns.base_texts = {}
         self.save(ns)
         return ns
 
@@ -241,6 +248,19 @@ class Database:
         text = json.dumps(told, default=lambda v: None)
         self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/manifest/v={ns.version}")
 
+    def vacuum(self, name: str) -> int:
+        """Delete the tables of a durable namespace that its last manifest doesn't name; returns how many."""
+        ns, jvm = self.get(name), self.spark._jvm
+        if self.folder is None:
+            raise QueryError("the database is attached to no folder")
+        used = {p.rsplit("/", 1)[1] for d in (ns.df, ns.base, ns.delta) if (p := path_of(d))}
+        root = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        old = [s.getPath() for s in files.listStatus(root) if s.getPath().getName() not in used | {"manifest"}]
+        for path in old:
+            files.delete(path, True)
+        return len(old)
+
     @classmethod
     def load(cls, spark: SparkSession, folder: str, names: list[str]) -> Database:
         """The namespaces that a database attached to ``folder`` has left there, as of their last whole manifest."""
@@ -272,10 +292,12 @@ class Database:
         if ns.delta is not None:
             fresh = fresh.unionByName(ns.delta.join(fresh.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))), _same_keys(ns.pk), "left_anti"), allowMissingColumns=True)
         base = ns.base if ns.base is not None else ns.df
+        if ns.delta is None:
+            ns.base_texts = ns.texts
         ns.base, ns.delta = base, written(fresh, "delta")
         ns.df = _merged(ns)
         if ns.delta.count() > self.KEPT_APART * max(base.count(), 1):
-            ns.df, ns.base, ns.delta = written(ns.df, "snapshot"), None, None
+            ns.df, ns.base, ns.delta, ns.base_texts = written(ns.df, "snapshot"), None, None, {}
         ns.version, ns.texts = ns.version + 1, {}
         self.save(ns)
         self.note(ns, op, changed if changed is not None else gone)
@@ -346,11 +368,11 @@ class Database:
         from .sqltext import encode
 
         start = time.perf_counter()
-        try:
-            return c.run(self, q) if q.kind == "select" else modify.run(self, q)
-        finally:  # planning, and what a statement runs on its own
-            seconds = self.runs.setdefault(f"{q.namespace}\0{encode(q)}", [])
-            seconds.append(time.perf_counter() - start)
-            del seconds[:-100]
-            while len(self.runs) > 1000:
-                del self.runs[next(iter(self.runs))]
+        out = c.run(self, q) if q.kind == "select" else modify.run(self, q)
+        # planning, and what a statement runs on its own
+        seconds = self.runs.setdefault(f"{q.namespace}\0{encode(q)}", [])
+        seconds.append(time.perf_counter() - start)
+        del seconds[:-100]
+        while len(self.runs) > 1000:
+            del self.runs[next(iter(self.runs))]
+        return out

@@ -578,6 +578,29 @@ def build(df: DataFrame, keys: list[str], fields: list[str], config: Config | No
     return TextIndex(postings, words, fields, keys, sizes[0]["n"] if sizes else 0, [sizes[f]["a"] if sizes else 0.0 for f in range(len(fields))])
 
 
+def changed(index: TextIndex, delta: DataFrame, config: Config | None = None) -> TextIndex:
+    """The index after changes: ``delta`` holds the new rows, and the keys of deleted ones (``_gone``).
+
+    Postings of changed rows are left out when they are read; counts are
+    corrected by what these rows held. Costs the size of the changes, and one
+    scan of postings by key.
+    """
+    ks = _names(index.keys)
+    gone = delta.select(*(F.col(f"`{k}`").alias(a) for k, a in zip(index.keys, ks, strict=True)))
+    fresh = build(delta.where("not _gone"), index.keys, index.fields, config)
+    lost = index.postings.join(gone, ks, "left_semi").groupBy("word", "f").agg(F.sum(F.col("first").cast("long")).alias("docs"), F.count("*").alias("n"), F.sum("len").alias("len"))
+    lost = written(lost, "lost")
+    less = lost.where("word <> ''").groupBy("word").agg((-F.sum("docs")).alias("docs"))
+    words = index.words.unionByName(less).unionByName(fresh.words).groupBy("word").agg(F.sum("docs").alias("docs")).where("docs > 0")
+    out = {r["f"]: r for r in lost.where("word = ''").collect()}  # a row a field
+    total, average = index.total + fresh.total - (out[0]["n"] if out else 0), []
+    for f in range(len(index.fields)):
+        length = index.average[f] * index.total + fresh.average[f] * fresh.total - (out[f]["len"] if out else 0)
+        average.append(length / total if total else 0.0)
+    postings = index.postings.join(gone, ks, "left_anti").unionByName(fresh.postings)
+    return TextIndex(postings, written(words, "words"), index.fields, index.keys, total, average)
+
+
 @dataclass
 class Expanded:
     """A query with everything that it matches: pattern lists of its terms, then those of its groups' parts."""

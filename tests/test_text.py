@@ -197,3 +197,22 @@ def test_debug_rank_takes_no_arguments(texts):
     db.get("t").indexes["text"].config["config"] = fulltext.Config()
     with pytest.raises(QueryError):
         db.query("t").match("text", "=alpha").functions("text.debug_rank(1)").exec()
+
+
+def test_small_writes_change_the_index(texts):
+    """After updates, deletes and inserts, counts, averages and ranks are those of a new index."""
+    from tessera.operators import modify
+
+    db = texts[0].copy()
+    ns = db.get("t")
+    ns.indexes["text"].config["config"] = fulltext.Config()
+    ns.text_index(["body", "title"])
+    db.sql("UPDATE t SET body = 'alpha new things alpha' WHERE id = 3")
+    db.sql("DELETE FROM t WHERE id IN (5, 6)")
+    extra = db.spark.createDataFrame([(900, "gamma alpha", None), (901, None, "things")], "id long, body string, title string")
+    modify.apply(db, "t", extra, "upsert")
+    got, want = ns.text_index(["body", "title"]), fulltext.build(ns.df, ["id"], ["body", "title"])
+    assert ns.delta is not None and got.total == want.total and got.average == pytest.approx(want.average)
+    assert sorted(map(tuple, got.words.collect())) == sorted(map(tuple, want.words.collect()))
+    for asked in ("alpha", "things~ +gamma", "new"):
+        assert sorted(map(tuple, fulltext.ask(got, asked).collect())) == sorted(map(tuple, fulltext.ask(want, asked).collect()))

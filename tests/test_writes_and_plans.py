@@ -76,6 +76,18 @@ def test_a_failed_transaction_leaves_nothing(db, spark, tmp_path):
     assert db.sql("SELECT * FROM t WHERE #lsn > 2").df.count() == 1
 
 
+def test_a_folder_keeps_what_is_written(db, spark, tmp_path):
+    folder = f"file://{tmp_path}/kept"
+    db.attach(folder)
+    for k in range(3):
+        db.sql(f"UPDATE t SET s = 'w{k}' WHERE id = {k}")
+    assert db.vacuum("t") == 2  # two older tables of changes
+    again = Database.load(spark, folder, ["t"])
+    assert sorted(map(tuple, again.get("t").df.collect())) == sorted(map(tuple, db.get("t").df.collect()))
+    again.sql("DELETE FROM t WHERE id < 150")
+    assert Database.load(spark, folder, ["t"]).get("t").df.count() == 50
+
+
 # plans
 
 
