@@ -190,7 +190,9 @@ def leaf(df: DataFrame, f: Filter, ns: Any = None, strict: str = "names") -> Col
     if f.cond == "dwithin":
         (x, y), d = f.value
         px, py = scalar.point(field.col, field.kind)
-        box = px.between(x - d, x + d) & py.between(y - d, y + d)  # pushed down where the parts are columns
+        index = ns.index(f.left) if ns and isinstance(f.left, str) else None
+        bx, by = (F.col(index.config["x"]), F.col(index.config["y"])) if index and "x" in index.config else (px, py)
+        box = bx.between(x - d, x + d) & by.between(y - d, y + d)  # pushed down where the parts are columns
         return box & ((px - x) * (px - x) + (py - y) * (py - y) <= F.lit(float(d)) * float(d))
     if f.cond == "empty":
         if not field.is_array:

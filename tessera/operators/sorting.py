@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -73,7 +74,7 @@ def key(df: DataFrame, s: Sort, ns, ranks: dict[str, Column], joined: dict[str,
         if fn == "st_distance":
             return scalar.distance(*_point(args[0], df, ns, joined), *_point(args[1], df, ns, joined))
         if fn == "hash":
-            return F.hash(*ns.key(), F.lit(int(args[0]) if args else 0)).cast("double")
+            return F.hash(*ns.key(), F.lit(int(args[0]) if args else random.getrandbits(31))).cast("double")  # another order each time without a seed
         if fn == "rrf":
             if "rrf" not in ranks:
                 raise QueryError("RRF is for hybrid queries")

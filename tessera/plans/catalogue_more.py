@@ -155,6 +155,15 @@ def dwithin_subquery(spark, sf_dir):
     return db.query("places").dwithin_query("p", db.query("places").where("c_mktsegment", "eq", "BUILDING").select("p"), 0.5).select("c_custkey").exec().df
 
 
+@query("dwithin_clustered", "SELECT c_custkey, true AS pushed FROM customer WHERE (c_acctbal / 100 - 40.0) * (c_acctbal / 100 - 40.0) + (c_nationkey - 12.0) * (c_nationkey - 12.0) <= 25.0")
+def dwithin_clustered(spark, sf_dir):
+    db, to = points(spark, sf_dir), fresh_path(spark, "places")
+    files.write_spatial(db.get("places").df, "p", to)
+    db.open("near", spark.read.parquet(to), [Index("c_custkey", pk=True), Index("p", "rtree", config={"x": "_px", "y": "_py"})])
+    found = db.sql("SELECT c_custkey FROM near WHERE ST_DWithin(p, ST_GeomFromText('point(40 12)'), 5)")
+    return found.df.withColumn("pushed", F.lit("GreaterThanOrEqual(_px,35.0)" in found.explain()["plan"]))
+
+
 # writes
 
 

@@ -24,6 +24,10 @@ from ..operators.predicates import Field, compile_entries, element_test, leaf, r
 from ..spec import Bracket, Entry, Filter, Func, Join, Knn, Query, QueryError, validate, walk
 
 
+#: Cached totals of a database.
+COUNTS_KEPT = 1000
+
+
 @dataclass
 class Result:
     """Rows, aggregations in the query's order, and the total on demand."""
@@ -35,13 +39,17 @@ class Result:
     query: Query | None = None
 
     def total(self) -> int:
-        """Rows before limit and offset; cached totals are kept by query and version."""
+        """Rows before limit and offset; cached totals are kept by query and versions."""
         from .. import sqltext
 
         if self.query.total == "cached":
-            key = (sqltext.encode(self.query), self.db.get(self.query.namespace).version)
+            versions = tuple(sorted((n.name, n.version) for n in self.db.namespaces.values()))
+            key = (sqltext.encode(self.query), versions)
             if key not in self.db.counts:
                 self.db.counts[key] = self.counted.count()
+            self.db.counts[key] = self.db.counts.pop(key)  # the last used ones stay
+            while len(self.db.counts) > COUNTS_KEPT:
+                del self.db.counts[next(iter(self.db.counts))]
             return self.db.counts[key]
         return self.counted.count()
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..catalog import Database, Index
+from ..functions import scalar
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, open_fields: bool = False) -> DataFrame:
@@ -55,6 +56,24 @@ def write_clustered(df: DataFrame, keys: list[str], path: str) -> None:
     df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
+def write_spatial(df: DataFrame, point: str, path: str, bits: int = 15) -> None:
+    """Neighbouring points in neighbouring rows, by the interleaved bits of x and y, which are kept as ``_px`` and ``_py``.
+
+    An ``rtree`` index with ``config={"x": "_px", "y": "_py"}`` then brings the
+    box around a distance condition to the scan's statistics.
+    """
+    x, y = scalar.point(F.col(f"`{point}`"), df.schema[point].dataType)
+    rows = df.withColumn("_px", x).withColumn("_py", y)
+    low_x, high_x, low_y, high_y = rows.agg(F.min("_px"), F.max("_px"), F.min("_py"), F.max("_py")).head()
+    place = F.lit(0).cast("long")
+    for name, low, high, shift in (("_px", low_x, high_x, 0), ("_py", low_y, high_y, 1)):
+        wide = (high - low) if low is not None and high > low else 1.0
+        cell = F.least(F.floor((F.col(name) - F.lit(low or 0.0)) / F.lit(wide) * (1 << bits)), F.lit((1 << bits) - 1)).cast("long")
+        for i in range(bits):
+            place = place + F.shiftleft(F.shiftright(cell, i).bitwiseAND(F.lit(1).cast("long")), 2 * i + shift)
+    rows.withColumn("_z", place).repartitionByRange("_z").sortWithinPartitions("_z").drop("_z").write.mode("overwrite").parquet(path)
+
+
 def table_view(df: DataFrame, rows: int = 20, width: int = 40) -> str:
     """The first ``rows`` as a text table; nested values as JSON, long ones cut."""
     nested = (T.StructType, T.ArrayType, T.MapType)

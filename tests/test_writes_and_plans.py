@@ -76,6 +76,18 @@ def test_a_failed_transaction_leaves_nothing(db, spark, tmp_path):
     assert db.sql("SELECT * FROM t WHERE #lsn > 2").df.count() == 1
 
 
+def test_cached_totals(db):
+    from tessera.plans import compile as c
+
+    ask = lambda: db.sql("SELECT count_cached(*) FROM t WHERE b = 1")
+    assert ask().total() == ask().total() == 67 and len(db.counts) == 1
+    db.sql("DELETE FROM t WHERE id = 1")
+    assert ask().total() == 66 and len(db.counts) == 2
+    for k in range(c.COUNTS_KEPT):
+        db.counts[k] = k
+    assert ask().total() == 66 and len(db.counts) == c.COUNTS_KEPT and any(isinstance(k, tuple) for k in db.counts)
+
+
 def test_a_folder_keeps_what_is_written(db, spark, tmp_path):
     folder = f"file://{tmp_path}/kept"
     db.attach(folder)
