@@ -135,8 +135,8 @@ def bloom(rows: DataFrame, hashed: Column) -> bytes:
     at = F.pmod(hashed, F.lit(BLOOM_BITS))
     bits = np.zeros(BLOOM_BITS // 64, np.uint64)
     words = rows.select(F.floor(at / 64).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("b"))
-    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    bits[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).view(np.uint64)
+    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # 16 bytes a word, not a Python row
+    bits[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
     return bits.tobytes()
 
 
@@ -176,6 +176,19 @@ def without(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return rows.where(~may(F.col(key))).unionByName(doubtful.join(gone, F.col(key) == F.col("_gone"), "left_anti"))
 
 
+def with_few(rows: DataFrame, key: str, few: DataFrame) -> DataFrame:
+    """``rows`` left joined with ``few`` by the long ``key``, a row a key.
+
+    Only rows that may have a partner are shuffled. ``rows`` has to be settled:
+    it is read twice.
+    """
+    may = maybe(rows.sparkSession, few.select(key))
+    rest = rows.where(~may(F.col(key)))
+    kinds = few.drop(key).schema
+    rest = rest.select(*rows.columns, *(F.lit(None).cast(f.dataType).alias(f.name) for f in kinds))
+    return rows.where(may(F.col(key))).join(few, key, "left").select(*rows.columns, *kinds.names).unionByName(rest)
+
+
 @tidied
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(u, v)`` as ``(node, root)``, root = smallest id.

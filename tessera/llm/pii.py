@@ -11,9 +11,15 @@ is the share of the entity's information content that the term gives away: 1
 if the term never occurs without it, 0 if independent. Terms that share at
 least ``MIN_DOCS`` documents with the entity are removed from ``REMOVE`` on, and
 generalised to a placeholder from ``GENERALISE`` on, at every occurrence outside
-base spans. With ``everywhere`` (the query and the pipeline) that means every
-document, as a term that gives an entity away does so wherever it stands; without
-it, the documents that hold the entity.
+base spans in the documents that hold the entity.
+
+With ``everywhere`` (the query and the pipeline) terms that give an entity away
+almost for certain, from REMOVE on with ``EVIDENCE`` documents, are removed from
+all other documents too, and equal texts count once, so that copies of one text
+are no evidence. Weaker terms stay there: of a word that is in 2 of 40 documents
+beside the entity, the other 38 say nothing about it. (Masking all terms in all
+documents was tried: it changed a fifth of the documents that hold no personal
+data, by words that two texts share by chance.)
 
 Nothing is lost to pruning: an entity of fewer than MIN_DOCS documents has no
 term of that many, and as both <= n_entity, a term of more than
@@ -52,10 +58,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOOM_BITS, SLICE_ROWS, arrow_schema, bloom, map_columns, settle, texts_of, tidied
+from .common import BLOOM_BITS, SLICE_ROWS, arrow_schema, bloom, map_columns, settle, texts_of, tidied, with_few, without
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_DOCS = 2
+#: Documents that hold both, for a term to be removed where the entity isn't.
+EVIDENCE = 3
 GENERALISE, REMOVE = 0.75, 0.95
 #: Distinct terms, or pairs, that a task counts before it hands them on.
 TERMS_HELD = 1 << 17
@@ -150,8 +158,9 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     def make():
         def work(batch):
-            cols = {n: [] for n in ("_pii_n", "_pii_base", "_pii_entities")}
+            cols = {n: [] for n in ("_pii_n", "_pii_base", "_pii_entities", "_pii_digest")}
             for text in texts_of(batch):
+                cols["_pii_digest"].append(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
                 spans = base_spans(text)
                 kinds = Counter(k for k, _, _ in spans)
                 cols["_pii_n"].append([kinds[k] for k in KINDS])
@@ -163,7 +172,7 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     kept = ["_pii_uid", *keep]
     types = {n: docs.schema[n].dataType.simpleString() for n in keep}
-    ddl = ", ".join(["_pii_uid long", *(f"`{n}` {t}" for n, t in types.items()), "_pii_n array<long>, _pii_base string, _pii_entities array<string>, _pii_text string"])
+    ddl = ", ".join(["_pii_uid long", *(f"`{n}` {t}" for n, t in types.items()), "_pii_n array<long>, _pii_base string, _pii_entities array<string>, _pii_digest binary, _pii_text string"])
     with_uid = docs.withColumn("_pii_uid", F.monotonically_increasing_id())
     return settle(map_columns(with_uid.select("_pii_uid", *dict.fromkeys([*keep, "text"])), ddl, make))
 
@@ -199,14 +208,12 @@ def bits_of(shared) -> np.ndarray:
     return np.frombuffer(shared.value, np.uint64)
 
 
-def document_frequency(scanned: DataFrame, terms: DataFrame) -> DataFrame:
-    """Exact ``(term, df)`` over all documents of the candidate ``terms``, and of the few others that pass the filter."""
-    shared = scanned.sparkSession.sparkContext.broadcast(bloom(terms, hashed("term")))
+def document_frequency(scanned: DataFrame) -> DataFrame:
+    """``(term, df)``: in how many documents each word of the corpus stands."""
 
     def keys(batch: pa.RecordBatch) -> Iterator:
-        bits = bits_of(shared)
         for text in texts_of(batch, "_pii_text"):
-            yield [(w,) for w in passing(bits, words_of(text))]
+            yield [(w,) for w in words_of(text)]
 
     return counted(scanned.select("_pii_text"), "term string, n long", keys).groupBy("term").agg(F.sum("n").alias("df"))
 
@@ -216,8 +223,15 @@ def entities_of(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
         yield text, [e.encode() for e in entities]
 
 
+def distinct_texts(scanned: DataFrame) -> DataFrame:
+    """The first row of every text."""
+    firsts = settle(scanned.groupBy("_pii_digest").agg(F.min("_pii_uid").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    again = scanned.select("_pii_uid", "_pii_digest").join(firsts, "_pii_digest").where("_pii_uid <> first").select("_pii_uid")
+    return without(scanned, "_pii_uid", settle(again))
+
+
 def shares(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(entity, of)``, where ``of`` stands for all entities of the same documents, and ``(of, term, disclosure)`` from GENERALISE on; settled."""
+    """``(entity, of)``, where ``of`` stands for all entities of the same documents, and ``(of, term, both, disclosure)`` from GENERALISE on; settled."""
     context = scanned.sparkSession.sparkContext
     total = scanned.count()
     holding = scanned.where(F.size("_pii_entities") > 0).select("_pii_text", "_pii_entities")
@@ -227,15 +241,8 @@ def shares(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
     heads = settle(alone.groupBy(*same).agg(F.min("entity").alias("of")))
     repeated = context.broadcast(bloom(heads, hashed("of")))
 
-    def candidates(batch: pa.RecordBatch) -> Iterator:
-        bits = bits_of(repeated)
-        for text, entities in entities_of(batch):
-            if passing(bits, entities):
-                yield [(w,) for w in words_of(text)]
-
     most = total * ((heads.agg(F.max("n_entity")).head()[0] or 0) / max(total, 1)) ** GENERALISE * (1 + 1e-9)
-    df = document_frequency(scanned, counted(holding, "term string, n long", candidates).select("term").distinct())
-    df = settle(df.where((F.col("df") >= MIN_DOCS) & (F.col("df") <= most)))
+    df = settle(document_frequency(scanned).where((F.col("df") >= MIN_DOCS) & (F.col("df") <= most)))
     rare = context.broadcast(bloom(df, hashed("term")))
 
     def pairs_of(batch: pa.RecordBatch) -> Iterator:
@@ -252,7 +259,7 @@ def shares(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
     content = -F.log2(F.col("n_entity") / n)
     share = F.when(content > 0, gain / content).otherwise(0.0)
     found = pairs.join(heads, "of").join(df, "term").withColumn("disclosure", share).where(F.col("disclosure") >= GENERALISE)
-    return settle(alone.join(heads, [*same]).select("entity", "of")), settle(found.select("of", "term", "disclosure"))
+    return settle(alone.join(heads, [*same]).select("entity", "of")), settle(found.select("of", "term", "both", "disclosure"))
 
 
 def disclosing(docs: DataFrame, scanned: DataFrame) -> DataFrame:
@@ -273,26 +280,32 @@ def placed(at: list[tuple[int, int]]) -> list[dict]:
     return [{"s": s, "e": e} for s, e in at]
 
 
-def hits_with_entity(scanned: DataFrame, revealing: DataFrame) -> DataFrame:
-    """``_pii_uid, term, at, disclosure``: terms in the documents that hold an entity that they disclose."""
-    shared = scanned.sparkSession.sparkContext.broadcast(bloom(revealing, hashed("entity", "term")))
-    spark_schema, out = arrow_schema("_pii_uid long, entity string, term string, at array<struct<s:long,e:long>>")
+def hits_with_entity(scanned: DataFrame, found: DataFrame) -> DataFrame:
+    """``_pii_uid, term, at, disclosure``: terms in the documents that hold an entity that they disclose.
+
+    ``found`` are pairs of ``shares``: of the entities that are always together, one stands for all.
+    """
+    context = scanned.sparkSession.sparkContext
+    heads, shared = (context.broadcast(bloom(found, hashed(*names))) for names in (("of",), ("of", "term")))
+    spark_schema, out = arrow_schema("_pii_uid long, of string, term string, at array<struct<s:long,e:long>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bits_of(shared)
+        known, bits = bits_of(heads), bits_of(shared)
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)
                 for uid, (text, entities), base in zip(part.column("_pii_uid").to_pylist(), entities_of(part), part.column("_pii_base").to_pylist(), strict=True):
+                    if not (some := passing(known, entities)):
+                        continue
                     words = words_of(text)
-                    met = {e: [k[len(e) + 1 :] for k in passing(bits, [e + b"\0" + w for w in words])] for e in entities}
-                    at = occurrences(text, {w for some in met.values() for w in some}, spans_of(base))
-                    for entity, some in met.items():
-                        if some := [w for w in some if w in at]:
-                            yield emitted(([uid] * len(some), [entity.decode()] * len(some), [w.decode("utf-8", "surrogatepass") for w in some], [placed(at[w]) for w in some]), out)
+                    met = {e: [k[len(e) + 1 :] for k in passing(bits, [e + b"\0" + w for w in words])] for e in some}
+                    at = occurrences(text, {w for own in met.values() for w in own}, spans_of(base))
+                    for entity, own in met.items():
+                        if own := [w for w in own if w in at]:
+                            yield emitted(([uid] * len(own), [entity.decode()] * len(own), [w.decode("utf-8", "surrogatepass") for w in own], [placed(at[w]) for w in own]), out)
 
     rows = scanned.where(F.size("_pii_entities") > 0).select("_pii_uid", "_pii_text", "_pii_entities", "_pii_base")
-    return rows.mapInArrow(run, spark_schema).join(revealing, ["entity", "term"]).groupBy("_pii_uid", "term").agg(F.first("at").alias("at"), F.max("disclosure").alias("disclosure"))
+    return rows.mapInArrow(run, spark_schema).join(found.select("of", "term", "disclosure"), ["of", "term"]).select("_pii_uid", "term", "at", "disclosure")
 
 
 def hits_everywhere(scanned: DataFrame, terms: DataFrame) -> DataFrame:
@@ -319,16 +332,18 @@ def hits_everywhere(scanned: DataFrame, terms: DataFrame) -> DataFrame:
 def find(docs: DataFrame, keep: list[str], everywhere: bool = False) -> DataFrame:
     """``scan`` plus ``_pii_terms``: the disclosing terms' spans by start."""
     scanned = scan(docs, keep)
+    found = shares(distinct_texts(scanned) if everywhere else scanned)[1]
+    hits = hits_with_entity(scanned, found)
     if everywhere:
-        hits = hits_everywhere(scanned, settle(shares(scanned)[1].groupBy("term").agg(F.max("disclosure").alias("disclosure"))))
-    else:
-        hits = hits_with_entity(scanned, disclosing(docs, scanned))
+        strong = found.where((F.col("both") >= EVIDENCE) & (F.col("disclosure") >= REMOVE)).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+        hits = hits.unionByName(hits_everywhere(scanned, settle(strong)))
     by_row = (
-        hits.select("_pii_uid", F.transform("at", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.col("disclosure"))).alias("at"))
+        hits.groupBy("_pii_uid", "term").agg(F.first("at").alias("at"), F.max("disclosure").alias("disclosure"))
+        .select("_pii_uid", F.transform("at", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.col("disclosure"))).alias("at"))
         .groupBy("_pii_uid")
         .agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("_pii_terms"))
     )
-    return scanned.drop("_pii_entities").join(settle(by_row), "_pii_uid", "left")
+    return with_few(scanned.drop("_pii_entities", "_pii_digest"), "_pii_uid", settle(by_row))
 
 
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}

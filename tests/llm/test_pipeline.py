@@ -8,7 +8,7 @@ import pytest
 import corpus_pipeline as p
 from tessera.llm import mixing, packing, pii, toxicity
 from tests.llm.test_large_operators import brute_components, jaccard_links
-from tests.llm.test_pii import brute, naive_spans
+from tests.llm.test_pii import WORD, brute, naive_spans
 from tests.llm.test_small_operators import check_pieces
 from tests.llm.test_toxicity import plain
 
@@ -26,10 +26,10 @@ def folder(spark, sf_dir, tmp_path_factory):
 
 def masked(texts):
     """Base spans and disclosing terms replaced, by brute force."""
-    terms, out = brute(texts), []
+    of, out = brute(texts), []
     for text in texts:
-        base = naive_spans(text)
-        words = [m for m in re.finditer(r"[^\x00-\x40\x5b-\x60\x7b-\x7f]+", text) if m[0].lower() in terms and not any(m.start() < e and s < m.end() for _, s, e in base)]
+        base, terms = naive_spans(text), of(text)
+        words = [m for m in re.finditer(WORD, text) if m[0].lower() in terms and not any(m.start() < e and s < m.end() for _, s, e in base)]
         new, at = "", 0
         for s, e, mask in sorted([(s, e, pii.MASKS[k]) for k, s, e in base] + [(*m.span(), "" if terms[m[0].lower()] >= pii.REMOVE else "[TERM]") for m in words]):
             if s >= at:
@@ -78,8 +78,5 @@ def test_run_equals_plain_stages(spark, folder):
     assert tokens / (1024 * windows) > 0.97
 
 
-def test_stages_return_documents(spark, folder):
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    for _, stage in p.STAGES[:-1]:
-        assert stage(spark, docs, folder).dtypes == docs.dtypes
-    assert len(p.STAGES) == 5 and [n for n, _ in p.STAGES] == ["toxicity", "minhash", "pii", "mixing", "packing"]
+def test_stages_in_order(spark):
+    assert [n for n, _ in p.STAGES] == ["toxicity", "minhash", "pii", "mixing", "packing"] and p.ORACLE_SQL is None
