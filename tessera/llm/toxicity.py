@@ -12,9 +12,11 @@ categories: ``low_quality``, ``toxic_low_quality`` (both) and ``toxic``. All are
 combinations of labels; none is computed from the text.
 
 Terms are those whose log-likelihood ratio and log odds mark them as toxic
-(``G2``, ``ODDS``); every such term is kept, up to ``TERMS``, a bound on the
-driver's memory that is several times what 20,000 labelled rows yield. A word
-counts once as indicative, however many of its terms are.
+(``G2``, ``ODDS``); every such term is kept, up to ``TERMS`` by that ratio, a
+bound on the driver's memory. It is several times what 20,000 labelled texts
+yield, but is reached where large groups of copies of one text are labelled, as
+all words of such a text then mark it. A word counts once as indicative, however
+many of its terms are.
 
 The classifier learns on a bounded sample: the ``TRAIN_ROWS`` labelled rows
 first in a seeded hash order. Every document is scored, by its whole text.
@@ -30,6 +32,7 @@ without labels); kept columns that are named like a result come back with
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -121,29 +124,48 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Rows:
-    """Training rows: dense features of all, and presence of terms for the rows ``at`` that have any."""
+    """Training rows: dense features of all, and presence of terms (bytes) for the rows ``at`` that have any.
+
+    Terms are turned into numbers a chunk of rows at a time, so a step needs
+    little more than the bytes.
+    """
 
     dense: np.ndarray
     at: np.ndarray
     terms: np.ndarray
 
+    CHUNK = 2048
+
     def take(self, keep: np.ndarray) -> Rows:
         place = np.cumsum(keep) - 1
         inside = keep[self.at]
         return Rows(self.dense[keep], place[self.at[inside]], self.terms[inside])
 
+    def chunks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for start in range(0, len(self.at), self.CHUNK):
+            yield self.at[start : start + self.CHUNK], self.terms[start : start + self.CHUNK].astype(np.float32)
+
     def score(self, w: np.ndarray) -> np.ndarray:
-        z = self.dense @ w[self.terms.shape[1] :]
-        z[self.at] += self.terms @ w[: self.terms.shape[1]]
+        n = self.terms.shape[1]
+        z = self.dense @ w[n:]
+        for at, t in self.chunks():
+            z[at] += t @ w[:n]
         return z
 
     def product(self, v: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.terms.T @ v[self.at], self.dense.T @ v])
+        total = np.zeros(self.terms.shape[1])
+        for at, t in self.chunks():
+            total += v[at] @ t
+        return np.concatenate([total, self.dense.T @ v])
 
     def curvature(self, c: np.ndarray) -> np.ndarray:
-        t, d = self.terms, self.dense
-        cross = (t * c[self.at, None]).T @ d[self.at]
-        return np.block([[(t * c[self.at, None]).T @ t, cross], [cross.T, (d * c[:, None]).T @ d]])
+        n, d = self.terms.shape[1], self.dense
+        own, cross = np.zeros((n, n)), np.zeros((n, d.shape[1]))
+        for at, t in self.chunks():
+            weighed = t * c[at, None].astype(np.float32)
+            own += weighed.T @ t
+            cross += weighed.T @ d[at]
+        return np.block([[own, cross], [cross.T, (d * c[:, None]).T @ d]])
 
 
 def logistic(rows: Rows, y: np.ndarray, ridge: float = 2.0, steps: int = 12) -> np.ndarray:
@@ -164,7 +186,7 @@ def fit_chain(terms: list[bytes], chosen: np.ndarray, got: Counted, targets: np.
     ``chosen[f]`` are the terms selected without fold f, the last row those of all folds.
     """
     at = np.array([i for i, f in enumerate(got.found) if f], int)
-    present = np.zeros((len(at), len(terms)), np.float32)
+    present = np.zeros((len(at), len(terms)), np.uint8)
     for i, k in enumerate(at):
         present[i, got.found[k]] = 1
     earlier = np.zeros((len(folds), 0))

@@ -88,7 +88,7 @@ def test_terms_are_selected_without_the_held_fold(spark):
 
 def test_newton_finds_the_optimum():
     rng = np.random.default_rng(3)
-    dense, terms, at = rng.standard_normal((400, 3)), (rng.random((150, 5)) < 0.3).astype(np.float32), np.sort(rng.choice(400, 150, replace=False))
+    dense, terms, at = rng.standard_normal((400, 3)), (rng.random((150, 5)) < 0.3).astype(np.uint8), np.sort(rng.choice(400, 150, replace=False))
     y = (rng.random(400) < 0.3).astype(float)
     rows = toxicity.Rows(dense, at, terms)
     w = toxicity.logistic(rows, y)
