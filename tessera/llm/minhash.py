@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, components, likely, map_columns, settle, texts_of, tidied, without
+from .common import arrow_schema, components, lean, likely, map_columns, settle, texts_of, tidied, without
 
 #: A pair at the threshold misses all bands with probability (1 - 0.8**5)**30 = 7e-6.
 BANDS, ROWS = 30, 5
@@ -298,7 +298,7 @@ def crossing(members: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame
         if held and (found := group(held)) is not None:
             yield found
 
-    return dealt.mapInArrow(run, spark_schema)
+    return dealt.mapInArrow(lean(run), spark_schema)
 
 
 def verify_blocks(blocks: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -355,7 +355,7 @@ def verify_blocks(blocks: DataFrame, texts: DataFrame, shingle: int, percent: in
         if group is not None and (found := close()) is not None:
             yield found
 
-    return dealt.mapInArrow(run, spark_schema)
+    return dealt.mapInArrow(lean(run), spark_schema)
 
 
 def percent_of(x: np.ndarray, y: np.ndarray, percent: int) -> bool:

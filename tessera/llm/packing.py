@@ -24,7 +24,6 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, arrow_schema, settle, texts_of, tidied
+from .common import SLICE_ROWS, arrow_schema, lean, settle, texts_of, tidied
 
 WINDOW = 1024
 #: Rests that a run holds in memory, 40 bytes each or so.
@@ -102,12 +101,6 @@ class Chunks:
         return out
 
 
-@lru_cache(maxsize=2)
-def chunks_of(path: str) -> Chunks:
-    """One memory a worker process, whatever the number of its tasks."""
-    return Chunks(path)
-
-
 class Tightest:
     """Open windows by remaining capacity: a segment tree of counts over 0..window."""
 
@@ -186,7 +179,8 @@ def by_task(docs: DataFrame, tokenizer: str, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        chunks = chunks_of(tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer))
+        # of the task, not kept by its worker: it would stay beside all that runs there later
+        chunks = Chunks(tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer))
         used = first_number()
         rests: list[tuple] = []
 
@@ -219,7 +213,7 @@ def by_task(docs: DataFrame, tokenizer: str, window: int) -> DataFrame:
                     yield from close()
         yield from close()
 
-    return docs.select("doc_id", "text").mapInArrow(run, spark_schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), spark_schema)
 
 
 def again(pieces: DataFrame, window: int) -> DataFrame:
@@ -244,7 +238,7 @@ def again(pieces: DataFrame, window: int) -> DataFrame:
                 yield from close()
         yield from close()
 
-    return pieces.select(*PIECE).mapInArrow(run, spark_schema)
+    return pieces.select(*PIECE).mapInArrow(lean(run), spark_schema)
 
 
 @tidied

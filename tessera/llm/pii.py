@@ -58,7 +58,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOOM_BITS, SLICE_ROWS, arrow_schema, bloom, map_columns, settle, texts_of, tidied, with_few, without
+from .common import BLOOM_BITS, SLICE_ROWS, arrow_schema, bloom, lean, map_columns, settle, texts_of, tidied, with_few, without
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_DOCS = 2
@@ -201,7 +201,7 @@ def counted(rows: DataFrame, ddl: str, keys: Callable[[pa.RecordBatch], Iterator
                         yield flush()
         yield flush()
 
-    return rows.mapInArrow(run, spark_schema)
+    return rows.mapInArrow(lean(run), spark_schema)
 
 
 def bits_of(shared) -> np.ndarray:
@@ -305,7 +305,7 @@ def hits_with_entity(scanned: DataFrame, found: DataFrame) -> DataFrame:
                             yield emitted(([uid] * len(own), [entity.decode()] * len(own), [w.decode("utf-8", "surrogatepass") for w in own], [placed(at[w]) for w in own]), out)
 
     rows = scanned.where(F.size("_pii_entities") > 0).select("_pii_uid", "_pii_text", "_pii_entities", "_pii_base")
-    return rows.mapInArrow(run, spark_schema).join(found.select("of", "term", "disclosure"), ["of", "term"]).select("_pii_uid", "term", "at", "disclosure")
+    return rows.mapInArrow(lean(run), spark_schema).join(found.select("of", "term", "disclosure"), ["of", "term"]).select("_pii_uid", "term", "at", "disclosure")
 
 
 def hits_everywhere(scanned: DataFrame, terms: DataFrame) -> DataFrame:
@@ -326,7 +326,7 @@ def hits_everywhere(scanned: DataFrame, terms: DataFrame) -> DataFrame:
                 if cols[0]:
                     yield emitted(cols, out)
 
-    return scanned.select("_pii_uid", "_pii_text", "_pii_base").mapInArrow(run, spark_schema).join(terms, "term")
+    return scanned.select("_pii_uid", "_pii_text", "_pii_base").mapInArrow(lean(run), spark_schema).join(terms, "term")
 
 
 def find(docs: DataFrame, keep: list[str], everywhere: bool = False) -> DataFrame:
