@@ -454,7 +454,8 @@ def upsert(spark, sf_dir):
 @query("ttl", "SELECT event_id FROM events WHERE NOT (epoch(ts)::BIGINT < (SELECT max(epoch(ts)::BIGINT) FROM events) - 86400 * 10)")
 def ttl(spark, sf_dir):
     db = database(spark, sf_dir)
-    df = db.get("events").df.withColumn("at", F.unix_seconds(F.col("ts").cast("timestamp")))
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 10**6
+    df = db.get("events").df.withColumn("at", F.rint(seconds).cast("long"))  # the nearest second, as SQL's cast
     db.open("events", df, [Index("event_id", pk=True), Index("at", "ttl", expire_after=86400 * 10)])
     db.expire("events", df.agg(F.max("at")).head()[0])
     return db.get("events").df.select("event_id")

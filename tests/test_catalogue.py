@@ -40,6 +40,20 @@ def test_query_without_sql_repeats(spark, sf_dir, name):
     assert first and first == again
 
 
+def test_ttl_rounds_parts_of_seconds(spark, sf_dir, tmp_path, duck):
+    """Events less than a second around the limit, and a last one past half a second."""
+    for t in TABLES:
+        if t != "events":
+            (tmp_path / f"{t}.parquet").symlink_to(f"{sf_dir}/{t}.parquet")
+    at = ["2024-01-30 10:00:00.7", *(f"2024-01-20 {s}" for s in ("09:59:59.6", "10:00:00.4", "10:00:00.5", "10:00:00.6", "10:00:01.4", "10:00:01.5"))]
+    path = f"{tmp_path}/events.parquet"
+    rows = ", ".join(f"({i}, TIMESTAMP '{t}')" for i, t in enumerate(at))
+    duck.execute(f"COPY (SELECT CAST(i AS BIGINT) AS event_id, t AS ts FROM (VALUES {rows}) v(i, t)) TO '{path}' (FORMAT parquet)")
+    want = duck.execute(f"WITH events AS (SELECT * FROM '{path}') {catalogue.ORACLE_SQL['ttl']}").fetchall()
+    assert 1 < len(want) < len(at)
+    assert sorted(tuple(r) for r in catalogue.QUERIES["ttl"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_conditions_reach_the_scan(spark, sf_dir):
     db = database(spark, sf_dir)
     for where, pushed in (
