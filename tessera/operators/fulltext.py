@@ -1,11 +1,14 @@
 """Full-text search: a query language, an inverted index, variants, BM25-based ranks, snippets.
 
 ``TextIndex`` is built by one scan of the texts and kept as tables: postings
-(word, row, field, positions), and the vocabulary with document counts. A query
-is expanded on the driver and matched against the vocabulary, that is against
-distinct words; the few words that match pick their postings. Ranks of words are
-Column arithmetic; how the words of a row add up (distances, phrases, synonyms)
-depends on their order and is folded a row at a time in Arrow batches.
+(word, row, field, positions), and the vocabulary with document counts. Postings
+are written where the texts are read, by segments of some thousand rows: a row a
+word of a segment, sorted by word, so no posting is shuffled. A query is expanded
+on the driver and matched against the vocabulary, that is against distinct words;
+the words that match pick their postings. Ranks of words are Column arithmetic;
+those of one term are reduced by Spark, and how the words of several terms add up
+in a row (distances, phrases, synonyms) depends on their order and is folded a row
+at a time in Arrow batches.
 
 Differences by design: all matching rows are ranked, without a limit on merged
 rows; stop words are dropped from queries (unless marked by +, -, * or ~) but are in
@@ -17,11 +20,15 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache, reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +44,10 @@ STOP_WORDS = set(
     ours ourselves out over own same she should so some such than that the their theirs them themselves then there these they this those through to too
     under until up ve very was we were what when where which while who whom why with will would you your yours yourself yourselves""".split()
 )
-#: Words that a query matches are looked up by value up to this number; more are joined.
+#: So many words that a query matches, the most frequent ones, are looked up by value; further ones are joined.
 WORDS_BY_VALUE = 1000
+#: Characters of the texts that make a segment of an index, at most (one text at least).
+SEGMENT_CHARACTERS = 4_000_000
 
 
 @dataclass
@@ -434,6 +443,20 @@ class Matcher:
                     (self.heads if v.prefix else self.tails if v.suffix else self.exact).setdefault(v.word, []).append((i, v))
         self.head_sizes, self.tail_sizes = ({len(w) for w in x} for x in (self.heads, self.tails))
 
+    def may_match(self, word: Column) -> Column:
+        """The same test on a column, which reaches scans: true for just the words that match."""
+        tests = [word.isin(*sorted(self.exact))] if self.exact else []
+        if len(self.heads) <= 10:
+            tests += [word.startswith(w) for w in self.heads]
+        else:
+            tests += [F.substring(word, 1, n).isin(*sorted(w for w in self.heads if len(w) == n)) for n in self.head_sizes]
+        if len(self.tails) <= 10:
+            tests += [word.endswith(w) for w in self.tails]
+        else:
+            tests += [F.substring(word, -n, n).isin(*sorted(w for w in self.tails if len(w) == n)) for n in self.tail_sizes]
+        tests += [word.contains(v.word) for _, v in self.inner]
+        return reduce(lambda a, b: a | b, tests, F.lit(False))
+
     def __call__(self, word: str) -> dict[int, float]:
         out: dict[int, float] = {}
 
@@ -490,15 +513,25 @@ def tokens(text: Column, config: Config | None = None) -> Column:
 
 
 def words_in(text: str, c: Config) -> list[str]:
-    text = text.lower()
-    if not c.diacritics:
-        text = "".join(ch for ch in unicodedata.normalize("NFD", text) if not unicodedata.combining(ch))
+    return splitter(c)(text)
+
+
+def splitter(c: Config) -> Callable[[str], list[str]]:
+    """The words of a text by a config's rules."""
     inside = f"[{re.escape(c.extra_symbols)}]" if c.extra_symbols else "(?!)"
-    words = re.findall(rf"[^\W_]+(?:{inside}[^\W_]+)*", text)
-    if c.splitter == "mmseg_cn":
-        longest = max(map(len, c.dictionary), default=1)
-        words = [w for run in words for part in re.findall(r"[\u3400-\u9fff]+|[^\u3400-\u9fff]+", run) for w in (segment(part, c.dictionary, longest) if part[0] >= "\u3400" else [part])]
-    return words
+    words_of = re.compile(rf"[^\W_]+(?:{inside}[^\W_]+)*").findall
+    longest = max(map(len, c.dictionary), default=1)
+
+    def split(text: str) -> list[str]:
+        text = text.lower()
+        if not c.diacritics:
+            text = "".join(ch for ch in unicodedata.normalize("NFD", text) if not unicodedata.combining(ch))
+        words = words_of(text)
+        if c.splitter == "mmseg_cn":
+            words = [w for run in words for part in re.findall(r"[\u3400-\u9fff]+|[^\u3400-\u9fff]+", run) for w in (segment(part, c.dictionary, longest) if part[0] >= "\u3400" else [part])]
+        return words
+
+    return split
 
 
 def segment(text: str, dictionary: dict[str, int], longest: int) -> list[str]:
@@ -531,7 +564,7 @@ def segment(text: str, dictionary: dict[str, int], longest: int) -> list[str]:
 
 @dataclass
 class TextIndex:
-    """Postings ``word, f, n, keys.., len, pos``, vocabulary ``word, docs``, and what a rank needs of the whole."""
+    """Postings ``word, f, first, keys.., len, pos``, vocabulary ``word, docs``, and what a rank needs of the whole."""
 
     postings: DataFrame
     words: DataFrame
@@ -546,38 +579,101 @@ def _names(keys: list[str]) -> list[str]:
 
 
 def build(df: DataFrame, keys: list[str], fields: list[str], config: Config | None = None) -> TextIndex:
-    """One scan of ``df``; postings lie by word, a frequent word's in several places."""
-    ks = _names(keys)
+    """One scan of ``df``; nothing but counts of words by task is shuffled."""
+    c, ks = config or Config(), _names(keys)
     kinds = [df.select(F.col(f"`{k}`")).schema.fields[0].dataType.simpleString() for k in keys]
-    rows = df.select(*(F.col(f"`{k}`").alias(a) for k, a in zip(keys, ks, strict=True)), F.array(*(F.coalesce(tokens(F.col(f), config), F.array().cast("array<string>")) for f in fields)).alias("w"))
-    ddl = ", ".join(["word string, f int, first boolean", *(f"{a} {t}" for a, t in zip(ks, kinds, strict=True)), "len int, pos array<int>"])
+    rows = df.select(*(F.col(f"`{k}`").alias(a) for k, a in zip(keys, ks, strict=True)), *(F.col(f).cast("string").alias(f"_t{i}") for i, f in enumerate(fields)))
+    hit = ", ".join(["first: boolean", *(f"{a}: {t}" for a, t in zip(ks, kinds, strict=True)), "len: int, pos: array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                cols: tuple[list, ...] = ([], [], [], [], [], [])
-                for row, texts in enumerate(part.column("w").to_pylist()):
-                    seen: set[str] = set()
-                    for f, words in enumerate(texts):
-                        where: dict[str, list[int]] = {"": []}  # the empty word tells of the field itself
-                        for i, w in enumerate(words):
-                            where.setdefault(w, []).append(i)
-                        for w, positions in where.items():
-                            for c, v in zip(cols, (w, f, w not in seen, row, len(words), positions), strict=True):
-                                c.append(v)
-                        seen.update(where)
-                taken = pa.array(cols[3], pa.int64())
-                made = [pa.array(cols[0]), pa.array(cols[1], pa.int32()), pa.array(cols[2]), *(part.column(a).take(taken) for a in ks), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(made, names=["word", "f", "first", *ks, "len", "pos"])
-
-    made = rows.mapInArrow(run, ddl)
-    postings = written(made.repartition("word", F.pmod(F.xxhash64(*ks), F.lit(16))).sortWithinPartitions("word"), "postings")
-    words = written(postings.where("word <> ''").groupBy("word").agg(F.sum(F.col("first").cast("long")).alias("docs")), "words")
+            sizes = sum(np.asarray(pc.fill_null(pc.utf8_length(batch.column(f"_t{i}")), 0), np.int64) for i in range(len(fields)))
+            before, at = np.concatenate([[0], np.cumsum(sizes)]), 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(before, before[at] + SEGMENT_CHARACTERS, "right")) - 1)
+                yield from segment_of(batch.slice(at, end - at), ks, len(fields), c)
+                at = end
+
+    stored = written(rows.mapInArrow(run, f"word string, f int, docs long, hits array<struct<{hit}>>"), "postings")
+    words = written(stored.where("word <> ''").groupBy("word").agg(F.sum("docs").alias("docs")), "words")
+    postings = stored.select("word", "f", F.inline("hits"))
     sizes = {r["f"]: r for r in postings.where("word = ''").groupBy("f").agg(F.count("*").alias("n"), F.avg("len").alias("a")).collect()}  # a row a field
     return TextIndex(postings, words, fields, keys, sizes[0]["n"] if sizes else 0, [sizes[f]["a"] if sizes else 0.0 for f in range(len(fields))])
 
 
+@lru_cache(4)
+def _classes(symbols: str) -> np.ndarray:
+    """By code point: 1 in words, 2 within them, else 0."""
+    out = np.fromiter((chr(i).isalnum() for i in range(0x110000)), np.uint8, 0x110000)
+    out[[ord(ch) for ch in symbols]] = 2
+    return out
+
+
+def words_of_all(texts: list[str], c: Config) -> tuple[pa.Array, np.ndarray]:
+    """The words of some texts one after another, and how many each has; the same as ``words_in`` of each."""
+    if c.splitter != "fast" or not c.diacritics or any(ch.isalnum() for ch in c.extra_symbols):
+        split = splitter(c)
+        spoken = [split(t) if t else [] for t in texts]
+        return pa.array([w for own in spoken for w in own], pa.string()), np.array([len(own) for own in spoken], np.int32)
+    lower = [t.lower() for t in texts]
+    joined = "\n".join(lower) + "\n"
+    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    of = _classes(c.extra_symbols)[points]
+    inside = of == 1
+    between = inside[:-2] & inside[2:] & (of[1:-1] == 2)
+    inside[1:-1] |= between
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))  # a word's start and end in turn
+    wide = np.ones(len(points) + 1, np.uint8)
+    for limit in (0x80, 0x800, 0x10000):
+        wide[:-1] += points >= limit
+    at = np.cumsum(wide, dtype=np.int32) - wide  # of a code point in the bytes
+    data = joined.encode()
+    offsets = np.append(at[edge], np.int32(len(data)))
+    pieces = pa.StringArray.from_buffers(len(edge), pa.py_buffer(offsets), pa.py_buffer(data))  # words, and what is between
+    ends = np.cumsum([len(t) + 1 for t in lower])
+    counts = np.diff(np.searchsorted(edge[::2], ends), prepend=0).astype(np.int32)
+    return pieces.take(pa.array(np.arange(0, len(edge), 2))), counts
+
+
+def segment_of(rows: pa.RecordBatch, ks: list[str], n_fields: int, c: Config) -> Iterator[pa.RecordBatch]:
+    """An inverted index of some rows, words in order; the empty word tells of the fields themselves."""
+    n = rows.num_rows
+    spoken, counts = words_of_all([t or "" for f in range(n_fields) for t in rows.column(f"_t{f}").to_pylist()], c)
+    counts = counts.reshape(n_fields, n)
+    coded = spoken.dictionary_encode()
+    order = np.asarray(pc.sort_indices(coded.dictionary), np.int64)
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    word = place[np.asarray(coded.indices)] if len(coded) else np.zeros(0, np.int32)
+    text = np.repeat(np.arange(n_fields * n, dtype=np.int32), counts.ravel())  # field * n + row
+    spot = np.arange(len(word), dtype=np.int32) - np.repeat((np.cumsum(counts.ravel()) - counts.ravel()).astype(np.int32), counts.ravel())
+    by_word = np.argsort(word, kind="stable")  # then by field, row and place, as they come
+    word, text, spot = word[by_word], text[by_word], spot[by_word]
+    fresh = np.flatnonzero(np.concatenate([np.ones(min(len(word), 1), bool), (word[1:] != word[:-1]) | (text[1:] != text[:-1])]))  # a posting each
+    word, text, ends = word[fresh], text[fresh], np.append(fresh, len(spot))
+    field_of, row = text // n, text % n
+    first = field_of == 0
+    if n_fields > 1:
+        first = np.zeros(len(word), bool)
+        first[np.unique(word.astype(np.int64) * n + row, return_index=True)[1]] = True
+    heads = np.flatnonzero(np.concatenate([np.ones(min(len(word), 1), bool), (word[1:] != word[:-1]) | (field_of[1:] != field_of[:-1])]))  # a row each
+    docs = np.add.reduceat(first.astype(np.int64), heads) if len(heads) else np.zeros(0, np.int64)
+    # the empty word's rows come first
+    every = np.tile(np.arange(n), n_fields)
+    names = pa.concat_arrays([pa.array([""] * n_fields, pa.string()), coded.dictionary.take(pa.array(order[word[heads]]))])
+    taken = pa.array(np.concatenate([every, row]))
+    spots = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(n_fields * n, np.int32), ends.astype(np.int32)])), pa.array(spot))
+    hits = pa.StructArray.from_arrays(
+        [pa.array(np.concatenate([np.repeat(np.arange(n_fields) == 0, n), first])), *(rows.column(a).take(taken) for a in ks), pa.array(np.concatenate([counts.ravel(), counts[field_of, row]])), spots],
+        names=["first", *ks, "len", "pos"],
+    )
+    starts = np.concatenate([np.arange(n_fields) * n, heads + n_fields * n, [n_fields * n + len(word)]]).astype(np.int32)
+    out = [names, pa.array(np.concatenate([np.arange(n_fields), field_of[heads]]), pa.int32()), pa.array(np.concatenate([np.zeros(n_fields, np.int64), docs])), pa.ListArray.from_arrays(pa.array(starts), hits)]
+    made = pa.RecordBatch.from_arrays(out, names=["word", "f", "docs", "hits"])
+    for at in range(0, made.num_rows, 8192):
+        yield made.slice(at, 8192)
+
+
 def changed(index: TextIndex, delta: DataFrame, config: Config | None = None) -> TextIndex:
     """The index after changes: ``delta`` holds the new rows, and the keys of deleted ones (``_gone``).
 
@@ -623,8 +719,8 @@ def expand(index: TextIndex, q: Parsed, c: Config) -> Expanded:
                 out = [(w, k, p) for w in batch.column(0).to_pylist() for k, x in enumerate(looked) if (p := x.proc_of(w)) is not None]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.float64())], names=["w", "k", "p"])
 
-        longest = max(len(x.pattern) for x in looked) + 2
-        near = index.words.where(F.length("word") <= longest).select("word").mapInArrow(run, "w string, k int, p double")
+        sizes = [len(x.pattern) + d for x in looked for d in (-x.most, x.most)]
+        near = index.words.where(F.length("word").between(min(sizes), max(sizes))).select("word").mapInArrow(run, "w string, k int, p double")
         for r in near.collect():  # distinct words within a few letters of the query's
             if r["w"] not in c.stop_words:
                 own = typos.setdefault(owner[r["k"]], {})
@@ -658,19 +754,21 @@ def ask(index: TextIndex, text: str, config: Config | None = None, only: DataFra
 
     def matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(w, n, i, p) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, p in match(w).items()]
-            cols = zip(*out, strict=True) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.float64()), strict=True)], names=["word", "docs", "t", "proc"])
+            met = [[*match(w).items()] for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[{"t": i, "proc": p} for i, p in x] for x in met], HITS)], names=["word", "docs", "as"])
 
-    met = index.words.mapInArrow(matching, "word string, docs long, t int, proc double")
-    few = met.limit(WORDS_BY_VALUE + 1).collect()
+    met = index.words.where(match.may_match(F.col("word"))).mapInArrow(matching, "word string, docs long, as array<struct<t: int, proc: double>>")
     postings = index.postings.where("word <> ''")
     if only is not None:
         postings = postings.join(only, ks, "left_semi")
-    if len(few) <= WORDS_BY_VALUE:  # the filter reaches the scan, and what is broadcast has this many rows at most
-        postings = postings.where(F.col("word").isin(*sorted({r["word"] for r in few})))
-        met = F.broadcast(df_of(index.words.sparkSession, few))
-    hits = postings.join(met, "word").where(F.element_at(F.array(*map(F.lit, boosts)), F.col("f") + 1) > 0)
+    few = met.orderBy(F.col("docs").desc(), "word").limit(WORDS_BY_VALUE + 1).collect()
+    often = sorted(r["word"] for r in few[:WORDS_BY_VALUE])
+    # the filter reaches the scan, and what is broadcast has this many rows at most
+    hits = postings.where(F.col("word").isin(*often)).join(F.broadcast(df_of(index.words.sparkSession, few[:WORDS_BY_VALUE])), "word")
+    if len(few) > WORDS_BY_VALUE:  # of the rarer words, those postings alone are shuffled that match
+        rarer = postings.where(match.may_match(F.col("word")) & ~F.col("word").isin(*often))
+        hits = hits.unionByName(rarer.join(met.where(~F.col("word").isin(*often)), "word"))
+    hits = hits.where(F.element_at(F.array(*map(F.lit, boosts)), F.col("f") + 1) > 0).select("word", "f", *ks, "len", "pos", "docs", F.inline("as"))
     pick = lambda values, at: F.element_at(F.array(*(F.lit(float(v)) for v in values)), F.col(at) + 1)
     rank = (
         pick(boosts, "f")
@@ -680,17 +778,30 @@ def ask(index: TextIndex, text: str, config: Config | None = None, only: DataFra
         * pick([x.boost for x in owners], "t")
         * F.col("proc")
     )
-    by_row = hits.groupBy(*ks).agg(F.collect_list(F.struct("t", "word", "f", rank.alias("r"), "proc", "len", "pos")).alias("hits"))
-    folded = by_row.select(*ks, fold_rows(q, len(q.terms), parts, full.of_groups, boosts, c)("hits").alias("x")).where("x.rank is not null")
-    folded = folded.select(*ks, F.col("x.rank").alias("_ft"), F.col("x.why").alias("_why")).where(F.col("_ft") >= c.min_rank)
+    if len(q.terms) == 1 and q.terms[0].phrase < 0 and not parts and c.sum_ranks_by_fields <= 0 and not debug:
+        folded = best_of(hits, ks, rank, c)
+    else:
+        by_row = hits.groupBy(*ks).agg(F.collect_list(F.struct("t", "word", "f", rank.alias("r"), "proc", "len", "pos")).alias("hits"))
+        kinds = [f"{f.name} {f.dataType.simpleString()}" for f in by_row.schema.fields[: len(ks)]]
+        folded = by_row.mapInArrow(fold_rows(q, len(q.terms), parts, full.of_groups, boosts, c, debug), ", ".join([*kinds, "_ft double, _why string"]))
+    folded = written(folded.where(F.col("_ft") >= c.min_rank), "ranks")  # read twice
     top = folded.agg(F.max("_ft").alias("_top"))
     out = folded.crossJoin(F.broadcast(top))  # a row of the maximum
     scaled = F.floor(F.col("_ft") * F.when(F.col("_top") > 255, 255.0 / F.col("_top")).otherwise(1.0)).cast("double")
     return out.select(*ks, scaled.alias("_ft"), *(["_why"] if debug else []))
 
 
+HITS = pa.list_(pa.struct([("t", pa.int32()), ("proc", pa.float64())]))
+
+
 def df_of(spark, rows: list) -> DataFrame:
-    return spark.createDataFrame([tuple(r) for r in rows], "word string, docs long, t int, proc double")
+    return spark.createDataFrame([tuple(r) for r in rows], "word string, docs long, as array<struct<t: int, proc: double>>")
+
+
+def best_of(hits: DataFrame, ks: list[str], rank: Column, c: Config) -> DataFrame:
+    """What ``fold_rows`` makes of a single term: a row's best word, of equal ones that which matches best, then the first."""
+    best = hits.withColumn("r", rank).where("r > 0").groupBy(*ks).agg(F.min(F.struct((-F.col("r")).alias("r"), (-F.col("proc")).alias("proc"), "word", "f", "len")).alias("x"))
+    return best.select(*ks, (-F.col("x.r") * F.when(F.col("x.len") == 1, c.full_match_boost).otherwise(1.0)).alias("_ft"))
 
 
 def apart(last: dict[int, list[int]], now: dict[int, list[int]]) -> int:
@@ -709,8 +820,8 @@ def apart(last: dict[int, list[int]], now: dict[int, list[int]]) -> int:
     return best or 0
 
 
-def fold_rows(q: Parsed, n_terms: int, parts: list[tuple[int, int]], of_groups: list[Group], boosts: list[float], c: Config):
-    """A function from the word hits of a row to its rank before scaling (null if it doesn't match), and what made it."""
+def fold_rows(q: Parsed, n_terms: int, parts: list[tuple[int, int]], of_groups: list[Group], boosts: list[float], c: Config, debug: bool = False):
+    """Batches of keys and word hits to keys, rank before scaling (null if a row doesn't match), and with ``debug`` what made it."""
     steps: list[tuple[str, list[int]]] = []  # terms and phrases in order
     for i, t in enumerate(q.terms):
         if t.phrase >= 0 and steps and q.terms[steps[-1][1][0]].phrase == t.phrase:
@@ -753,17 +864,18 @@ def fold_rows(q: Parsed, n_terms: int, parts: list[tuple[int, int]], of_groups:
                     continue
                 gaps = []
                 for f, own in pos.items():
+                    before = last.get(f, [])
                     for p in own:
-                        behind = [p - a for a in last.get(f, ()) if 0 < p - a <= q.terms[i].gap]
-                        if behind:
-                            gaps.append(min(behind))
+                        k = bisect_left(before, p)
+                        if k and p - before[k - 1] <= q.terms[i].gap:
+                            gaps.append(p - before[k - 1])
                             following.setdefault(f, set()).add(p)
                 if following:
                     rank = max(rank, near(min(gaps) if gaps else 1) * r)
             if not following:
                 return None
-            total, last = total + rank, following
-        return total, {f: sorted(p) for f, p in last.items()}, length
+            total, last = total + rank, {f: sorted(p) for f, p in following.items()}
+        return total, last, length
 
     def one(hits: list[dict]) -> tuple[float | None, str | None]:
         found = subterms(hits)
@@ -780,7 +892,8 @@ def fold_rows(q: Parsed, n_terms: int, parts: list[tuple[int, int]], of_groups:
             if pos is None:
                 return False
             rank, last = rank + best, pos
-            why.append(f"{word}: {best:.3f}")
+            if debug:
+                why.append(f"{word}: {best:.3f}")
             return True
 
         matched = False
@@ -818,9 +931,13 @@ def fold_rows(q: Parsed, n_terms: int, parts: list[tuple[int, int]], of_groups:
             why.append(f"full match: {c.full_match_boost}")
         return rank, ", ".join(why)
 
-    @F.pandas_udf("rank double, why string")
-    def run(rows: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one([*hits]) for hits in rows], columns=["rank", "why"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                told = [one(hits) for hits in part.column("hits").to_pylist()]
+                ranks, whys = pa.array([r for r, _ in told], pa.float64()), pa.array([w if debug else None for _, w in told], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ranks, whys], names=[*part.schema.names[:-1], "_ft", "_why"])
 
     return run
 
@@ -831,7 +948,11 @@ def fold_rows(q: Parsed, n_terms: int, parts: list[tuple[int, int]], of_groups:
 def areas(text: str, patterns: list[str] | Callable[[str], dict]) -> list[tuple[int, int]]:
     """Where words stand that match: any of some patterns, or a test."""
     test = patterns if callable(patterns) else lambda w: any(re.fullmatch(p, w) for p in patterns)
-    found = sorted((m.start(), m.end()) for m in WORD.finditer(text) if test(m[0].lower()))
+    return joined((m.start(), m.end()) for m in WORD.finditer(text) if test(m[0].lower()))
+
+
+def joined(found: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Places in order, as one where they touch."""
     out: list[tuple[int, int]] = []
     for s, e in found:
         if out and s <= out[-1][1]:
@@ -882,12 +1003,13 @@ def show(df: DataFrame, column: str, text: str, function: str, config: Config |
     ends = [len(main) + sum(len(x.parts) for x in full.of_groups[: k + 1]) for k in range(len(full.of_groups))]
     whole = [{*range(end - len(g.parts), end)} for g, end in zip(full.of_groups, ends, strict=True)]
 
-    def shown(t: str) -> Callable[[str], bool]:
-        """Words of terms, and of groups that the text holds as a whole."""
-        met = {w: {*match(w)} for w in {m[0].lower() for m in WORD.finditer(t)}}
-        held = set().union(*met.values()) if met else set()
+    def shown(t: str, meant: Callable[[str], frozenset]) -> list[tuple[int, int]]:
+        """Where words of terms stand, and of groups that the text holds as a whole."""
+        met = [(m.start(), m.end(), x) for m in WORD.finditer(t) if (x := meant(m[0].lower()))]
+        held = frozenset().union(*(x for *_, x in met))
         counts = {*range(len(main))}.union(*(g for g in whole if g <= held))
-        return lambda w: bool(met[w] & counts)
+        return joined((s, e) for s, e, x in met if x & counts)
+
     m = re.search(r"(highlight|snippet_n|snippet)\s*\((.*)\)\s*$", function, re.S)
     if not m:
         raise QueryError(f"unknown function {function!r}")
@@ -900,8 +1022,10 @@ def show(df: DataFrame, column: str, text: str, function: str, config: Config |
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
+        meant = lru_cache(100_000)(lambda w: frozenset(match(w)))
+
         def one(t: str) -> str:
-            found = areas(t, shown(t))
+            found = shown(t, meant)
             if kind == "highlight":
                 return highlight(t, found, args[0], args[1])
             extra = {"pre_delim": args[4] if len(args) > 4 else "", "post_delim": args[5] if len(args) > 5 else " "} if kind == "snippet" else {k: v if k != "with_area" else v == "1" for k, v in named.items()}

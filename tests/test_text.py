@@ -216,3 +216,50 @@ def test_small_writes_change_the_index(texts):
     assert sorted(map(tuple, got.words.collect())) == sorted(map(tuple, want.words.collect()))
     for asked in ("alpha", "things~ +gamma", "new"):
         assert sorted(map(tuple, fulltext.ask(got, asked).collect())) == sorted(map(tuple, fulltext.ask(want, asked).collect()))
+
+
+def shuffled(spark) -> int:
+    """Bytes written to shuffles so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    found = context.statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_words_of_many_texts_are_those_of_each():
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("aB1_-+/' \n.\u00e9\u00df\u0130\u03a3\u03c3\u4e2d\u7814\u0436\u0401\U0001f600\u0663\u2167a", k=rng.randrange(0, 30))) for _ in range(2000)] + ["", "-", "a-"]
+    for c in (fulltext.Config(), fulltext.Config(extra_symbols=""), fulltext.Config(extra_symbols="_-"), fulltext.Config(diacritics=False)):
+        want = [fulltext.words_in(t, c) for t in texts]
+        words, counts = fulltext.words_of_all(texts, c)
+        assert words.to_pylist() == [w for own in want for w in own] and counts.tolist() == [len(own) for own in want]
+    assert [len(x) for x in fulltext.words_of_all([], fulltext.Config())] == [0, 0]
+
+
+def test_postings_are_not_shuffled(spark, monkeypatch):
+    """Neither when an index is built, nor those that don't match when many words do."""
+    rng = random.Random(3)
+    usual = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join([*rng.choices(usual, k=300), f"rare{i % 40}"])) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, text string").coalesce(2)
+    before = shuffled(spark)
+    index = fulltext.build(df, ["id"], ["text"])
+    built = shuffled(spark)
+    assert built - before < 100_000 < sum(len(t) for _, t in rows) / 5  # 440 words by task and their counts
+    want = sorted(map(tuple, fulltext.ask(index, "=rare*").collect()))
+    assert len(want) == 600
+    monkeypatch.setattr(fulltext, "WORDS_BY_VALUE", 3)
+    before = shuffled(spark)
+    assert sorted(map(tuple, fulltext.ask(index, "=rare*").collect())) == want
+    assert shuffled(spark) - before < 200_000  # 600 of 130,000 postings
+
+
+def test_segments_hold_what_one_index_holds(texts, monkeypatch):
+    """Of one row each, and of all rows: the same words, counts and ranks."""
+    db, _ = texts
+    ns = db.get("t")
+    whole = fulltext.build(ns.df.coalesce(1), ["id"], ["body", "title"])
+    monkeypatch.setattr(fulltext, "SEGMENT_CHARACTERS", 1)
+    split = fulltext.build(ns.df, ["id"], ["body", "title"])
+    for a, b in ((whole.words, split.words), (whole.postings, split.postings), *((fulltext.ask(whole, t), fulltext.ask(split, t)) for t in ("things", "alpha beta", '"the of"'))):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
