@@ -112,12 +112,38 @@ def nearest_by_bytes(rows: DataFrame, scale: dict, vector: list[float], metric:
     return rows.where("_sq8 is not null").withColumn("_rough", rough("_sq8")).orderBy(best, *key).limit(QUANTISED_PER_K * k).drop("_rough")
 
 
+def least_by_hash(df: DataFrame, field: str, n: int) -> DataFrame:
+    """The values of ``field`` with the ``n`` least hashes: those of a sort by hash and a limit.
+
+    The limit is found by counts of hashes, first of 65,536 ranges, then within
+    one, so no task gets ``n`` rows of every other one. Equal hashes are equal
+    values, so what goes in of the last one is a row's copies.
+    """
+    rows = df.select(field).withColumn("_h", F.xxhash64(field))
+
+    def cut(some: DataFrame, value: Column, room: int) -> tuple[int | None, int]:
+        """The value whose rows fill the room, and how much is left for them."""
+        for v, count in sorted(map(tuple, some.groupBy(value.alias("v")).agg(F.count("*").alias("n")).collect())):
+            if count >= room:
+                return v, room
+            room -= count
+        return None, room
+
+    range_of = F.shiftright("_h", 48)
+    at, room = cut(rows, range_of, n)
+    if at is None:
+        return rows.select(field)
+    last, room = cut(rows.where(range_of == at), F.col("_h"), room)
+    copies = rows.where(F.col("_h") == last).limit(1).select(field, F.explode(F.sequence(F.lit(1), F.lit(room)))).select(field)
+    return rows.where(F.col("_h") < last).select(field).unionByName(copies)
+
+
 def train_cells(df: DataFrame, field: str, cells: int, sample_rows: int = 100_000, seed: int = 1) -> tuple[DataFrame, list[list[float]]]:
     """k-means centroids on a bounded sample, and ``df`` with the cell of every row (``_cell``)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    sample = df.where(F.col(field).isNotNull()).orderBy(F.xxhash64(field)).limit(sample_rows)
+    sample = least_by_hash(df.where(F.col(field).isNotNull()), field, sample_rows)
     vectors = sample.select(array_to_vector(F.col(field).cast("array<double>")).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=10).fit(vectors)
     centers = np.array(model.clusterCenters())

@@ -195,3 +195,31 @@ def test_null_table_of_scalars(spark):
     d.open("n", spark.createDataFrame(rows, "id long, f int, g int"), [Index("id", pk=True), Index("f", default=0), Index("g", sparse=True)])
     ids = lambda w: {r.id for r in d.sql(f"SELECT id FROM n WHERE {w}").df.collect()}
     assert ids("f IS NULL") == set() and ids("f = 0") == {1, 2} and ids("g IS NULL") == {1} and ids("NOT g = 0") == {1, 3} and ids("g < 3") == {2}
+
+
+def test_training_sample_is_not_gathered_in_one_task(spark):
+    """Of equal hashes too: the rows of a sort by hash and a limit, without its one task that reads rows of all others."""
+    import random
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from tessera.operators import vector
+
+    rng = random.Random(5)
+    rows = [([1.0] * 64 if i % 3 == 0 else [rng.random() for _ in range(64)],) for i in range(2000)]
+    df = spark.createDataFrame(rows, "v array<double>").repartition(8).cache()
+    df.count()
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty()
+        found = context.statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    count = lambda d: Counter(tuple(r.v) for r in d.collect())
+    for n in (1, 150, 700, 1500, 1999, 2000, 5000):
+        assert count(vector.least_by_hash(df, "v", n)) == count(df.orderBy(F.xxhash64("v")).limit(n).select("v")), n
+    before = shuffled()
+    vector.train_cells(df, "v", 4, sample_rows=200)
+    assert shuffled() - before < 300_000  # 8 tasks of 200 vectors of 512 bytes are 800,000
