@@ -140,6 +140,9 @@ class Database:
             if i.default is not None and not i.sparse and i.name in df.columns:
                 df = df.withColumn(i.name, F.coalesce(F.col(f"`{i.name}`"), F.lit(i.default)))
         ns.df = df
+        twin = next((n for n in self.namespaces.values() if n.df is df and n.pk == ns.pk), None)
+        if twin is not None:  # one snapshot has one set of text indexes; a write begins another
+            ns.texts = twin.texts
         self.namespaces[name] = ns
         return ns
 

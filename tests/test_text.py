@@ -263,3 +263,13 @@ def test_segments_hold_what_one_index_holds(texts, monkeypatch):
     split = fulltext.build(ns.df, ["id"], ["body", "title"])
     for a, b in ((whole.words, split.words), (whole.postings, split.postings), *((fulltext.ask(whole, t), fulltext.ask(split, t)) for t in ("things", "alpha beta", '"the of"'))):
         assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_one_snapshot_has_one_index(texts):
+    """A second namespace over the same table is not indexed anew, and keeps its own after a write."""
+    db = texts[0].copy()
+    db.open("other", db.get("t").df, [Index("id", pk=True), Index("text", "text", config={"fields": ["body", "title"]})])
+    first = db.get("t").text_index(["body", "title"])
+    assert db.get("other").text_index(["body", "title"]) is first
+    db.sql("DELETE FROM other WHERE id < 30")
+    assert db.get("other").text_index(["body", "title"]) is not first and db.get("t").text_index(["body", "title"]) is first
